@@ -1,0 +1 @@
+"""DuckDB texts that state the expected result of every registered query."""

@@ -1,0 +1,28 @@
+"""The DuckDB text for each registered query."""
+
+from __future__ import annotations
+
+from oracle.compose import compose
+
+SEVERITY = """SELECT order_id, customer_id, order_date, channel, CAST(sum(amount) AS decimal(18,2)) AS total_amount,
+  max(CASE stage WHEN 1 THEN 'PENDING' WHEN 2 THEN 'PROCESSING' WHEN 3 THEN 'SHIPPED' WHEN 4 THEN 'DELIVERED'
+    ELSE CASE WHEN line_status NOT IN ('ENTERED', 'PROCESSING', 'SHIPPED', 'CLOSED') THEN title END END) AS status,
+  max(ship_date) AS ship_date
+FROM order_lines GROUP BY order_id, customer_id, order_date, channel"""
+
+EXPECTED = {
+    "sales_orders": compose("SELECT * FROM sales_orders"),
+    "sales_orders_severity": compose(SEVERITY),
+    "sales_order_items": compose("SELECT * FROM sales_order_items"),
+    "daily_sales_summary": compose("SELECT * FROM sales_daily_sales_summary"),
+    "skus": compose("SELECT * FROM inventory_skus"),
+    "product_categories": compose("SELECT * FROM inventory_product_categories"),
+    "distributors": compose("SELECT * FROM inventory_distributors"),
+    "warehouse_stock": compose("SELECT * FROM inventory_warehouse_stock"),
+    "customers": compose("SELECT * FROM crm_customers"),
+    "support_tickets": compose("SELECT * FROM crm_support_tickets"),
+    "gl_accounts": compose("SELECT * FROM finance_gl_accounts"),
+    "monthly_pnl": compose("SELECT * FROM finance_monthly_pnl"),
+    "suppliers": compose("SELECT * FROM supply_suppliers"),
+    "purchase_orders": compose("SELECT * FROM supply_purchase_orders"),
+}

@@ -1,0 +1,86 @@
+"""Registered queries: name -> (spark, folder of parquet tables) -> DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.operators import crm, finance, inventory, sales, supply
+from millrace.sources.feeds import feed
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _orders(spark: SparkSession, folder: str) -> DataFrame:
+    return sales.orders(feed(spark, folder, "raw_erp_sales_orders"))
+
+
+def _orders_severity(spark: SparkSession, folder: str) -> DataFrame:
+    return sales.orders(feed(spark, folder, "raw_erp_sales_orders"), rollup="severity")
+
+
+def _order_items(spark: SparkSession, folder: str) -> DataFrame:
+    return sales.order_items(feed(spark, folder, "raw_erp_sales_orders"))
+
+
+def _daily_sales_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return sales.daily_sales_summary(feed(spark, folder, "raw_pos_transactions"))
+
+
+def _skus(spark: SparkSession, folder: str) -> DataFrame:
+    return inventory.skus(feed(spark, folder, "raw_erp_products"))
+
+
+def _product_categories(spark: SparkSession, folder: str) -> DataFrame:
+    return inventory.product_categories(feed(spark, folder, "raw_erp_products"))
+
+
+def _distributors(spark: SparkSession, folder: str) -> DataFrame:
+    return inventory.distributors(feed(spark, folder, "raw_partner_contracts"))
+
+
+def _warehouse_stock(spark: SparkSession, folder: str) -> DataFrame:
+    return inventory.warehouse_stock(feed(spark, folder, "raw_erp_warehouse_inventory"))
+
+
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    return crm.customers(feed(spark, folder, "raw_salesforce_accounts"))
+
+
+def _support_tickets(spark: SparkSession, folder: str) -> DataFrame:
+    return crm.support_tickets(feed(spark, folder, "raw_salesforce_cases"), _customers(spark, folder))
+
+
+def _gl_accounts(spark: SparkSession, folder: str) -> DataFrame:
+    return finance.gl_accounts(feed(spark, folder, "raw_netsuite_gl"))
+
+
+def _monthly_pnl(spark: SparkSession, folder: str) -> DataFrame:
+    return finance.monthly_pnl(feed(spark, folder, "raw_netsuite_journal_entries"), _gl_accounts(spark, folder))
+
+
+def _suppliers(spark: SparkSession, folder: str) -> DataFrame:
+    return supply.suppliers(feed(spark, folder, "raw_sap_vendors"))
+
+
+def _purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return supply.purchase_orders(feed(spark, folder, "raw_sap_purchase_orders"))
+
+
+QUERIES: dict[str, Query] = {
+    "sales_orders": _orders,
+    "sales_orders_severity": _orders_severity,
+    "sales_order_items": _order_items,
+    "daily_sales_summary": _daily_sales_summary,
+    "skus": _skus,
+    "product_categories": _product_categories,
+    "distributors": _distributors,
+    "warehouse_stock": _warehouse_stock,
+    "customers": _customers,
+    "support_tickets": _support_tickets,
+    "gl_accounts": _gl_accounts,
+    "monthly_pnl": _monthly_pnl,
+    "suppliers": _suppliers,
+    "purchase_orders": _purchase_orders,
+}
