@@ -11,7 +11,7 @@ from millrace.functions import codes
 
 def to_int(text: Column) -> Column:
     """Whole number; a fraction is rounded half away from zero ('12.5' -> 13)."""
-    return F.round(text.try_cast("decimal(38,6)")).try_cast("int")
+    return F.coalesce(text.try_cast("int"), F.round(text.try_cast("decimal(38,6)")).try_cast("int"))
 
 
 def to_decimal(text: Column, precision: int, scale: int) -> Column:
@@ -24,7 +24,8 @@ def to_number(text: Column) -> Column:
 
 
 def to_date(text: Column) -> Column:
-    return F.try_to_date(text, "yyyy-MM-dd")
+    # The cast alone would also take '2024' or '2024-1-5'; with the shape checked it beats a format parser.
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}\z"), text.try_cast("date"))
 
 
 def to_timestamp(text: Column) -> Column:

@@ -14,38 +14,62 @@ def orders(raw: DataFrame, rollup: str = "alphabetical") -> DataFrame:
 
     ``alphabetical`` maps the smallest line status of the order; one CLOSED line makes the order DELIVERED.
     ``severity`` lets the least advanced line decide. A status outside the map shows as the line's own, in
-    title case. Lines are summed before the look across the order, so a huge order is small by then.
+    title case. Lines are first summed per status with fixed-width buffers, so the map side hashes them
+    without a sort and a huge order reaches the shuffle as a handful of rows.
     """
     if rollup not in ("alphabetical", "severity"):
         raise ValueError(f"unknown rollup {rollup!r}")
-    status = F.col("line_status")
-    stage = clean.map_code(status, {s: f"{i}{s}" for i, s in enumerate(ORDER_STAGE, 1)}, "0")
-    shown = status if rollup == "alphabetical" else F.when(stage == "0", status)
-    per_header = raw.select(
+    lines = raw.select(
         "order_number",
-        clean.order_customer_key(F.col("customer_account")).alias("customer_id"),
-        clean.day_of(F.col("order_entered_date")).alias("order_date"),
-        F.col("sales_channel").alias("channel"),
-        (status if rollup == "alphabetical" else stage).alias("mark"),
-        clean.title_case(shown).alias("own_status"),
+        "customer_account",
+        F.left("order_entered_date", F.lit(10)).alias("entered"),
+        "sales_channel",
+        "line_status",
         clean.day_of(F.col("actual_ship_date")).alias("ship_date"),
         (clean.to_decimal(F.col("unit_selling_price"), 12, 2) * clean.to_int(F.col("ordered_qty"))).alias("amount"),
     )
-    per_header = per_header.groupBy("order_number", "customer_id", "order_date", "channel").agg(
-        F.sum("amount").alias("total_amount"),
-        F.min("mark").alias("mark"),
-        F.max("own_status").alias("own_status"),
-        F.max("ship_date").alias("ship_date"),
+    per_status = lines.groupBy("order_number", "customer_account", "entered", "sales_channel", "line_status").agg(
+        F.sum("amount").alias("amount"), F.max("ship_date").alias("ship_date")
+    )
+    header = ["order_number", "customer_id", "order_date", "channel"]
+    # One layout serves both steps below: the look across the order and the grouping into headers.
+    per_status = (
+        per_status.select(
+            "order_number",
+            clean.order_customer_key(F.col("customer_account")).alias("customer_id"),
+            clean.to_date(F.col("entered")).alias("order_date"),
+            F.col("sales_channel").alias("channel"),
+            "line_status",
+            "amount",
+            "ship_date",
+        )
+        .repartition("order_number")
+        .sortWithinPartitions(*header)
+    )
+    status = F.col("line_status")
+    whole_order = Window.partitionBy("order_number")
+    if rollup == "alphabetical":
+        decided, shown = F.min(status).over(whole_order), status
+    else:
+        stages = {s: str(i) for i, s in enumerate(ORDER_STAGE, 1)}
+        stage = F.min(clean.map_code(status, stages, "0")).over(whole_order)
+        decided = clean.map_code(stage, {i: s for s, i in stages.items()})
+        shown = F.when(~status.isin(ORDER_STAGE) | status.isNull(), status)
+    mapped = clean.map_code(decided, codes.ORDER_STATUS, clean.title_case(shown))
+    headers = (
+        per_status.withColumn("status", mapped)
+        .groupBy(*header)
+        .agg(
+            F.sum("amount").cast("decimal(18,2)").alias("total_amount"),
+            F.max("status").alias("status"),
+            F.max("ship_date").alias("ship_date"),
+        )
     )
-    order_mark = F.min("mark").over(Window.partitionBy("order_number"))
-    decided = order_mark if rollup == "alphabetical" else F.substring(order_mark, 2, 100)
-    return per_header.select(
+    return headers.select(
         clean.prefixed(codes.ORDER, F.col("order_number")).alias("order_id"),
-        "customer_id",
-        "order_date",
-        "channel",
-        F.col("total_amount").cast("decimal(18,2)").alias("total_amount"),
-        clean.map_code(decided, codes.ORDER_STATUS, F.col("own_status")).alias("status"),
+        *header[1:],
+        "total_amount",
+        "status",
         "ship_date",
     )
 
