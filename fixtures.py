@@ -1,0 +1,30 @@
+"""Earlier table states for the merge queries, as portable SQL over the curated tables.
+
+Each stands for a table loaded before today's feed: part of today's rows are there with stale values, the
+others are still missing, and two rows are no longer in the feed.
+"""
+
+PRIOR_STATE = {
+    "sales_orders": """SELECT order_id, customer_id, order_date, channel, total_amount, 'PENDING' AS status,
+      CAST(NULL AS DATE) AS ship_date FROM sales_orders WHERE order_date < DATE '1998-01-01'
+    UNION ALL SELECT 'ORD-OLD-1', 'CUST-0', DATE '1990-01-01', 'WEB', CAST(10 AS DECIMAL(18,2)), 'DELIVERED', DATE '1990-02-01'
+    UNION ALL SELECT 'ORD-OLD-2', 'CUST-0', DATE '1990-01-02', 'STORE', CAST(20 AS DECIMAL(18,2)), 'SHIPPED', NULL""",
+    "sales_order_items": """SELECT order_id, line_number, sku_id, quantity + 1 AS quantity, unit_price,
+      CAST(NULL AS DECIMAL(5,2)) AS discount_pct FROM sales_order_items WHERE discount_pct < 5
+    UNION ALL SELECT 'ORD-OLD-1', 1, 'SKU-00001', 1, CAST(10 AS DECIMAL(10,2)), CAST(0 AS DECIMAL(5,2))
+    UNION ALL SELECT 'ORD-OLD-2', 1, 'SKU-00002', 2, CAST(10 AS DECIMAL(10,2)), CAST(0 AS DECIMAL(5,2))""",
+    "inventory_skus": """SELECT sku_id, product_name, 'Unknown' AS brand, upc, CAST(1 AS DECIMAL(10,2)) AS msrp, category,
+      subcategory, weight_lbs, status, TIMESTAMP '2020-01-01 00:00:00' AS created_at
+      FROM inventory_skus WHERE category = 'Home Appliances'
+    UNION ALL SELECT 'SKU-OLD-1', 'old one', 'Dyson', NULL, NULL, 'Other', 'GARDEN', NULL, 'ACTIVE', NULL
+    UNION ALL SELECT 'SKU-OLD-2', 'old two', 'Bose', NULL, NULL, 'Other', 'GARDEN', NULL, 'ACTIVE', NULL""",
+    "inventory_distributors": """SELECT 'DIST-9' || right(distributor_id, 2) AS distributor_id, distributor_name, website_domain,
+      region, 'UNKNOWN' AS channel, partnership_tier, contract_start, status
+      FROM inventory_distributors WHERE region IN ('ASIA', 'EUROPE')
+    UNION ALL SELECT 'DIST-801', 'Old One', 'old1.example.com', 'ASIA', 'RETAIL', 'GOLD', DATE '2020-01-01', 'ACTIVE'
+    UNION ALL SELECT 'DIST-802', 'Old Two', 'old2.example.com', 'ASIA', 'RETAIL', 'GOLD', NULL, 'ACTIVE'""",
+}
+
+# A day feed whose dates could not be read on days without sales: those rows have no key.
+UNREADABLE_DATES = """SELECT CASE WHEN units_sold = 0 THEN NULL ELSE sale_date END AS sale_date, sku_id, units_sold,
+  gross_revenue, returns FROM sales_daily_sales_summary"""

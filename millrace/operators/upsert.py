@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,10 +14,7 @@ _NULL_KEY_SPREAD = 4096
 
 
 def _any_null(keys: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for k in keys:
-        out = out | F.col(k).isNull()
-    return out
+    return reduce(Column.__or__, [F.col(k).isNull() for k in keys])
 
 
 def _spread_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -25,16 +23,17 @@ def _spread_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn(_SALT, F.when(_any_null(keys), spread).otherwise(F.lit(0)))
 
 
-def _assert_unique(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fail the job on a second source row for one key.
+def _present(keys: Sequence[str], unique: bool) -> Column:
+    """The mark of a source row. With ``unique`` it fails the job on a second row for one key.
 
-    The numbering uses the same clustering and order as the merge join after it, so it adds no shuffle.
+    The numbering uses the clustering and order of the merge join after it, so it adds no shuffle and no sort.
     """
-    nth = F.row_number().over(Window.partitionBy(*keys, _SALT).orderBy(*keys))
+    if not unique:
+        return F.lit(True)
+    nth = F.row_number().over(Window.partitionBy(*keys, _SALT).orderBy(*keys, _SALT))
     shown = F.to_json(F.struct(*keys))
-    clash = F.raise_error(F.concat(F.lit("more than one source row for key "), shown))
-    checked = F.when((F.col("__nth") > 1) & ~_any_null(keys), clash.cast("int")).otherwise(F.col(_SALT))
-    return source.withColumn("__nth", nth).withColumn(_SALT, checked).drop("__nth")
+    clash = F.raise_error(F.concat(F.lit("more than one source row for key "), shown)).cast("boolean")
+    return F.when((nth > 1) & ~_any_null(keys), clash).otherwise(F.lit(True))
 
 
 def upsert(
@@ -54,16 +53,13 @@ def upsert(
     """
     columns = target.columns
     src = _spread_null_keys(source.select(*[c for c in columns if c in source.columns]), keys)
-    if unique:
-        src = _assert_unique(src, keys)
-    tgt = _spread_null_keys(target, keys)
-    given = [c for c in src.columns if c not in (*keys, _SALT)]
-    src = src.select(*[F.col(c).alias(f"s_{c}") for c in (*keys, _SALT, *given)], F.lit(True).alias("s_" + _HERE))
-    tgt = tgt.select(*[F.col(c).alias(f"t_{c}") for c in (*columns, _SALT)], F.lit(True).alias("t_" + _HERE))
-
-    match = F.col("t_" + _SALT) == F.col("s_" + _SALT)
-    for k in keys:
-        match = (F.col(f"t_{k}") == F.col(f"s_{k}")) & match
+    src = src.withColumn(_HERE, _present(keys, unique))
+    tgt = _spread_null_keys(target, keys).withColumn(_HERE, F.lit(True))
+    given = [c for c in src.columns if c not in (*keys, _SALT, _HERE)]
+    src = src.select(*[F.col(c).alias(f"s_{c}") for c in (*keys, _SALT, *given, _HERE)])
+    tgt = tgt.select(*[F.col(c).alias(f"t_{c}") for c in (*columns, _SALT, _HERE)])
+
+    match = reduce(Column.__and__, [F.col(f"t_{k}") == F.col(f"s_{k}") for k in (*keys, _SALT)])
     joined = tgt.join(src, match, "full_outer")
     in_source, in_target = F.col("s_" + _HERE).isNotNull(), F.col("t_" + _HERE).isNotNull()
 

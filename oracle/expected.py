@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from fixtures import PRIOR_STATE, UNREADABLE_DATES
+from millrace import schemas
 from oracle.compose import compose
+from oracle.curated import sku
 
 SEVERITY = """SELECT order_id, customer_id, order_date, channel, CAST(sum(amount) AS decimal(18,2)) AS total_amount,
   max(CASE stage WHEN 1 THEN 'PENDING' WHEN 2 THEN 'PROCESSING' WHEN 3 THEN 'SHIPPED' WHEN 4 THEN 'DELIVERED'
@@ -10,6 +13,67 @@ SEVERITY = """SELECT order_id, customer_id, order_date, channel, CAST(sum(amount
   max(ship_date) AS ship_date
 FROM order_lines GROUP BY order_id, customer_id, order_date, channel"""
 
+def merged(table: str, target: str, source: str) -> str:
+    """Merge result spelled out: matched rows from the source, kept columns and unmatched rows from the target."""
+    keys, kept = schemas.KEYS[table], schemas.KEPT_ON_UPDATE.get(table, [])
+    columns = schemas.curated_schema(table).names
+    picks = []
+    for c in columns:
+        if c in keys or c in kept:
+            picks.append(f"CASE WHEN t.here IS NOT NULL THEN t.{c} ELSE s.{c} END AS {c}")
+        else:
+            picks.append(f"CASE WHEN s.here IS NOT NULL THEN s.{c} ELSE t.{c} END AS {c}")
+    on = " AND ".join(f"t.{k} = s.{k}" for k in keys)
+    return (
+        f"SELECT {', '.join(picks)} FROM (SELECT *, 1 AS here FROM {target}) t "
+        f"FULL OUTER JOIN (SELECT *, 1 AS here FROM {source}) s ON {on}"
+    )
+
+
+def merge_query(view: str, table: str) -> str:
+    return compose(merged(table, "prior_state", view), prior_state=PRIOR_STATE[view])
+
+
+def check(name: str, one: str, passed: str, otherwise: str, observed: str, good: str = "'PASS'") -> str:
+    return compose(
+        f"SELECT '{name}' AS check_name, CASE WHEN {passed} THEN {good} ELSE {otherwise} END AS check_result, "
+        f"CAST({observed} AS varchar) AS observed FROM ({one}) o"
+    )
+
+
+def none_found(name: str, found: str, level: str, what: str) -> str:
+    return check(name, f"SELECT count(*) AS n FROM {found}", "n = 0", f"'{level}: ' || n || ' {what}'", "n")
+
+
+def orphans(many: str, one: str, key: str) -> str:
+    return f"{many} m LEFT JOIN {one} o2 ON m.{key} = o2.{key} WHERE o2.{key} IS NULL"
+
+
+def key_health(table: str) -> str:
+    keys, cte = schemas.KEYS[table], table.replace("supply_chain.", "supply_").replace(".", "_")
+    any_null = " OR ".join(f"{k} IS NULL" for k in keys)
+    return (
+        f"SELECT 'key_health {table}' AS check_name, CASE WHEN nulls = 0 AND clashes = 0 THEN 'PASS' ELSE 'WARN: ' || nulls "
+        "|| ' rows with a NULL key, ' || clashes || ' keys held by several rows' END AS check_result, "
+        "CAST(nulls + clashes AS varchar) AS observed FROM (SELECT CAST(coalesce(sum(CASE WHEN k0 THEN n END), 0) AS bigint) "
+        "AS nulls, count(CASE WHEN NOT k0 AND n > 1 THEN 1 END) AS clashes FROM "
+        f"(SELECT ({any_null}) AS k0, count(*) AS n FROM {cte} GROUP BY {', '.join(keys)}, k0) g) o"
+    )
+
+
+def key_collisions(name: str, raw: str, full: str, short: str) -> str:
+    return (
+        f"SELECT 'key_collisions {name}' AS check_name, CASE WHEN n = 0 THEN 'PASS' ELSE 'WARN: ' || n || "
+        f"' short keys stand for several source keys' END AS check_result, CAST(n AS varchar) AS observed FROM "
+        f"(SELECT count(*) AS n FROM (SELECT {short} AS short FROM {raw} GROUP BY 1 HAVING count(DISTINCT {full}) > 1) c) o"
+    )
+
+
+MARGIN = """SELECT min(margin) AS low FROM (SELECT CAST(sum(CASE g.account_type WHEN 'REVENUE' THEN p.amount
+    WHEN 'EXPENSE' THEN -p.amount ELSE 0 END) AS decimal(18,2)) AS margin
+  FROM finance_monthly_pnl p JOIN finance_gl_accounts g ON g.account_id = p.account_id GROUP BY p.period) m"""
+LIVE = "raw_salesforce_accounts WHERE is_deleted = FALSE AND account_type ILIKE 'Customer%'"
+
 EXPECTED = {
     "sales_orders": compose("SELECT * FROM sales_orders"),
     "sales_orders_severity": compose(SEVERITY),
@@ -25,4 +89,38 @@ EXPECTED = {
     "monthly_pnl": compose("SELECT * FROM finance_monthly_pnl"),
     "suppliers": compose("SELECT * FROM supply_suppliers"),
     "purchase_orders": compose("SELECT * FROM supply_purchase_orders"),
+    "upsert_orders": merge_query("sales_orders", "sales.orders"),
+    "upsert_order_items": merge_query("sales_order_items", "sales.order_items"),
+    "upsert_skus": merge_query("inventory_skus", "inventory.skus"),
+    "upsert_distributors": merge_query("inventory_distributors", "inventory.distributors"),
+    "upsert_null_keys": compose(merged("sales.daily_sales_summary", "first_run", "first_run"), first_run=UNREADABLE_DATES),
+    "check_skus": check("validate_skus", "SELECT count(*) AS n FROM inventory_skus WHERE status = 'ACTIVE'", "n > 0",
+                        "'FAIL: SKUS table is empty after transform'", "n"),
+    "check_stock": check("validate_stock", "SELECT count(*) AS n FROM inventory_warehouse_stock", "n > 0",
+                         "'FAIL: WAREHOUSE_STOCK has no records'", "n"),
+    "check_orders": none_found("validate_orders", orphans("sales_order_items", "sales_orders", "order_id"), "WARN",
+                               "orphaned order items found"),
+    "check_revenue": check("validate_revenue", "SELECT max(gross_revenue) AS top FROM sales_daily_sales_summary "
+                           "WHERE sale_date >= DATE '2001-11-04' - INTERVAL 7 DAY", "top < 500000",
+                           "'WARN: Unusually high daily revenue detected'", "top"),
+    "check_no_deleted_customers": check("validate_no_deleted_customers", "SELECT (SELECT count(*) FROM crm_customers) AS a, "
+                                        f"(SELECT count(*) FROM {LIVE}) AS b", "a = b",
+                                        "'WARN: Customer count mismatch vs source'", "a"),
+    "check_ticket_customer_fk": none_found("validate_ticket_customer_fk", orphans("crm_support_tickets", "crm_customers",
+                                           "customer_id") + " AND m.customer_id IS NOT NULL", "WARN",
+                                           "tickets with unknown customer"),
+    "check_pnl_balance": check("validate_pnl_balance", MARGIN, "low > 0", "'WARN: Some periods show negative gross margin'", "low"),
+    "check_gl_coverage": none_found("validate_gl_coverage", orphans("finance_monthly_pnl", "finance_gl_accounts", "account_id"),
+                                    "FAIL", "P&L entries with unknown GL account"),
+    "check_supplier_fk": none_found("validate_supplier_fk", orphans("supply_purchase_orders", "supply_suppliers", "supplier_id"),
+                                    "FAIL", "POs with unknown supplier"),
+    "check_po_amounts": none_found("validate_po_amounts", "supply_purchase_orders WHERE quantity < 0 OR unit_cost < 0", "FAIL",
+                                   "POs with negative values"),
+    "check_key_health": compose(" UNION ALL ".join(key_health(t) for t in schemas.KEYS)),
+    "check_key_collisions": compose(" UNION ALL ".join([
+        key_collisions("skus", "raw_erp_products", "item_number", sku("item_number")),
+        key_collisions("support_tickets", "raw_salesforce_cases", "sf_case_id", "right(sf_case_id, 4)"),
+        key_collisions("suppliers", "raw_sap_vendors", "vendor_number", "right(vendor_number, 3)"),
+        key_collisions("purchase_orders", "raw_sap_purchase_orders", "po_number", "right(po_number, 4)"),
+    ])),
 }

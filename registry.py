@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.operators import crm, finance, inventory, sales, supply
+from fixtures import PRIOR_STATE, UNREADABLE_DATES
+from millrace.functions import clean
+from millrace.operators import checks, crm, finance, inventory, sales, supply
+from millrace.operators.upsert import upsert_curated
 from millrace.sources.feeds import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +73,71 @@ def _purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
     return supply.purchase_orders(feed(spark, folder, "raw_sap_purchase_orders"))
 
 
+def _over_view(spark: SparkSession, view: str, df: DataFrame, sql: str) -> DataFrame:
+    df.createOrReplaceTempView(view)
+    return spark.sql(sql)
+
+
+def _merge(build: Query, view: str, table: str) -> Query:
+    """Merge today's rows of a curated table into its earlier state."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        today = build(spark, folder)
+        return upsert_curated(_over_view(spark, view, today, PRIOR_STATE[view]), today, table)
+
+    return run
+
+
+def _merge_null_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The second run of a feed with unreadable dates: rows without a key come in once more."""
+    first = _over_view(spark, "sales_daily_sales_summary", _daily_sales_summary(spark, folder), UNREADABLE_DATES)
+    return upsert_curated(first, first, "sales.daily_sales_summary")
+
+
+AS_OF = dt.date(2001, 11, 4)  # last day of sales in the tables
+
+CURATED: dict[str, Query] = {
+    "sales.orders": _orders,
+    "sales.order_items": _order_items,
+    "sales.daily_sales_summary": _daily_sales_summary,
+    "inventory.skus": _skus,
+    "inventory.product_categories": _product_categories,
+    "inventory.distributors": _distributors,
+    "inventory.warehouse_stock": _warehouse_stock,
+    "crm.customers": _customers,
+    "crm.support_tickets": _support_tickets,
+    "finance.gl_accounts": _gl_accounts,
+    "finance.monthly_pnl": _monthly_pnl,
+    "supply_chain.suppliers": _suppliers,
+    "supply_chain.purchase_orders": _purchase_orders,
+}
+
+
+def _check(fn: Callable[..., DataFrame], *inputs: Query, **options) -> Query:
+    return lambda spark, folder: fn(*[build(spark, folder) for build in inputs], **options)
+
+
+def _raw(name: str) -> Query:
+    return lambda spark, folder: feed(spark, folder, name)
+
+
+def _check_key_health(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [checks.key_health(build(spark, folder), table) for table, build in CURATED.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _check_key_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    last = lambda c, n: F.right(F.col(c), F.lit(n))
+    cut = [
+        ("skus", "raw_erp_products", "item_number", clean.sku_key(F.col("item_number"))),
+        ("support_tickets", "raw_salesforce_cases", "sf_case_id", last("sf_case_id", 4)),
+        ("suppliers", "raw_sap_vendors", "vendor_number", last("vendor_number", 3)),
+        ("purchase_orders", "raw_sap_purchase_orders", "po_number", last("po_number", 4)),
+    ]
+    rows = [checks.key_collisions(n, feed(spark, folder, raw), full, short) for n, raw, full, short in cut]
+    return reduce(DataFrame.unionByName, rows)
+
+
 QUERIES: dict[str, Query] = {
     "sales_orders": _orders,
     "sales_orders_severity": _orders_severity,
@@ -83,4 +153,21 @@ QUERIES: dict[str, Query] = {
     "monthly_pnl": _monthly_pnl,
     "suppliers": _suppliers,
     "purchase_orders": _purchase_orders,
+    "upsert_orders": _merge(_orders, "sales_orders", "sales.orders"),
+    "upsert_order_items": _merge(_order_items, "sales_order_items", "sales.order_items"),
+    "upsert_skus": _merge(_skus, "inventory_skus", "inventory.skus"),
+    "upsert_distributors": _merge(_distributors, "inventory_distributors", "inventory.distributors"),
+    "upsert_null_keys": _merge_null_keys,
+    "check_skus": _check(checks.skus_present, _skus),
+    "check_stock": _check(checks.stock_present, _warehouse_stock),
+    "check_orders": _check(checks.items_have_headers, _order_items, _orders),
+    "check_revenue": _check(checks.revenue_believable, _daily_sales_summary, as_of=AS_OF),
+    "check_no_deleted_customers": _check(checks.no_deleted_customers, _customers, _raw("raw_salesforce_accounts")),
+    "check_ticket_customer_fk": _check(checks.tickets_have_customers, _support_tickets, _customers),
+    "check_pnl_balance": _check(checks.pnl_margin_positive, _monthly_pnl, _gl_accounts),
+    "check_gl_coverage": _check(checks.pnl_accounts_known, _monthly_pnl, _gl_accounts),
+    "check_supplier_fk": _check(checks.purchase_suppliers_known, _purchase_orders, _suppliers),
+    "check_po_amounts": _check(checks.purchase_amounts_positive, _purchase_orders),
+    "check_key_health": _check_key_health,
+    "check_key_collisions": _check_key_collisions,
 }
