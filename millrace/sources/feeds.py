@@ -41,19 +41,16 @@ SELECT LPAD(CAST(l_suppkey % 10 AS STRING), 2, '0') AS facility_code, CAST(l_par
   substr(CAST(l_shipdate AS STRING), 1, 10) || ' ' || LPAD(CAST(l_orderkey % 24 AS STRING), 2, '0') || ':'
     || LPAD(CAST(l_orderkey % 60 AS STRING), 2, '0') || ':00' AS snapshot_ts
 FROM lineitem""",
-    # One contract per nation with suppliers: the partner list is bounded by the nation table.
     "raw_partner_contracts": """
-SELECT 'Partner ' || n_name || CASE n_nationkey % 5 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' Corp.'
+SELECT 'Partner ' || CAST(s_suppkey AS STRING) || CASE s_suppkey % 5 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' Corp.'
     WHEN 2 THEN ' Corporation' WHEN 3 THEN ' Co., Inc.' ELSE '' END AS partner_name,
-  'shop' || CAST(n_nationkey AS STRING) || '.example.com' AS partner_domain, r_name || ' - ' || n_name AS partner_region,
-  CASE n_nationkey % 3 WHEN 0 THEN 'ONLINE' WHEN 1 THEN 'RETAIL' ELSE 'MARKETPLACE' END AS channel_type,
-  CASE WHEN balance > 20000 THEN 'PLATINUM' WHEN balance > 10000 THEN 'GOLD' ELSE 'SILVER' END AS tier_level,
-  '2023-' || LPAD(CAST(first_vendor % 12 + 1 AS STRING), 2, '0') || '-'
-    || LPAD(CAST(first_vendor % 28 + 1 AS STRING), 2, '0') AS effective_date,
-  CASE WHEN n_nationkey % 6 <> 4 THEN 'ACTIVE' ELSE 'EXPIRED' END AS contract_status
-FROM (SELECT s_nationkey, MIN(s_suppkey) AS first_vendor, SUM(CAST(s_acctbal AS DECIMAL(12,2))) AS balance
-      FROM supplier GROUP BY s_nationkey) s
-JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+  'shop' || CAST(s_suppkey AS STRING) || '.example.com' AS partner_domain, r_name || ' - ' || n_name AS partner_region,
+  CASE s_suppkey % 3 WHEN 0 THEN 'ONLINE' WHEN 1 THEN 'RETAIL' ELSE 'MARKETPLACE' END AS channel_type,
+  CASE s_suppkey % 4 WHEN 0 THEN 'PLATINUM' WHEN 1 THEN 'GOLD' ELSE 'SILVER' END AS tier_level,
+  '2023-' || LPAD(CAST(s_suppkey % 12 + 1 AS STRING), 2, '0') || '-'
+    || LPAD(CAST(s_suppkey % 28 + 1 AS STRING), 2, '0') AS effective_date,
+  CASE WHEN s_suppkey % 7 = 4 THEN 'EXPIRED' ELSE 'ACTIVE' END AS contract_status
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "raw_erp_sales_orders": f"""
 SELECT CAST(o_orderkey AS STRING) AS order_number, CAST(line AS STRING) AS order_line,
   CAST(l_partkey AS STRING) AS item_number, 'ACCT-' || CAST(o_custkey AS STRING) AS customer_account,
@@ -131,7 +128,12 @@ SELECT '45' || LPAD(CAST(l_orderkey AS STRING), 12, '0') AS po_number, CAST(10 *
   CASE l_orderkey % 4 WHEN 0 THEN 'FULLY_RECEIVED' WHEN 1 THEN 'IN_TRANSIT' WHEN 2 THEN 'ORDERED'
     ELSE 'CANCELLED' END AS po_status
 FROM {_NUMBERED_LINES}""",
-    # What a provider answered for the (product, partner) pairs that were ever traded: prose, JSON, broken JSON.
+    # Which partner was seen selling which product: one row per sale, so pairs repeat.
+    "raw_listings": """
+SELECT 'SKU-' || LPAD(CAST(l_partkey AS STRING), 5, '0') AS sku_id,
+  'shop' || CAST(l_suppkey AS STRING) || '.example.com' AS website_domain
+FROM lineitem""",
+    # One provider answer per pair with a sale that stayed sold: prose, JSON, broken JSON. Other pairs have none.
     "raw_agent_responses": """
 SELECT sku_id, website_domain,
   CASE k WHEN 0 THEN 'No listing could be located for this product.'
@@ -144,10 +146,10 @@ SELECT sku_id, website_domain,
     ELSE 'Here is what I found: {"Listed Price": ' || price || ', "Discount": 0.10, "listing_url": "https://'
       || website_domain || '/p/' || sku_id || '"} Hope this helps.' END AS output_text
 FROM (SELECT 'SKU-' || LPAD(CAST(p_partkey AS STRING), 5, '0') AS sku_id,
-        'shop' || CAST(s_nationkey AS STRING) || '.example.com' AS website_domain, (p_partkey * 7 + s_nationkey * 13) % 20 AS k,
-        CAST(CAST(CAST(p_retailprice AS DECIMAL(10,2)) * (80 + (p_partkey * 3 + s_nationkey) % 41)
+        'shop' || CAST(l_suppkey AS STRING) || '.example.com' AS website_domain, (p_partkey * 7 + l_suppkey * 13) % 20 AS k,
+        CAST(CAST(CAST(p_retailprice AS DECIMAL(10,2)) * (80 + (p_partkey * 3 + l_suppkey) % 41)
           * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS STRING) AS price
-      FROM (SELECT DISTINCT l_partkey, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) t
+      FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'R') t
       JOIN part ON l_partkey = p_partkey) b""",
 }
 

@@ -74,6 +74,20 @@ MARGIN = """SELECT min(margin) AS low FROM (SELECT CAST(sum(CASE g.account_type
   FROM finance_monthly_pnl p JOIN finance_gl_accounts g ON g.account_id = p.account_id GROUP BY p.period) m"""
 LIVE = "raw_salesforce_accounts WHERE is_deleted = FALSE AND account_type ILIKE 'Customer%'"
 
+REQUESTS = r"""SELECT sku_id, website_domain,
+  '{"sku_id":"' || sku_id || '","product_name":"' || product_name || '","brand":"' || brand || '","upc":"' || upc || '"'
+    || CASE WHEN msrp IS NULL THEN '' ELSE ',"msrp":' || CAST(msrp AS varchar) END || ',"distributor_id":"' || distributor_id
+    || '","distributor_name":"' || distributor_name || '","website_domain":"' || website_domain || '"}' AS input_json,
+  'Find the following information: [listed_price, discount, listing_url] for the entity described by: sku_id: ' || sku_id
+    || ', product_name: ' || product_name || ', brand: ' || brand || ', upc: ' || upc || CASE WHEN msrp IS NULL THEN ''
+      ELSE ', msrp: ' || regexp_replace(regexp_replace(CAST(msrp AS varchar), '(\.[0-9]*?)0+$', '\1'), '\.$', '') END
+    || ', distributor_id: ' || distributor_id || ', distributor_name: ' || distributor_name || ', website_domain: '
+    || website_domain || '. Return a JSON object with these exact keys: ["listed_price", "discount", "listing_url"]. '
+    || 'Use "Not found" for any field you cannot determine.' AS request
+FROM price_base"""
+CAPPED = """CASE WHEN length(text) > {n} THEN left(text, {n}) || chr(10) || chr(10) || '[OUTPUT TRUNCATED]' ELSE text END"""
+LONG = " + ".join(f"coalesce(CAST(length({c}) > {n} AS integer), 0)" for c, n in schemas.PRICE_TEXT_LENGTHS.items())
+
 EXPECTED = {
     "sales_orders": compose("SELECT * FROM sales_orders"),
     "sales_orders_severity": compose(SEVERITY),
@@ -123,4 +137,29 @@ EXPECTED = {
         key_collisions("suppliers", "raw_sap_vendors", "vendor_number", "right(vendor_number, 3)"),
         key_collisions("purchase_orders", "raw_sap_purchase_orders", "po_number", "right(po_number, 4)"),
     ])),
+    "sku_distributor_base": compose("SELECT * FROM price_base"),
+    "enrich_requests": compose(REQUESTS),
+    "enrich_input_hygiene": "SELECT event_id, CASE WHEN event_type IN ('error', 'signup', 'click') THEN '{}' ELSE props END "
+                            "AS entity FROM events",
+    "parse_responses": compose("SELECT * FROM parsed"),
+    "distributor_prices": compose("SELECT * FROM distributor_prices"),
+    "enrich_companies": "SELECT c_custkey, c_name AS name, c_mktsegment AS segment, 'Not found' AS ceo, "
+                        "TIMESTAMP '2025-04-01 06:00:00' AS enriched_at FROM customer",
+    "enrich_udtf": "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name END AS product_name, CASE WHEN p_size > 25 THEN p_brand "
+                   "END AS brand, CASE WHEN p_size > 25 THEN NULL ELSE p_brand END AS brand_as_asked FROM part",
+    "enrich_scalar": "SELECT s_suppkey, s_name AS name, 'Not found' AS site, 'No output columns specified' AS error FROM supplier",
+    "variant_paths": compose("SELECT sku_id, msrp, brand, CAST(NULL AS varchar) AS absent FROM inventory_skus"),
+    "last_assistant_text": "SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1",
+    "message_blocks": "SELECT conv_id, turn, text || chr(10) || 'turn ' || CAST(turn AS varchar) AS text FROM conversations",
+    "tool_output_cap": f"SELECT doc_id, md5({CAPPED.format(n=80000)}) AS capped, md5({CAPPED.format(n=1000)}) AS capped_short, "
+                       f"length({CAPPED.format(n=1000)}) AS n FROM documents",
+    "check_row_count": check("validate_row_count", "SELECT (SELECT count(*) FROM inventory_skus) * (SELECT count(*) FROM "
+                             "inventory_distributors) AS e, (SELECT count(*) FROM distributor_prices) AS n", "n = e",
+                             "'WARN: Expected ' || e || ' but got ' || n", "n", "'PASS: ' || e || ' rows as expected'"),
+    "check_no_nulls": check("validate_no_nulls", "SELECT count(*) AS n, count(listed_price) AS p FROM distributor_prices",
+                            "p >= 0.8 * n", "'WARN: More than 20% of prices are NULL'", "p"),
+    "check_price_range": none_found("validate_price_range", "distributor_prices WHERE listed_price < 0 OR listed_price > msrp * 10",
+                                    "FAIL", "rows with suspicious prices"),
+    "check_length_contract": check("length_contract", f"SELECT CAST(coalesce(sum({LONG}), 0) AS bigint) AS n FROM "
+                                   "distributor_prices", "n = 0", "'FAIL: ' || n || ' values longer than their column'", "n"),
 }

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fixtures import PRIOR_STATE, UNREADABLE_DATES
 from millrace.functions import clean
-from millrace.operators import checks, crm, finance, inventory, sales, supply
+from millrace.operators import answers, checks, crm, enrich, finance, inventory, prices, sales, supply
 from millrace.operators.upsert import upsert_curated
-from millrace.sources.feeds import feed
+from millrace.sources.feeds import feed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,6 +138,114 @@ def _check_key_collisions(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+RUN_AT = dt.datetime(2025, 4, 1, 6, 0, 0)
+
+
+def _price_base(spark: SparkSession, folder: str) -> DataFrame:
+    return prices.price_base(feed(spark, folder, "raw_listings"), _skus(spark, folder), _distributors(spark, folder))
+
+
+def _enrich_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return prices.requests(_price_base(spark, folder))
+
+
+def _parse_responses(spark: SparkSession, folder: str) -> DataFrame:
+    raw = feed(spark, folder, "raw_agent_responses")
+    parsed = raw.withColumn("enriched", answers.parse_answer(F.col("output_text"), prices.FIELDS))
+    picks = [F.col("enriched").getField(f).alias(f) for f in (*prices.FIELDS, "_raw")]
+    return parsed.select(*prices.REQUEST_KEY, *picks)
+
+
+def _distributor_prices(spark: SparkSession, folder: str) -> DataFrame:
+    return prices.distributor_prices(_price_base(spark, folder), feed(spark, folder, "raw_agent_responses"), RUN_AT)
+
+
+def _enrich_input_hygiene(spark: SparkSession, folder: str) -> DataFrame:
+    """Event properties as entities: readable ones pass, cut-off and empty ones become an empty object."""
+    props = F.col("props")
+    cut = F.when(F.col("event_type") == "error", F.left(props, F.length(props) - 1))
+    dirty = cut.when(F.col("event_type") == "signup", "").when(F.col("event_type") == "click", None).otherwise(props)
+    return table(spark, folder, "events").select("event_id", enrich.clean_entity(dirty).alias("entity"))
+
+
+COMPANY_FIELDS = ["name", "segment", "ceo"]
+
+
+def _enrich_companies(spark: SparkSession, folder: str) -> DataFrame:
+    """Accounts enriched row by row, their records opened into columns and stamped."""
+    companies = table(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    asked = enrich.enrich_column(companies, ["name", "segment"], COMPANY_FIELDS, enrich.restating_provider)
+    opened = enrich.record_columns(asked.select("c_custkey", "enriched"), COMPANY_FIELDS)
+    return opened.withColumn("enriched_at", F.lit(str(RUN_AT)).cast("timestamp_ntz"))
+
+
+def _enrich_udtf(spark: SparkSession, folder: str) -> DataFrame:
+    """The table function over all parts; the group of a row decides its task, not its fields."""
+    enrich.register(spark, {"restating": enrich.restating_provider})
+    table(spark, folder, "part").createOrReplaceTempView("part")
+    out = spark.sql(
+        """WITH asked AS (SELECT to_json(named_struct('part', p_partkey, 'product_name', p_name, 'brand', p_brand)) AS input_json,
+             CASE WHEN p_size > 25 THEN array('product_name', 'brand') ELSE array('Brand') END AS output_columns,
+             CASE WHEN p_size > 40 THEN 'Prices only.' END AS custom_prompt, pmod(xxhash64(p_partkey), 64) AS spread FROM part)
+           SELECT * FROM enrich_rows(TABLE(SELECT * FROM asked) PARTITION BY spread)"""
+    )
+    read = lambda c, k: F.try_variant_get(F.parse_json(c), f"$.{k}", "string")
+    return out.select(
+        read("input", "part").cast("bigint").alias("p_partkey"),
+        read("enriched", "product_name").alias("product_name"),
+        read("enriched", "brand").alias("brand"),
+        read("enriched", "Brand").alias("brand_as_asked"),
+    )
+
+
+def _enrich_scalar(spark: SparkSession, folder: str) -> DataFrame:
+    """The SQL function with its default prompt, with a prompt, and with nothing asked for."""
+    enrich.register(spark, {"restating": enrich.restating_provider})
+    table(spark, folder, "supplier").createOrReplaceTempView("supplier")
+    return spark.sql(
+        """SELECT s_suppkey, get_json_object(e, '$.name') AS name, get_json_object(e, '$.site') AS site,
+             get_json_object(n, '$.error') AS error
+           FROM (SELECT s_suppkey, enrich(to_json(named_struct('name', s_name)), '["name", "site"]') AS e,
+                   enrich_restating(to_json(named_struct('name', s_name)), '[]', 'Be brief.') AS n FROM supplier)"""
+    )
+
+
+def _variant_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed reads out of the JSON entity, by variant path and by JSON path."""
+    entity = _skus(spark, folder).select(enrich.entity_json(prices.ENTITY[:5]).alias("j"))
+    v = F.parse_json("j")
+    return entity.select(
+        F.variant_get(v, "$.sku_id", "string").alias("sku_id"),
+        F.try_variant_get(v, "$.msrp", "decimal(10,2)").alias("msrp"),
+        F.get_json_object("j", "$.brand").alias("brand"),
+        F.try_variant_get(v, "$.no_such_key", "string").alias("absent"),
+    )
+
+
+def _last_assistant_text(spark: SparkSession, folder: str) -> DataFrame:
+    return answers.last_assistant_text(table(spark, folder, "conversations"))
+
+
+def _message_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message as a list of blocks: its text, a tool call and a bare string."""
+    talk = table(spark, folder, "conversations")
+    text = F.to_json(F.struct(F.lit("text").alias("type"), "text"))
+    bare = F.concat(F.lit('"turn '), F.col("turn").cast("string"), F.lit('"'))
+    content = F.concat(F.lit("["), F.concat_ws(",", text, F.lit('{"type":"tool_use","id":"t1"}'), bare), F.lit("]"))
+    return talk.select("conv_id", "turn", answers.blocks_text(content).alias("text"))
+
+
+def _tool_output_cap(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole documents through the cap, once at its own limit and once at a limit most of them pass."""
+    docs = table(spark, folder, "documents")
+    own, short = answers.cap_text(F.col("text")), answers.cap_text(F.col("text"), 1000)
+    return docs.select("doc_id", F.md5(own).alias("capped"), F.md5(short).alias("capped_short"), F.length(short).alias("n"))
+
+
+def _prices_check(fn: Callable[..., DataFrame], *more: Query) -> Query:
+    return _check(fn, _distributor_prices, *more)
+
+
 QUERIES: dict[str, Query] = {
     "sales_orders": _orders,
     "sales_orders_severity": _orders_severity,
@@ -170,4 +278,20 @@ QUERIES: dict[str, Query] = {
     "check_po_amounts": _check(checks.purchase_amounts_positive, _purchase_orders),
     "check_key_health": _check_key_health,
     "check_key_collisions": _check_key_collisions,
+    "sku_distributor_base": _price_base,
+    "enrich_requests": _enrich_requests,
+    "enrich_input_hygiene": _enrich_input_hygiene,
+    "parse_responses": _parse_responses,
+    "distributor_prices": _distributor_prices,
+    "enrich_companies": _enrich_companies,
+    "enrich_udtf": _enrich_udtf,
+    "enrich_scalar": _enrich_scalar,
+    "variant_paths": _variant_paths,
+    "last_assistant_text": _last_assistant_text,
+    "message_blocks": _message_blocks,
+    "tool_output_cap": _tool_output_cap,
+    "check_row_count": _prices_check(checks.price_row_count, _skus, _distributors),
+    "check_no_nulls": _prices_check(checks.price_fill_rate),
+    "check_price_range": _prices_check(checks.price_range),
+    "check_length_contract": _prices_check(checks.length_contract),
 }
