@@ -162,4 +162,10 @@ EXPECTED = {
                                     "FAIL", "rows with suspicious prices"),
     "check_length_contract": check("length_contract", f"SELECT CAST(coalesce(sum({LONG}), 0) AS bigint) AS n FROM "
                                    "distributor_prices", "n = 0", "'FAIL: ' || n || ' values longer than their column'", "n"),
+    "page_text": compose("SELECT * FROM plain_pages"),
+    "site_search": compose("SELECT request_id, rank, page_id, url, hits, array_to_string(w[greatest(first_at - 5, 1):"
+                           "greatest(first_at - 5, 1) + 19], ' ') AS snippet FROM found_pages JOIN page_words USING (page_id)"),
+    "site_context": compose("SELECT request_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT "
+                            f"request_id, rank, {CAPPED.format(n=80000)} AS text FROM found_pages JOIN page_words "
+                            "USING (page_id)) c GROUP BY 1"),
 }

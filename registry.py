@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fixtures import PRIOR_STATE, UNREADABLE_DATES
 from millrace.functions import clean
-from millrace.operators import answers, checks, crm, enrich, finance, inventory, prices, sales, supply
+from millrace.operators import answers, checks, corpus, crm, enrich, finance, inventory, prices, sales, supply
 from millrace.operators.upsert import upsert_curated
 from millrace.sources.feeds import feed, table
 
@@ -242,6 +242,23 @@ def _tool_output_cap(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.md5(own).alias("capped"), F.md5(short).alias("capped_short"), F.length(short).alias("n"))
 
 
+def _page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.pages_text(table(spark, folder, "pages"))
+
+
+def _found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return corpus.site_search(corpus.title_requests(pages), pages)
+
+
+def _site_search(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.with_snippets(_found(spark, folder), table(spark, folder, "pages"))
+
+
+def _site_context(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.context(_found(spark, folder), table(spark, folder, "pages"))
+
+
 def _prices_check(fn: Callable[..., DataFrame], *more: Query) -> Query:
     return _check(fn, _distributor_prices, *more)
 
@@ -294,4 +311,7 @@ QUERIES: dict[str, Query] = {
     "check_no_nulls": _prices_check(checks.price_fill_rate),
     "check_price_range": _prices_check(checks.price_range),
     "check_length_contract": _prices_check(checks.length_contract),
+    "page_text": _page_text,
+    "site_search": _site_search,
+    "site_context": _site_context,
 }
