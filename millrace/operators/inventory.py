@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import clean, codes
 from millrace.operators.numbering import global_row_number
@@ -91,11 +91,12 @@ def warehouse_stock(raw: DataFrame) -> DataFrame:
     return stock_columns(newest_snapshot(raw))
 
 
-def stock_columns(raw: DataFrame) -> DataFrame:
+def stock_columns(raw: DataFrame, *more: Column) -> DataFrame:
     return raw.select(
         clean.prefixed(codes.WAREHOUSE, F.col("facility_code")).alias("warehouse_id"),
         clean.sku_key(F.col("item_number")).alias("sku_id"),
         clean.to_int(F.col("on_hand_qty")).alias("quantity_on_hand"),
         clean.to_int(F.col("reorder_level")).alias("reorder_point"),
         clean.day_of(F.col("last_cycle_count")).alias("last_counted"),
+        *more,
     )

@@ -23,37 +23,28 @@ def _spread_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn(_SALT, F.when(_any_null(keys), spread).otherwise(F.lit(0)))
 
 
-def _present(keys: Sequence[str], unique: bool) -> Column:
-    """The mark of a source row. With ``unique`` it fails the job on a second row for one key.
-
-    The numbering uses the clustering and order of the merge join after it, so it adds no shuffle and no sort.
-    """
-    if not unique:
-        return F.lit(True)
-    nth = F.row_number().over(Window.partitionBy(*keys, _SALT).orderBy(*keys, _SALT))
-    shown = F.to_json(F.struct(*keys))
-    clash = F.raise_error(F.concat(F.lit("more than one source row for key "), shown)).cast("boolean")
-    return F.when((nth > 1) & ~_any_null(keys), clash).otherwise(F.lit(True))
-
-
 def upsert(
     target: DataFrame,
     source: DataFrame,
     keys: Sequence[str],
     kept: Sequence[str] = (),
-    unique: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """The target after merging ``source`` into it, with the columns of ``target``.
 
     Matched rows take every source column, NULLs included, except the keys and ``kept``. Source rows without
     a match are inserted; target rows without one stay. Keys compare with ``=``: a NULL key never matches, so
-    such source rows are inserted on every run. A second source row for one key raises unless ``unique`` is off.
+    such source rows are inserted on every run. A second source row for one key would make an update depend
+    on chance, so the job fails when it meets a match; without one both rows are inserted. With ``strict``
+    it fails on any second row for a key.
 
+    One shuffle per side: the numbering that finds second rows uses the clustering and order of the join.
     The result reads the target: write it to another place than the one the target is read from.
     """
     columns = target.columns
     src = _spread_null_keys(source.select(*[c for c in columns if c in source.columns]), keys)
-    src = src.withColumn(_HERE, _present(keys, unique))
+    nth = F.row_number().over(Window.partitionBy(*keys, _SALT).orderBy(*keys, _SALT))
+    src = src.withColumn(_HERE, nth)
     tgt = _spread_null_keys(target, keys).withColumn(_HERE, F.lit(True))
     given = [c for c in src.columns if c not in (*keys, _SALT, _HERE)]
     src = src.select(*[F.col(c).alias(f"s_{c}") for c in (*keys, _SALT, *given, _HERE)])
@@ -62,18 +53,23 @@ def upsert(
     match = reduce(Column.__and__, [F.col(f"t_{k}") == F.col(f"s_{k}") for k in (*keys, _SALT)])
     joined = tgt.join(src, match, "full_outer")
     in_source, in_target = F.col("s_" + _HERE).isNotNull(), F.col("t_" + _HERE).isNotNull()
+    keyed = ~_any_null([f"s_{k}" for k in keys])
+    clash = (F.col("s_" + _HERE) > 1) & keyed & (F.lit(strict) | in_target)
+    shown = F.to_json(F.struct(*[F.col(f"s_{k}").alias(k) for k in keys]))
+    refuse = F.raise_error(F.concat(F.lit("more than one source row for key "), shown))
 
     def merged(c: str) -> Column:
-        types = target.schema[c].dataType
+        kind = target.schema[c].dataType
         if c in keys:
             value = F.when(in_target, F.col(f"t_{c}")).otherwise(F.col(f"s_{c}"))
+            value = F.when(clash, refuse.cast(kind)).otherwise(value) if c == keys[0] else value
         elif c not in given:
             value = F.col(f"t_{c}")
         elif c in kept:
             value = F.when(in_target, F.col(f"t_{c}")).otherwise(F.col(f"s_{c}"))
         else:
             value = F.when(in_source, F.col(f"s_{c}")).otherwise(F.col(f"t_{c}"))
-        return value.cast(types).alias(c)
+        return value.cast(kind).alias(c)
 
     return joined.select(*[merged(c) for c in columns])
 
@@ -89,6 +85,6 @@ def upsert_curated(target: DataFrame, source: DataFrame, table: str) -> DataFram
 
 
 def clashing_keys(source: DataFrame, keys: Sequence[str], sample: int = 10) -> list:
-    """Up to ``sample`` keys that would make ``upsert`` raise, to look at after it did."""
+    """Up to ``sample`` keys with several source rows, to look at when ``upsert`` refused one."""
     counted = source.where(~_any_null(keys)).groupBy(*keys).agg(F.count("*").alias("rows"))
     return counted.where("rows > 1").limit(sample).collect()

@@ -169,3 +169,12 @@ EXPECTED = {
                             f"request_id, rank, {CAPPED.format(n=80000)} AS text FROM found_pages JOIN page_words "
                             "USING (page_id)) c GROUP BY 1"),
 }
+
+DOMAIN_CHECKS = ["skus", "stock", "orders", "revenue", "no_deleted_customers", "ticket_customer_fk", "pnl_balance", "gl_coverage",
+                 "supplier_fk", "po_amounts", "row_count", "no_nulls", "price_range"]
+EXPECTED |= {
+    "full_refresh_prices": EXPECTED["distributor_prices"],
+    "warehouse_refresh": " UNION ALL ".join(f"(SELECT * FROM ({EXPECTED['check_' + c]}) x)" for c in DOMAIN_CHECKS),
+    "stream_orders": EXPECTED["sales_orders"],
+    "stream_stock": EXPECTED["warehouse_stock"],
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,7 +13,11 @@ from fixtures import PRIOR_STATE, UNREADABLE_DATES
 from millrace.functions import clean
 from millrace.operators import answers, checks, corpus, crm, enrich, finance, inventory, prices, sales, supply
 from millrace.operators.upsert import upsert_curated
+from millrace.plans import refresh
+from millrace.session import shared_dir
 from millrace.sources.feeds import feed, table
+from millrace.sources.tables import create_schemas, full_refresh
+from millrace.streaming import refresh as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -263,6 +268,36 @@ def _prices_check(fn: Callable[..., DataFrame], *more: Query) -> Query:
     return _check(fn, _distributor_prices, *more)
 
 
+def _full_refresh_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices without a time stamp into the price table, read back from it."""
+    create_schemas(spark)
+    return full_refresh(spark, prices.TABLE, _distributor_prices(spark, folder).drop("enriched_at"), RUN_AT)
+
+
+def _warehouse_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """Every domain merged into its tables; the rows are what the checks say about them."""
+    for name in (*CURATED, prices.TABLE):
+        spark.sql(f"DROP TABLE IF EXISTS {name}") if spark.catalog.databaseExists(name.split(".")[0]) else None
+    return refresh.refresh_all(spark, lambda name: feed(spark, folder, name), AS_OF, RUN_AT)
+
+
+def _arrivals(spark: SparkSession, folder: str, name: str, files: int) -> tuple[str, str, str]:
+    """A raw feed laid out as files that arrive one after the other, and folders for the table and its progress."""
+    root = f"{shared_dir(spark)}/stream-{name}-{uuid4().hex}"
+    feed(spark, folder, name).repartition(files).write.parquet(f"{root}/in")
+    return f"{root}/in", f"{root}/table", f"{root}/progress"
+
+
+def _stream_orders(spark: SparkSession, folder: str) -> DataFrame:
+    arrived, state, progress = _arrivals(spark, folder, "raw_erp_sales_orders", 3)
+    return streaming.stream_orders(streaming.read_feed(spark, arrived, "erp_sales_orders", 1), state, progress)
+
+
+def _stream_stock(spark: SparkSession, folder: str) -> DataFrame:
+    arrived, state, progress = _arrivals(spark, folder, "raw_erp_warehouse_inventory", 3)
+    return streaming.stream_stock(streaming.read_feed(spark, arrived, "erp_warehouse_inventory", 1), state, progress)
+
+
 QUERIES: dict[str, Query] = {
     "sales_orders": _orders,
     "sales_orders_severity": _orders_severity,
@@ -314,4 +349,8 @@ QUERIES: dict[str, Query] = {
     "page_text": _page_text,
     "site_search": _site_search,
     "site_context": _site_context,
+    "full_refresh_prices": _full_refresh_prices,
+    "warehouse_refresh": _warehouse_refresh,
+    "stream_orders": _stream_orders,
+    "stream_stock": _stream_stock,
 }
