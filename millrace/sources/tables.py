@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,39 +19,52 @@ from millrace.session import shared_dir
 SCHEMAS = ["raw", "inventory", "sales", "crm", "supply_chain", "finance"]
 
 
-def create_schemas(spark: SparkSession, root: str | None = None) -> None:
-    root = root or shared_dir(spark)
-    for name in SCHEMAS:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{root}/{name}.db'")
+@dataclass
+class Warehouse:
+    """Databases of the catalog, by their plain names or with ``prefix`` in front, and the folder they live in."""
 
+    spark: SparkSession
+    prefix: str = ""
+    root: str = field(default="")
 
-def replace_table(df: DataFrame, name: str, root: str | None = None) -> None:
-    """Create the table from ``df``, or point it at a fresh copy of ``df``."""
-    spark = df.sparkSession
-    folder = f"{root or shared_dir(spark)}/{name.replace('.', '.db/')}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    if spark.catalog.tableExists(name):
-        spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
-        spark.catalog.refreshTable(name)
-    else:
-        spark.catalog.createTable(name, path=folder, source="parquet", schema=df.schema)
+    def __post_init__(self) -> None:
+        self.root = self.root or f"{shared_dir(self.spark)}/{self.prefix or 'main'}"
 
+    def create_schemas(self) -> None:
+        for name in SCHEMAS:
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.prefix}{name} LOCATION '{self.root}/{name}.db'")
 
-def create_curated(spark: SparkSession, name: str, root: str | None = None) -> None:
-    """An empty curated table with its contract, unless it exists."""
-    if not spark.catalog.tableExists(name):
-        replace_table(spark.createDataFrame([], schemas.curated_schema(name)), name, root)
+    def use(self, schema: str) -> None:
+        self.spark.sql(f"USE {self.prefix}{schema}")
 
+    def exists(self, name: str) -> bool:
+        return self.spark.catalog.tableExists(self.prefix + name)
 
-def merge_into(spark: SparkSession, name: str, source: DataFrame, root: str | None = None) -> DataFrame:
-    create_curated(spark, name, root)
-    replace_table(upsert_curated(spark.table(name), source, name), name, root)
-    return spark.table(name)
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(self.prefix + name)
 
+    def replace(self, name: str, rows: DataFrame) -> DataFrame:
+        """Create the table from ``rows``, or point it at a fresh copy of them."""
+        folder = f"{self.root}/{name.replace('.', '.db/')}/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        if self.exists(name):
+            self.spark.sql(f"ALTER TABLE {self.prefix}{name} SET LOCATION '{folder}'")
+            self.spark.catalog.refreshTable(self.prefix + name)
+        else:
+            self.spark.catalog.createTable(self.prefix + name, path=folder, source="parquet", schema=rows.schema)
+        return self.table(name)
 
-def full_refresh(spark: SparkSession, name: str, rows: DataFrame, run_at: dt.datetime, root: str | None = None) -> DataFrame:
-    """Replace all rows. A column the rows do not bring takes its default: the run time for ``enriched_at``."""
-    if "enriched_at" not in rows.columns and "enriched_at" in schemas.curated_schema(name).names:
-        rows = rows.withColumn("enriched_at", F.lit(run_at.isoformat(sep=" ")).cast("timestamp_ntz"))
-    replace_table(schemas.conform(rows, name), name, root)
-    return spark.table(name)
+    def create_curated(self, name: str) -> DataFrame:
+        """The curated table, empty and with its contract if it is new."""
+        if self.exists(name):
+            return self.table(name)
+        return self.replace(name, self.spark.createDataFrame([], schemas.curated_schema(name)))
+
+    def merge_into(self, name: str, source: DataFrame) -> DataFrame:
+        return self.replace(name, upsert_curated(self.create_curated(name), source, name))
+
+    def full_refresh(self, name: str, rows: DataFrame, run_at: dt.datetime) -> DataFrame:
+        """Replace all rows. Where the rows bring no ``enriched_at``, it takes its default, the run time."""
+        if "enriched_at" not in rows.columns and "enriched_at" in schemas.curated_schema(name).names:
+            rows = rows.withColumn("enriched_at", F.lit(run_at.isoformat(sep=" ")).cast("timestamp_ntz"))
+        return self.replace(name, schemas.conform(rows, name))

@@ -25,14 +25,13 @@ def _state(spark: SparkSession, folder: str, batch: int, schema: StructType) ->
     """The table after batch ``batch``; an empty one before the first."""
     if batch < 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/batch={batch}")
+    return spark.read.schema(schema).parquet(f"{folder}/state/batch={batch}")
 
 
 def _last_batch(spark: SparkSession, folder: str) -> int:
     """The newest finished state in ``folder``, -1 when there is none yet."""
     try:
-        # One row per state folder: the partition column alone, without reading data.
-        found = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*").select(F.max("batch")).first()[0]
+        found = spark.read.parquet(f"{folder}/done").agg(F.max("batch")).first()[0]  # one row per batch
     except AnalysisException:
         return -1
     return -1 if found is None else int(found)
@@ -48,8 +47,10 @@ def _run(
     """Process all input that is there, then stop."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = _state(batch.sparkSession, folder, batch_id - 1, schema)
-        step(before, batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = _state(spark, folder, batch_id - 1, schema)
+        step(before, batch).write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
+        spark.range(1).select("id").coalesce(1).write.mode("overwrite").parquet(f"{folder}/done/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write)

@@ -16,7 +16,7 @@ from millrace.operators.upsert import upsert_curated
 from millrace.plans import refresh
 from millrace.session import shared_dir
 from millrace.sources.feeds import feed, table
-from millrace.sources.tables import create_schemas, full_refresh
+from millrace.sources.tables import Warehouse
 from millrace.streaming import refresh as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,17 +268,22 @@ def _prices_check(fn: Callable[..., DataFrame], *more: Query) -> Query:
     return _check(fn, _distributor_prices, *more)
 
 
+def _new_warehouse(spark: SparkSession) -> Warehouse:
+    """Databases of their own, so that a query touches no table of the session's catalog."""
+    wh = Warehouse(spark, prefix=f"w{uuid4().hex[:12]}_")
+    wh.create_schemas()
+    return wh
+
+
 def _full_refresh_prices(spark: SparkSession, folder: str) -> DataFrame:
     """Prices without a time stamp into the price table, read back from it."""
-    create_schemas(spark)
-    return full_refresh(spark, prices.TABLE, _distributor_prices(spark, folder).drop("enriched_at"), RUN_AT)
+    priced = _distributor_prices(spark, folder).drop("enriched_at")
+    return _new_warehouse(spark).full_refresh(prices.TABLE, priced, RUN_AT)
 
 
 def _warehouse_refresh(spark: SparkSession, folder: str) -> DataFrame:
     """Every domain merged into its tables; the rows are what the checks say about them."""
-    for name in (*CURATED, prices.TABLE):
-        spark.sql(f"DROP TABLE IF EXISTS {name}") if spark.catalog.databaseExists(name.split(".")[0]) else None
-    return refresh.refresh_all(spark, lambda name: feed(spark, folder, name), AS_OF, RUN_AT)
+    return refresh.refresh_all(_new_warehouse(spark), lambda name: feed(spark, folder, name), AS_OF, RUN_AT)
 
 
 def _arrivals(spark: SparkSession, folder: str, name: str, files: int) -> tuple[str, str, str]:
