@@ -14,7 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-import registry  # noqa: E402
+from millrace.plans import registered  # noqa: E402
 from millrace.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -41,7 +41,7 @@ def main() -> None:
         taken = []
         for _ in range(RUNS + 1):
             start = time.perf_counter()
-            registry.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            registered.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
         times[name] = round(statistics.median(taken[1:]), 3)
     spark.stop()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from millrace.sources.feeds import FEEDS
-from oracle.curated import CURATED
+from millrace.expected.curated import CURATED
 
 KNOWN = {**FEEDS, **CURATED}
 

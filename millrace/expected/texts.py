@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fixtures import PRIOR_STATE, UNREADABLE_DATES
+from millrace.sources.prior_state import PRIOR_STATE, UNREADABLE_DATES
 from millrace import schemas
-from oracle.compose import compose
-from oracle.curated import sku
+from millrace.expected.compose import compose
+from millrace.expected.curated import sku
 
 SEVERITY = """SELECT order_id, customer_id, order_date, channel, CAST(sum(amount) AS decimal(18,2)) AS total_amount,
   max(CASE stage WHEN 1 THEN 'PENDING' WHEN 2 THEN 'PROCESSING' WHEN 3 THEN 'SHIPPED' WHEN 4 THEN 'DELIVERED'
@@ -16,7 +16,7 @@ FROM order_lines GROUP BY order_id, customer_id, order_date, channel"""
 def merged(table: str, target: str, source: str) -> str:
     """Merge result spelled out: matched rows from the source, kept columns and unmatched rows from the target."""
     keys, kept = schemas.KEYS[table], schemas.KEPT_ON_UPDATE.get(table, [])
-    columns = schemas.curated_schema(table).names
+    columns = schemas.curated_columns(table)
     picks = []
     for c in columns:
         if c in keys or c in kept:
@@ -177,4 +177,6 @@ EXPECTED |= {
     "warehouse_refresh": " UNION ALL ".join(f"(SELECT * FROM ({EXPECTED['check_' + c]}) x)" for c in DOMAIN_CHECKS),
     "stream_orders": EXPECTED["sales_orders"],
     "stream_stock": EXPECTED["warehouse_stock"],
+    "enrich_pairs": compose("SELECT sku_id, distributor_id, brand, website_domain, 'Not found' AS listed_price FROM price_base"),
+    "enrich_events": "SELECT event_id, user_id, event_type AS kind, 'Not found' AS meaning FROM events",
 }

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions.answer_scan import ERROR_KEY, key_of, read_answer
 from millrace.operators.answers import parse_answer
+from millrace.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as for the row helper: tasks carry the code
 
@@ -211,6 +212,20 @@ def enrich_column(df: DataFrame, columns: Sequence[str], fields: Sequence[str],
     return df.withColumn("enriched", call(entity_json(columns), F.lit(json.dumps(list(fields))), prompt_column))
 
 
+def enrich_once(df: DataFrame, columns: Sequence[str], fields: Sequence[str], factory: ProviderFactory, prompt: str | None = None) -> DataFrame:
+    """As ``enrich_column``, but equal entities are asked for once, however many rows share them.
+
+    The answers are written before they are joined back: a provider may answer differently the next time, and
+    a lost task must not lead to a second answer. Rows of a shared entity keep their partitions until the
+    join, where adaptive execution splits a heavy one.
+    """
+    asked = df.withColumn("__entity", entity_json(columns))
+    distinct = asked.select("__entity").distinct()
+    call = scalar_function(factory)
+    answers = distinct.withColumn("enriched", call("__entity", F.lit(json.dumps(list(fields))), F.lit(prompt).cast("string")))
+    return asked.join(cut_lineage(answers), "__entity").drop("__entity")
+
+
 def record_columns(df: DataFrame, fields: Sequence[str], record: str = "enriched") -> DataFrame:
     """The fields of a JSON record as text columns in place of the record; an error record gives NULLs."""
     kept = [c for c in df.columns if c != record]

@@ -37,6 +37,12 @@ def requests(base: DataFrame) -> DataFrame:
     )
 
 
+def search_requests(base: DataFrame) -> DataFrame:
+    """Each pair as a search on the distributor's site: the product by its name, else by its code."""
+    key = F.concat_ws(" ", *REQUEST_KEY).alias("request_id")
+    return base.select(key, F.col("website_domain").alias("domain"), F.array_compact(F.array("product_name", "upc")).alias("phrases"))
+
+
 def price_columns(enriched: DataFrame, run_at: dt.datetime, null_text: str = "keep") -> DataFrame:
     """Typed price columns from a record in ``enriched``.
 

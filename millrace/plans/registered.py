@@ -9,7 +9,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fixtures import PRIOR_STATE, UNREADABLE_DATES
+from millrace.sources.prior_state import PRIOR_STATE, UNREADABLE_DATES
 from millrace.functions import clean
 from millrace.operators import answers, checks, corpus, crm, enrich, finance, inventory, prices, sales, supply
 from millrace.operators.upsert import upsert_curated
@@ -184,6 +184,23 @@ def _enrich_companies(spark: SparkSession, folder: str) -> DataFrame:
     return opened.withColumn("enriched_at", F.lit(str(RUN_AT)).cast("timestamp_ntz"))
 
 
+def _enrich_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every listed pair through a provider, its record opened into columns."""
+    base = _price_base(spark, folder)
+    fields = ["Brand", "website_domain", "listed_price"]
+    asked = enrich.enrich_column(base, prices.ENTITY, fields, enrich.restating_provider, "Prices only.")
+    return enrich.record_columns(asked.select("sku_id", "distributor_id", "enriched"), fields).withColumnRenamed("Brand", "brand")
+
+
+def _enrich_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Many rows, few entities: every kind of event is asked for once."""
+    events = table(spark, folder, "events").select("event_id", "event_type", "user_id")
+    asked = enrich.enrich_once(events, ["event_type"], ["event_type", "meaning"], enrich.restating_provider)
+    opened = asked.select("event_id", "user_id", F.get_json_object("enriched", "$.event_type").alias("kind"),
+                          F.get_json_object("enriched", "$.meaning").alias("meaning"))
+    return opened
+
+
 def _enrich_udtf(spark: SparkSession, folder: str) -> DataFrame:
     """The table function over all parts; the group of a row decides its task, not its fields."""
     enrich.register(spark, {"restating": enrich.restating_provider})
@@ -358,4 +375,6 @@ QUERIES: dict[str, Query] = {
     "warehouse_refresh": _warehouse_refresh,
     "stream_orders": _stream_orders,
     "stream_stock": _stream_stock,
+    "enrich_pairs": _enrich_pairs,
+    "enrich_events": _enrich_events,
 }

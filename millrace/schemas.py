@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -96,6 +98,11 @@ def curated_schema(name: str) -> StructType:
     return StructType.fromDDL(CURATED[name])
 
 
+def curated_columns(name: str) -> list[str]:
+    """Column names of a curated table; needs no session."""
+    return [c.split()[0] for c in re.split(r", (?=[a-z])", CURATED[name])]
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Columns of a curated table in their stated order and types; a missing column comes in as NULL."""
     fields = curated_schema(name).fields

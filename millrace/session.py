@@ -33,20 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a temporary folder: there the driver is the one executor.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder; later uses read the files, not the plan."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    sc = df.sparkSession.sparkContext
+    root = shared_dir(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return df.checkpoint(eager=True)

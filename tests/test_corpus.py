@@ -69,3 +69,17 @@ def test_search_without_usable_phrases(spark):
     req = spark.createDataFrame([(1, "a.example", ["!!", ""])], "request_id bigint, domain string, phrases array<string>")
     assert corpus.site_search(req, pages).count() == 0
     assert corpus.title_requests(pages).select(F.size("phrases")).first()[0] == 2
+
+
+def test_products_are_searched_by_name_then_code(spark):
+    from millrace.operators import prices
+
+    base = spark.createDataFrame(
+        [("S1", "V15 Detect", "885609", "a.example"), ("S2", "Buds", None, "a.example")],
+        "sku_id string, product_name string, upc string, website_domain string",
+    )
+    pages = pages_frame(spark, [(1, "https://a.example/1", "code 885609"), (2, "https://a.example/2", "The v15-detect!"),
+                                (3, "https://b.example/3", "V15 Detect Buds")])
+    found = corpus.site_search(prices.search_requests(base), pages)
+    got = [(r.request_id, r["rank"], r.page_id) for r in found.collect()]
+    assert sorted(got) == [("S1 a.example", 1, 2), ("S1 a.example", 2, 1)]

@@ -7,11 +7,11 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-import registry
+from millrace.plans import registered
 from millrace import schemas
 from millrace.operators import sales
 
-PLAIN = [n for n in registry.QUERIES if not n.startswith(("stream_", "warehouse_", "full_refresh"))]
+PLAIN = [n for n in registered.QUERIES if not n.startswith(("stream_", "warehouse_", "full_refresh"))]
 
 
 def plan(df):
@@ -20,17 +20,17 @@ def plan(df):
 
 @pytest.mark.parametrize("name", PLAIN)
 def test_no_product_joins(spark, small, name):
-    text = plan(registry.QUERIES[name](spark, small))
+    text = plan(registered.QUERIES[name](spark, small))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_stock_limits_rows_before_the_shuffle(spark, small):
-    text = plan(registry.QUERIES["warehouse_stock"](spark, small))
+    text = plan(registered.QUERIES["warehouse_stock"](spark, small))
     assert text.count("WindowGroupLimit") == 2 and text.count("Exchange hashpartitioning") == 1
 
 
 def test_only_needed_columns_are_read(spark, small):
-    df = registry.QUERIES["daily_sales_summary"](spark, small)
+    df = registered.QUERIES["daily_sales_summary"](spark, small)
     text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_extendedprice:double,l_returnflag:string,l_shipdate:timestamp_ntz>" in text
 
@@ -47,11 +47,11 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
 def test_projections_do_not_shuffle(spark, small):
     for name in ("skus", "customers"):
-        assert "Exchange hashpartitioning" not in plan(registry.QUERIES[name](spark, small))
+        assert "Exchange hashpartitioning" not in plan(registered.QUERIES[name](spark, small))
 
 
 def test_header_map_side_hashes(spark, small):
-    text = plan(registry.QUERIES["sales_orders"](spark, small))
+    text = plan(registered.QUERIES["sales_orders"](spark, small))
     assert "HashAggregate(keys=[order_number" in text and text.count("REPARTITION_BY_COL") == 1
 
 
