@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.functions.answer_scan import ERROR_KEY, key_of, read_answer
+from millrace.functions.answer_scan import ERROR_KEY, key_of, message_text, read_answer
 from millrace.operators.answers import parse_answer
 from millrace.session import cut_lineage
 
@@ -36,7 +36,9 @@ class Request(NamedTuple):
     prompt: str
 
 
-Provider = Callable[[list[Request]], list[str]]
+# A provider answers a batch of requests in order. An answer is a text, a list of message blocks, or the
+# exception that kept one request from being answered.
+Provider = Callable[[list[Request]], list]
 ProviderFactory = Callable[[], Provider]
 
 
@@ -94,8 +96,20 @@ def _as_request(entity: object, fields: list[str], prompt: str | None) -> Reques
     return Request(sentence(entity, fields), entity, fields, prompt or DEFAULT_PROMPT)
 
 
+def _made(factory: ProviderFactory) -> Provider:
+    """The provider, or one that gives the reason it could not be made as the error of every row."""
+    try:
+        return factory()
+    except Exception as e:
+        reason = e
+        return lambda requests: [reason] * len(requests)
+
+
 def enrich_batch(
-    provider: Provider, rows: Sequence[tuple[object, list[str], str | None]], raw_limit: int | None = None
+    provider: Provider,
+    rows: Sequence[tuple[object, list[str], str | None]],
+    raw_limit: int | None = None,
+    stringify_blocks: bool = False,
 ) -> list[dict]:
     """One record per (entity, fields, prompt). What goes wrong with a row ends up in its own ``error``."""
     records: list[dict | None] = [None] * len(rows)
@@ -106,7 +120,7 @@ def enrich_batch(
         except Exception as e:
             records[i] = {ERROR_KEY: str(e)}
     try:
-        texts: list = provider([r for _, r in asked]) if asked else []
+        texts = provider([r for _, r in asked]) if asked else []
         if len(texts) != len(asked):
             raise ValueError(f"{len(texts)} answers to {len(asked)} requests")
     except Exception:
@@ -115,13 +129,13 @@ def enrich_batch(
         try:
             if isinstance(text, Exception):
                 raise text
-            records[i] = read_answer(text, request.fields, raw_limit)
+            records[i] = read_answer(message_text(text, stringify_blocks), request.fields, raw_limit)
         except Exception as e:
             records[i] = {ERROR_KEY: str(e)}
     return records
 
 
-def _ask_alone(provider: Provider, request: Request) -> str | Exception:
+def _ask_alone(provider: Provider, request: Request) -> object:
     try:
         return provider([request])[0]
     except Exception as e:
@@ -144,12 +158,12 @@ def scalar_function(factory: ProviderFactory):
 
     @F.pandas_udf("string")
     def enrich(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        provider = factory()
+        provider = _made(factory)
         for inputs, columns, prompts in batches:
             rows = [(_entity(i), _fields(c), p) for i, c, p in zip(inputs, columns, prompts)]
             wanted = [n for n, (_, fields, _) in enumerate(rows) if fields]
             records = [{ERROR_KEY: NO_FIELDS}] * len(rows)
-            for n, record in zip(wanted, enrich_batch(provider, [rows[n] for n in wanted], SCALAR_RAW_LIMIT)):
+            for n, record in zip(wanted, enrich_batch(provider, [rows[n] for n in wanted], SCALAR_RAW_LIMIT, True)):
                 records[n] = record
             yield pd.Series([json.dumps(r) for r in records], dtype="object")
 
@@ -170,7 +184,7 @@ def table_function(factory: ProviderFactory):
 
         def _flush(self):
             if self.provider is None:
-                self.provider = factory()
+                self.provider = _made(factory)
             rows, self.rows = self.rows, []
             for (entity, _, _), record in zip(rows, enrich_batch(self.provider, rows)):
                 yield json.dumps(entity), json.dumps(record)

@@ -185,3 +185,43 @@ def test_null_url_as_null(priced):
     assert got.where("sku_id = 'S1' AND distributor_id = 'D1'").first().listing_url is None
     with pytest.raises(ValueError):
         prices.price_columns(enriched, dt.datetime(2025, 4, 1), null_text="other")
+
+
+def test_a_provider_that_cannot_be_made_is_every_rows_error(spark, companies):
+    def broken():
+        raise RuntimeError("no key configured")
+
+    got = records(enrich.enrich_column(companies, ["company_name"], ["ceo"], broken))
+    assert list(got.values()) == [{"error": "no key configured"}] * 4
+
+
+def test_answers_in_blocks_and_single_failures():
+    blocks = [{"type": "tool_use", "id": 1}, {"type": "text", "text": '{"a": 5}'}]
+    rows = [({"n": 1}, ["a"], None), ({"n": 2}, ["a"], None), ([1], ["a"], None)]
+    got = enrich.enrich_batch(lambda requests: [blocks, ValueError("busy")], rows)
+    assert got == [{"a": "5"}, {"error": "busy"}, {"error": "'list' object has no attribute 'items'"}]
+    # shown as text, the tool call holds an object of its own, though not one that reads as JSON
+    assert enrich.enrich_batch(lambda requests: [blocks], rows[:1], stringify_blocks=True) == [{"a": "5"}]
+
+
+def test_equal_entities_are_asked_for_once(spark, tmp_path):
+    log = str(tmp_path)
+
+    def logging():
+        import uuid
+
+        def answer(requests):
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(r.text for r in requests))
+            return [json.dumps(r.entity) for r in requests]
+
+        return answer
+
+    # a third of the rows share one entity; some have none at all
+    kind = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 40).cast("string"))
+    rows = spark.range(3000).select("id", kind.alias("kind"))
+    got = enrich.enrich_once(rows, ["kind"], ["kind"], logging)
+    wrong = got.where("coalesce(kind, 'Not found') <> get_json_object(enriched, '$.kind')").count()
+    assert got.count() == 3000 and wrong == 0
+    asked = [line for f in tmp_path.iterdir() for line in f.read_text().splitlines()]
+    assert len(asked) == len(set(asked)) == rows.select("kind").distinct().count()
