@@ -152,7 +152,7 @@ EXPECTED = {
     "last_assistant_text": "SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1",
     "message_blocks": "SELECT conv_id, turn, text || chr(10) || 'turn ' || CAST(turn AS varchar) AS text FROM conversations",
     "tool_output_cap": f"SELECT doc_id, md5({CAPPED.format(n=80000)}) AS capped, md5({CAPPED.format(n=1000)}) AS capped_short, "
-                       f"length({CAPPED.format(n=1000)}) AS n FROM documents",
+                       f"CAST(length({CAPPED.format(n=1000)}) AS integer) AS n FROM documents",
     "check_row_count": check("validate_row_count", "SELECT (SELECT count(*) FROM inventory_skus) * (SELECT count(*) FROM "
                              "inventory_distributors) AS e, (SELECT count(*) FROM distributor_prices) AS n", "n = e",
                              "'WARN: Expected ' || e || ' but got ' || n", "n", "'PASS: ' || e || ' rows as expected'"),
@@ -163,7 +163,7 @@ EXPECTED = {
     "check_length_contract": check("length_contract", f"SELECT CAST(coalesce(sum({LONG}), 0) AS bigint) AS n FROM "
                                    "distributor_prices", "n = 0", "'FAIL: ' || n || ' values longer than their column'", "n"),
     "page_text": compose("SELECT * FROM plain_pages"),
-    "site_search": compose("SELECT request_id, rank, page_id, url, hits, array_to_string(w[greatest(first_at - 5, 1):"
+    "site_search": compose("SELECT request_id, CAST(rank AS integer) AS rank, page_id, url, hits, array_to_string(w[greatest(first_at - 5, 1):"
                            "greatest(first_at - 5, 1) + 19], ' ') AS snippet FROM found_pages JOIN page_words USING (page_id)"),
     "site_context": compose("SELECT request_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT "
                             f"request_id, rank, {CAPPED.format(n=80000)} AS text FROM found_pages JOIN page_words "

@@ -43,6 +43,10 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.spark.table(self.prefix + name)
 
+    def raw(self, feed: str) -> DataFrame:
+        """A raw feed by its name, ``raw_erp_products``, from the raw schema."""
+        return self.table("raw." + feed.removeprefix("raw_"))
+
     def replace(self, name: str, rows: DataFrame) -> DataFrame:
         """Create the table from ``rows``, or point it at a fresh copy of them."""
         folder = f"{self.root}/{name.replace('.', '.db/')}/{uuid.uuid4().hex}"

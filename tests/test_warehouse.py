@@ -5,7 +5,8 @@ import pytest
 
 from millrace import schemas
 from millrace.operators import checks, inventory, prices
-from millrace.sources.feeds import feed
+from millrace.plans import refresh
+from millrace.sources.feeds import FEEDS, feed
 from millrace.sources.tables import Warehouse
 
 
@@ -63,3 +64,17 @@ def test_use_a_schema(spark, wh):
         assert spark.table("notes").count() == 1
     finally:
         spark.sql("USE default")
+
+
+def test_second_refresh_of_everything_changes_nothing(spark, small, wh):
+    """Feeds from the raw schema through every domain, twice."""
+    for name in FEEDS:
+        wh.replace("raw." + name.removeprefix("raw_"), feed(spark, small, name))
+    as_of, run_at = dt.date(2001, 11, 4), dt.datetime(2025, 4, 1)
+    first_checks = refresh.refresh_all(wh, wh.raw, as_of, run_at).collect()
+    names = [*schemas.KEYS, prices.TABLE]
+    first = {n: sorted(map(str, wh.table(n).collect())) for n in names}
+    assert all(first.values())
+    assert refresh.refresh_all(wh, wh.raw, as_of, run_at).collect() == first_checks
+    assert {n: sorted(map(str, wh.table(n).collect())) for n in names} == first
+    assert len(first_checks) == 13
