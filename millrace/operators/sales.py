@@ -49,15 +49,15 @@ def orders(raw: DataFrame, rollup: str = "alphabetical") -> DataFrame:
     status = F.col("line_status")
     whole_order = Window.partitionBy("order_number")
     if rollup == "alphabetical":
-        decided, shown = F.min(status).over(whole_order), status
+        mark, shown = status, status
     else:
         stages = {s: str(i) for i, s in enumerate(ORDER_STAGE, 1)}
-        stage = F.min(clean.map_code(status, stages, "0")).over(whole_order)
-        decided = clean.map_code(stage, {i: s for s, i in stages.items()})
+        mark = clean.map_code(status, stages, "0")
         shown = F.when(~status.isin(ORDER_STAGE) | status.isNull(), status)
-    mapped = clean.map_code(decided, codes.ORDER_STATUS, clean.title_case(shown))
+    by_mark = codes.ORDER_STATUS if rollup == "alphabetical" else {stages[s]: v for s, v in codes.ORDER_STATUS.items()}
     headers = (
-        per_status.withColumn("status", mapped)
+        per_status.withColumn("lowest", F.min(mark).over(whole_order))
+        .withColumn("status", clean.map_code(F.col("lowest"), by_mark, clean.title_case(shown)))
         .groupBy(*header)
         .agg(
             F.sum("amount").cast("decimal(18,2)").alias("total_amount"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans import registered
 from millrace import schemas
-from millrace.operators import sales
+from millrace.operators import crm, sales
 
 PLAIN = [n for n in registered.QUERIES if not n.startswith(("stream_", "warehouse_", "full_refresh"))]
 
@@ -83,6 +83,38 @@ def test_orders_with_one_hot_order(spark):
     assert {tuple(r) for r in got.collect()} == expected
 
 
+def test_a_customer_with_a_third_of_all_cases_is_split(spark):
+    cases = spark.range(60000).select(
+        F.lpad(F.col("id").cast("string"), 8, "0").alias("sf_case_id"),
+        F.concat(F.lit("001Dn00000A"), F.when(F.col("id") % 3 == 0, F.lit("7")).otherwise(F.col("id").cast("string"))).alias("sf_account_id"),
+        F.lit("1").alias("product_sku"), F.lit("Defect").alias("case_type"), F.lit("Low").alias("case_priority"),
+        F.lit("Open").alias("case_status"), F.lit("2024-01-01 00:00:00").alias("created_date"), F.lit(None).cast("string").alias("closed_date"),
+    ).repartition(8)
+    customers = spark.range(0, 60000, 7).select(F.concat(F.lit("CUST-200"), F.col("id").cast("string")).alias("customer_id"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.shuffle.partitions": "20",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = crm.support_tickets(cases, customers)
+        rows = out.collect()
+        text = plan(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(rows) == 60000
+    hot = sum(r.customer_id == "CUST-2007" for r in rows)
+    assert hot == 20001  # every third case, and the seventh, which is not among them
+    assert "skew=true" in text
+
+
 def test_unknown_rollup():
     with pytest.raises(ValueError):
         sales.orders(None, rollup="best")
