@@ -83,7 +83,9 @@ def _phrase_hits(pages: DataFrame, phrases: DataFrame) -> DataFrame:
     heads = phrases.select(
         "domain", length.alias("n"), F.xxhash64(F.slice(F.split("phrase", " "), 1, _HEAD_WORDS)).alias("head")
     ).distinct()
-    text = pages.select("page_id", host_of(F.col("url")).alias("domain"), words(page_text(F.col("html"))).alias("words"))
+    # Laid out by page once: both uses below read this shuffle, and the join between them needs no other.
+    text = pages.select("page_id", host_of(F.col("url")).alias("domain"), page_text(F.col("html")).alias("text"))
+    text = text.repartition("page_id").select("page_id", "domain", words(F.col("text")).alias("words"))
 
     def offered(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.size("words") - (size - 1))

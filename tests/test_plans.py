@@ -118,3 +118,10 @@ def test_a_customer_with_a_third_of_all_cases_is_split(spark):
 def test_unknown_rollup():
     with pytest.raises(ValueError):
         sales.orders(None, rollup="best")
+
+
+def test_search_lays_pages_out_once(spark, small):
+    df = registry.QUERIES["site_context"](spark, small)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
