@@ -121,7 +121,7 @@ def test_unknown_rollup():
 
 
 def test_search_lays_pages_out_once(spark, small):
-    df = registry.QUERIES["site_context"](spark, small)
+    df = registered.QUERIES["site_context"](spark, small)
     df.collect()
     final = plan(df).split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
