@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import clean, codes
@@ -79,19 +81,23 @@ def distributors(raw: DataFrame) -> DataFrame:
     )
 
 
-def newest_snapshot(raw: DataFrame) -> DataFrame:
-    """The newest stock row per facility and item. An unreadable time never wins; equal times go by content."""
-    taken = clean.to_timestamp(F.col("snapshot_ts"))
-    ties = [F.col(c).desc_nulls_last() for c in ("last_cycle_count", "on_hand_qty", "reorder_level")]
-    newest = Window.partitionBy("facility_code", "item_number").orderBy(taken.desc_nulls_last(), *ties)
-    return raw.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
+def newest_snapshot(stock: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest row per key by ``snapshot_ts``. An unreadable time never wins; equal times go by content."""
+    order = [F.col(c).desc_nulls_last() for c in ("snapshot_ts", "last_counted", "quantity_on_hand", "reorder_point")]
+    newest = Window.partitionBy(*keys).orderBy(*order)
+    return stock.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
 
 
 def warehouse_stock(raw: DataFrame) -> DataFrame:
-    return stock_columns(newest_snapshot(raw))
+    keys = ["facility_code", "item_number"]
+    return newest_snapshot(stock_columns(raw, *keys, snapshot_time()), keys).drop(*keys, "snapshot_ts")
+
+
+def snapshot_time() -> Column:
+    return clean.to_timestamp(F.col("snapshot_ts")).alias("snapshot_ts")
 
 
-def stock_columns(raw: DataFrame, *more: Column) -> DataFrame:
+def stock_columns(raw: DataFrame, *more: Column | str) -> DataFrame:
     return raw.select(
         clean.prefixed(codes.WAREHOUSE, F.col("facility_code")).alias("warehouse_id"),
         clean.sku_key(F.col("item_number")).alias("sku_id"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from millrace import schemas
@@ -119,11 +119,9 @@ def stream_orders(lines: DataFrame, folder: str, checkpoint: str) -> DataFrame:
 
 
 def _newer_stock(before: DataFrame, batch: DataFrame) -> DataFrame:
-    """The newest snapshot per facility and item over the state and the batch, by time, then by content."""
-    taken = inventory.stock_columns(batch, clean.to_timestamp(F.col("snapshot_ts")).alias("snapshot_ts"))
-    order = [F.col(c).desc_nulls_last() for c in ("snapshot_ts", "last_counted", "quantity_on_hand", "reorder_point")]
-    newest = Window.partitionBy("warehouse_id", "sku_id").orderBy(*order)
-    return before.unionByName(taken).withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
+    """The newest snapshot per warehouse and product over the state and the batch."""
+    taken = inventory.stock_columns(batch, inventory.snapshot_time())
+    return inventory.newest_snapshot(before.unionByName(taken), ["warehouse_id", "sku_id"])
 
 
 def stream_stock(snapshots: DataFrame, folder: str, checkpoint: str) -> DataFrame:

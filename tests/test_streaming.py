@@ -4,7 +4,7 @@ from decimal import Decimal as D
 import pytest
 
 from millrace import schemas
-from millrace.operators import sales
+from millrace.operators import inventory, sales
 from millrace.streaming import refresh
 
 
@@ -63,3 +63,13 @@ def test_stock_keeps_the_newest_snapshot(spark, arrive):
     write("erp_warehouse_inventory", [("01", "5", "1", "1", "2024-01-01T00:00:00", "2024-01-01 10:00:00"),
                                       ("01", "6", "7", "1", "2024-01-01T00:00:00", "2024-01-01 10:00:00")])
     assert {r.sku_id: r.quantity_on_hand for r in run().collect()} == {"SKU-00005": 9, "SKU-00006": 7}
+
+
+def test_equal_times_agree_between_batch_and_stream(spark, arrive):
+    write, folder, table, progress = arrive
+    for qty in ("9", "10", "x"):
+        write("erp_warehouse_inventory", [("01", "5", qty, "1", "2024-01-02T00:00:00", "2024-01-02 10:00:00")])
+    raw = spark.read.schema(schemas.raw_schema("erp_warehouse_inventory")).parquet(folder)
+    streamed = refresh.stream_stock(refresh.read_feed(spark, folder, "erp_warehouse_inventory", 1), table, progress)
+    assert streamed.collect() == inventory.warehouse_stock(raw).collect()
+    assert streamed.first().quantity_on_hand == 10
