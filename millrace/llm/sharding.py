@@ -103,10 +103,10 @@ def shard(
     )
     at_row = F.col("rows_before") + F.col("i") - 1
     at_byte = F.col("bytes_before") + F.col("b") - F.col("size")
-    number = F.floor(at_byte.cast("decimal(38,0)") * n_shards / F.lit(max(total, 1)).cast("decimal(38,0)")).cast("int")
     placed = ranked.join(offsets, "part").select(
-        "doc_id", "size", "text_crc32", number.alias("shard"), at_row.cast("long").alias("row")
+        "doc_id", "size", "text_crc32", at_byte.cast("long").alias("byte"), at_row.cast("long").alias("row")
     )
+    placed = placed.withColumn("shard", F.expr(f"cast(byte * {n_shards}L div {max(total, 1)}L AS int)"))
     placed = cut_lineage(placed)
     firsts = {r.shard: r.first for r in placed.groupBy("shard").agg(F.min("row").alias("first")).collect()}
     first = F.element_at(F.array(*[F.lit(firsts.get(s, 0)).cast("long") for s in range(n_shards)]), F.col("shard") + 1)
