@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, line_dedup, piece_codec, repetition, sharding
+from millrace.llm import decontaminate, line_dedup, near_dedup, piece_codec, repetition, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,15 @@ def _joined_sha256(parts: Column, by: str) -> Column:
     return F.sha2(F.array_join(parts, by), 256)
 
 
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, folder, "documents"), shingle=4, percent=80)
+
+
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeated(docs, window=35, with_text=False)
+
+
 def op4_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.digests(read(spark, folder, "documents"), piece_model())
 
@@ -54,7 +63,11 @@ def op10_repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_piece_codec, op6_sharding, op8_decontaminate, op9_line_dedup, op10_repetition)
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_substring_dedup, op4_piece_codec, op6_sharding, op8_decontaminate, op9_line_dedup,
+        op10_repetition,
+    )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,7 +77,33 @@ def _lower(column: str) -> str:
     return f"translate({column}, '{_UPPER}', '{_LOWER}')"
 
 
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+
 EXPECTED: dict[str, str] = {
+    "op1_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, {_SPACED}) AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct([list_slice(w, i, i + least(len(w), 4) - 1) FOR i IN range(1, len(w) - least(len(w), 4) + 2)])) AS s
+      FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(doc_id, to_id) AS (SELECT a, b FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.to_id = l.a),
+g AS (SELECT doc_id, min(to_id) AS least_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least_id, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(least_id, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+""",
+    "op2_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+x AS (SELECT win FROM v GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM v JOIN x USING (win)),
+kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.pos) AS t, count(*) AS n
+         FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d) u
+         LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.pos = u.pos WHERE gone.pos IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
     "op8_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -59,21 +59,27 @@ def per_text(
     fields: T.StructType,
     keep: Sequence[str] = ("doc_id",),
     text: str = "text",
+    given: Sequence[str] = (),
 ) -> DataFrame:
     """The columns ``keep`` and what a reader returns for each text (UTF-8; NULL reads as empty).
 
-    ``make`` is called once per task and returns the reader. No shuffle; rows keep their partition.
+    ``make`` is called once per task and returns the reader, which gets the text and the values of the columns
+    ``given``. No shuffle; rows keep their partition.
     """
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    narrow = df.select(*kept, F.col(f"`{text}`").cast("binary").alias("text"))
-    out = T.StructType([f for f in narrow.schema.fields[:-1]] + [T.StructField(f"v{i}", f.dataType) for i, f in enumerate(fields)])
+    also = [F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(given)]
+    narrow = df.select(*kept, *also, F.col(f"`{text}`").cast("binary").alias("text"))
+    out = T.StructType(
+        narrow.schema.fields[: len(keep)] + [T.StructField(f"v{i}", f.dataType) for i, f in enumerate(fields)]
+    )
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = make()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            made = [read(x.as_py() or b"") for x in texts]
+            values = [batch.column(len(keep) + i).to_pylist() for i in range(len(given))]
+            made = [read(x.as_py() or b"", *more) for x, *more in zip(texts, *values)]
             columns = [batch.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
             for i, kind in enumerate(arrow.types[len(keep) :]):
                 columns.append(pa.array([row[i] for row in made], kind))
@@ -81,7 +87,7 @@ def per_text(
 
     result = narrow.mapInArrow(run, out)
     names = [*keep, *fields.names]
-    return result.select(*[F.col(c).alias(n) for c, n in zip(result.columns, names)])
+    return result.toDF(*names)
 
 
 def row_key(*columns: Column) -> list[Column]:
