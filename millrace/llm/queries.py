@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, line_dedup, near_dedup, piece_codec, repetition, sharding, substring_dedup
+from millrace.llm import (
+    decontaminate,
+    html_extract,
+    line_dedup,
+    near_dedup,
+    piece_codec,
+    quality_model,
+    repetition,
+    secret_scan,
+    sharding,
+    substring_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,14 +45,34 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeated(docs, window=35, with_text=False)
 
 
+def op3_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(read(spark, folder, "pages"))
+
+
 def op4_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.digests(read(spark, folder, "documents"), piece_model())
 
 
+def op5_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model.learned(docs, read(spark, folder, "labels"))
+    found = quality_model.scored(docs, model)
+    return found.select(
+        "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(read(spark, folder, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = secret_scan.trained(secret_scan.samples(docs))
+    return secret_scan.digests(secret_scan.scan(docs, model))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.scan(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.select(
@@ -65,8 +96,8 @@ def op10_repetition(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_near_dedup, op2_substring_dedup, op4_piece_codec, op6_sharding, op8_decontaminate, op9_line_dedup,
-        op10_repetition,
+        op1_near_dedup, op2_substring_dedup, op3_html_extract, op4_piece_codec, op5_quality_model, op6_sharding,
+        op7_secret_scan, op8_decontaminate, op9_line_dedup, op10_repetition,
     )
 }
 
