@@ -3,8 +3,10 @@
 Every distinct set of word shingles gets 32 signatures of eight minima each. A signature is a key; the sets are
 sorted by it, once for each of the 32 orders. Neighbours in an order that share the first four minima are
 candidates, those with the longest common prefix first: a sparse region is compared whole at depth four, a
-crowded one only with what lies next to it, which is as deep as the region asks for. Candidates are confirmed on
-the full sets. The components found so far then thin out the orders, so that later neighbours reach across groups.
+crowded one only with what lies next to it, which is as deep as the region asks for. First every set meets the one
+next to it. Confirmed on the full sets, these pairs give components; then sets of different components meet within a
+wide reach. There a parity sketch gives a lower bound for the shingles in which two sets differ, so that pairs that
+cannot be alike drop out before their sets are fetched.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from millrace.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
 TREES, DEPTH, MIN_DEPTH = 32, 8, 4
-#: Neighbours on each side with which a set is compared in each order.
-NEIGHBOURS = 16
+#: Neighbours on each side with which a set is compared in each order, and bits of the parity sketch.
+NEIGHBOURS, PARITY_BITS = 256, 512
 #: Rows of an order in one task, and ids that are broadcast to find their texts again (beyond: a shuffle).
 ROWS_PER_TASK, BROADCAST_IDS = 1_000_000, 2_000_000
 
@@ -80,8 +82,7 @@ class Signer:
         least = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
         for at in range(0, len(small), _AT_ONCE):
             values = (small[at : at + _AT_ONCE] ^ self.masks) * self.factors
-            values ^= values >> np.uint32(15)
-            np.minimum(least, (values * self.factors[:, ::-1]).min(axis=0), out=least)
+            np.minimum(least, values.min(axis=0), out=least)
         return len(found), *digest_of(found), least.astype(">u4").tobytes()
 
 
@@ -93,11 +94,10 @@ def signed(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
 
 
 def _orders(sets: DataFrame, rows: int) -> DataFrame:
-    """The sets (id, n, sig, group) in each order, an order being sorted through its tasks: (tree, key, id, n, group)."""
+    """The sets in each order, an order being sorted through its tasks: tree and key come in the place of sig."""
     width = 4 * DEPTH
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    each = sets.select("id", "n", "group", "sig", tree)
-    each = each.select("tree", F.substring("sig", F.col("tree") * width + 1, F.lit(width)).alias("key"), "id", "n", "group")
+    each = sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    each = each.withColumn("key", F.substring("sig", F.col("tree") * width + 1, F.lit(width))).drop("sig")
     tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * TREES // ROWS_PER_TASK))
     return each.repartitionByRange(tasks, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
 
@@ -105,26 +105,33 @@ def _orders(sets: DataFrame, rows: int) -> DataFrame:
 def _neighbours(reach: int, percent: int):
     """Pairs (a, b) of sets at most ``reach`` apart in an order, alike to depth four, of two groups, and of like size."""
 
-    def pairs(table: pa.Table, distance: int, known: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u4").reshape(-1, DEPTH)[:, :MIN_DEPTH]
-        tree, ids, n, group = (table.column(c).to_numpy() for c in ("tree", "id", "n", "group"))
-        one, two = slice(None, len(ids) - distance), slice(distance, None)
-        like = (keys[one] == keys[two]).all(axis=1) & (tree[one] == tree[two]) & (group[one] != group[two])
-        like &= 100 * np.minimum(n[one], n[two]) >= percent * np.maximum(n[one], n[two])
-        like[: max(0, known - distance)] = False  # both rows were there before
-        return np.minimum(ids[one], ids[two])[like], np.maximum(ids[one], ids[two])[like]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             here = pa.Table.from_batches([batch])
             known = 0 if held is None else held.num_rows
             here = here if held is None else pa.concat_tables([held, here])
-            found = [pairs(here, d, known) for d in range(1, min(reach, here.num_rows - 1) + 1)]
+            ids, n, group, tree = (here.column(c).to_numpy() for c in ("id", "n", "group", "tree"))
+            keys = np.frombuffer(b"".join(here.column("key").to_pylist()), ">u4").reshape(-1, DEPTH)
+            _, region = np.unique(np.column_stack([tree, keys[:, :MIN_DEPTH]]), axis=0, return_inverse=True)
+            parity = None
+            if "parity" in here.column_names:
+                parity = np.frombuffer(b"".join(here.column("parity").to_pylist()), np.uint64).reshape(len(ids), -1)
+            found = []
+            for d in range(1, min(reach, len(ids) - 1) + 1):
+                at = np.flatnonzero(region[:-d] == region[d:])
+                if not len(at):
+                    break  # regions are runs: none is longer
+                at = at[(at + d >= known) & (group[at] != group[at + d])]  # not two rows that were held
+                at = at[100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d])]
+                if parity is not None and len(at):
+                    differ = np.bitwise_count(parity[at] ^ parity[at + d]).sum(axis=1, dtype=np.int64)  # or more
+                    at = at[differ * (100 + percent) <= (n[at] + n[at + d]) * (100 - percent)]
+                if len(at):
+                    found.append(np.stack([np.minimum(ids[at], ids[at + d]), np.maximum(ids[at], ids[at + d])], axis=1))
             if found:
-                both = np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], axis=1)
-                both = np.unique(both, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
             held = here.slice(max(0, here.num_rows - reach))
 
     return run
@@ -180,7 +187,8 @@ def near_duplicates(
     blank texts have none and link with nothing. Copies of one set are one member. Rows that share an id are one
     document, whatever their texts; a row without an id stands alone, with a NULL component, and is kept. An empty
     table gives no rows. Columns other than the two named are left out. Candidates are found with a chance: of a
-    pair at 80 percent in a region of up to 17 sets, fewer than one in ten million is missed.
+    pair at 80 percent in regions of up to 257 sets, fewer than one in ten million is missed; in a denser region a set
+    must be near one member of a group to join it.
     """
     rows = signed(docs, shingle, doc_id, text)
     known = rows.where("doc is not null and n > 0")
@@ -205,13 +213,19 @@ def _linked(docs, sets, n_sets, doc_id, text, shingle, percent, broadcast_ids) -
 
     def make():
         shingles = Shingles(shingle)
-        return lambda value: (shingles.of(value).view(np.int64).tolist(),)
 
-    full = per_text(mine, make, T.StructType().add("set", T.ArrayType(T.LongType())), ("id",))
-    full = cut_lineage(full.dropDuplicates(["id", "set"]))
+        def read(value: bytes) -> tuple:
+            found = shingles.of(value)
+            parity = np.bincount((found % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+            return found.view(np.int64).tolist(), np.packbits(parity.astype(bool)).tobytes()
+
+        return read
+
+    fields = T.StructType().add("set", T.ArrayType(T.LongType())).add("parity", "binary")
+    full = cut_lineage(per_text(mine, make, fields, ("id",)).where(F.size("set") > 0).distinct())
     links = cut_lineage(_confirmed(first, full, percent))
     groups = connected(links)
-    crowd = alone.drop("group").join(few, "id", "left_semi").join(groups, "id", "left")
+    crowd = alone.drop("group").join(full.select("id", "parity"), "id").join(groups, "id", "left")
     crowd = cut_lineage(crowd.withColumn("group", F.coalesce("group", "id")))
     more = _candidates(crowd, n_active, NEIGHBOURS, percent).join(first, ["a", "b"], "left_anti")
     links = links.union(_confirmed(more, full, percent))
