@@ -14,6 +14,7 @@ import re
 from collections.abc import Sequence
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
@@ -193,12 +194,15 @@ class Codec:
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
+    def parts(self, raw: bytes) -> tuple[int, str, bytes]:
+        """Number of ids, the ids joined by commas, and the decoded text."""
+        found = list(map(self.chunk.__getitem__, self.split(raw.decode("utf-8", "replace"))))
+        return sum([f[1] for f in found]), ",".join([f[0] for f in found]), b"".join([f[2] for f in found])[1:]
+
     def digest(self, raw: bytes) -> tuple[int, str, str]:
         """Number of ids, and the digests of the ids joined by commas and of the decoded text."""
-        found = list(map(self.chunk.__getitem__, self.split(raw.decode("utf-8", "replace"))))
-        decoded = b"".join([f[2] for f in found])[1:]
-        ids = ",".join([f[0] for f in found])
-        return sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        n, ids, decoded = self.parts(raw)
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 DIGEST = T.StructType(
@@ -237,8 +241,8 @@ def encoded(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), te
         codec = _codec(model)
 
         def read(raw: bytes) -> tuple:
-            ids = codec.encode(raw.decode("utf-8", "replace"))
-            return ids, codec.decode(ids)
+            n, ids, decoded = codec.parts(raw)
+            return np.fromstring(ids, np.int32, sep=",") if n else [], decoded.decode("utf-8", "replace")
 
         return read
 
