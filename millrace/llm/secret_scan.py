@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.session import cut_lineage
+
 # The patterns of the kinds that are always reported.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -54,8 +56,9 @@ def samples(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMEN
     Ordinary identifiers are their words, alone and joined in twos the way names and paths are.
     """
     t = F.col(f"`{text}`")
-    chosen = docs.select(t.alias("t")).where("t is not null").distinct()
-    chosen = chosen.orderBy(F.xxhash64("t"), F.sha2("t", 256)).limit(documents)
+    texts = docs.select(t.alias("t"), F.xxhash64(t).alias("h")).where("t is not null")
+    least = cut_lineage(texts.select("h").distinct().orderBy("h").limit(documents))  # hashes only are sorted
+    chosen = cut_lineage(texts.join(F.broadcast(least), "h").dropDuplicates(["h"]).select("t"))
     digest = F.sha2("t", 256)
     base64 = F.rtrim(F.base64(F.unhex(digest)), F.lit("="))
     random = chosen.select(F.lit(1).alias("random"), F.explode(F.array(digest, base64, F.upper(base64), F.substring(base64, 1, 20))).alias("token"))
