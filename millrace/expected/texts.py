@@ -5,7 +5,7 @@ from __future__ import annotations
 from millrace.sources.prior_state import PRIOR_STATE, UNREADABLE_DATES
 from millrace import schemas
 from millrace.expected.compose import compose
-from millrace.expected.curated import sku
+from millrace.expected.curated import number, sku
 
 SEVERITY = """SELECT order_id, customer_id, order_date, channel, CAST(sum(amount) AS decimal(18,2)) AS total_amount,
   max(CASE stage WHEN 1 THEN 'PENDING' WHEN 2 THEN 'PROCESSING' WHEN 3 THEN 'SHIPPED' WHEN 4 THEN 'DELIVERED'
@@ -133,6 +133,12 @@ EXPECTED = {
     "check_key_health": compose(" UNION ALL ".join(key_health(t) for t in schemas.KEYS)),
     "check_key_collisions": compose(" UNION ALL ".join([
         key_collisions("skus", "raw_erp_products", "item_number", sku("item_number")),
+        key_collisions("support_tickets", "raw_salesforce_cases", "sf_case_id", number("sf_case_id", 4)),
+        key_collisions("suppliers", "raw_sap_vendors", "vendor_number", number("vendor_number", 3)),
+        key_collisions("purchase_orders", "raw_sap_purchase_orders", "po_number", number("po_number", 4)),
+    ])),
+    "check_key_collisions_cut": compose(" UNION ALL ".join([
+        key_collisions("skus", "raw_erp_products", "item_number", "lpad(item_number, 5, '0')"),
         key_collisions("support_tickets", "raw_salesforce_cases", "sf_case_id", "right(sf_case_id, 4)"),
         key_collisions("suppliers", "raw_sap_vendors", "vendor_number", "right(vendor_number, 3)"),
         key_collisions("purchase_orders", "raw_sap_purchase_orders", "po_number", "right(po_number, 4)"),
@@ -141,6 +147,8 @@ EXPECTED = {
     "enrich_requests": compose(REQUESTS),
     "enrich_input_hygiene": "SELECT event_id, CASE WHEN event_type IN ('error', 'signup', 'click') THEN '{}' ELSE props END "
                             "AS entity FROM events",
+    "parse_broken_responses": "SELECT s_suppkey, s_suppkey % 50 < 3 AS failed, CASE WHEN s_suppkey % 50 >= 3 THEN "
+                              "CAST(s_suppkey AS varchar) END AS listed_price FROM supplier",
     "parse_responses": compose("SELECT * FROM parsed"),
     "distributor_prices": compose("SELECT * FROM distributor_prices"),
     "enrich_companies": "SELECT c_custkey, c_name AS name, c_mktsegment AS segment, 'Not found' AS ceo, "
@@ -166,7 +174,7 @@ EXPECTED = {
     "site_search": compose("SELECT request_id, CAST(rank AS integer) AS rank, page_id, url, hits, array_to_string(w[greatest(first_at - 5, 1):"
                            "greatest(first_at - 5, 1) + 19], ' ') AS snippet FROM found_pages JOIN page_words USING (page_id)"),
     "site_context": compose("SELECT request_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT "
-                            f"request_id, rank, {CAPPED.format(n=80000)} AS text FROM found_pages JOIN page_words "
+                            f"request_id, rank, text FROM found_pages JOIN page_words "
                             "USING (page_id)) c GROUP BY 1"),
 }
 

@@ -37,13 +37,25 @@ def day_of(text: Column) -> Column:
     return to_date(F.left(text, F.lit(10)))
 
 
-def padded_key(prefix: str, number: Column, width: int) -> Column:
-    """Prefix and zero-padded number. Longer numbers are cut to ``width``; key_health reports the clashes."""
-    return F.concat(F.lit(prefix), F.lpad(number, width, "0"))
+def padded_key(prefix: str, number: Column, width: int, cut_keys: bool = False) -> Column:
+    """Prefix and zero-padded number. Longer numbers stay whole; ``cut_keys`` cuts them to ``width``, so keys may clash."""
+    to = F.lit(width) if cut_keys else F.greatest(F.lit(width), F.length(number))
+    return F.concat(F.lit(prefix), F.lpad(number, to, F.lit("0")))
 
 
-def sku_key(item_number: Column) -> Column:
-    return padded_key(codes.SKU, item_number, 5)
+def sku_key(item_number: Column, cut_keys: bool = False) -> Column:
+    return padded_key(codes.SKU, item_number, 5, cut_keys)
+
+
+def number_key(prefix: str, source_id: Column, width: int, cut_keys: bool = False) -> Column:
+    """Prefix and the number that ends a source id, without its leading zeros but at least ``width`` digits.
+
+    An id without such a number stays whole. ``cut_keys`` takes the last ``width`` characters instead.
+    """
+    if cut_keys:
+        return prefixed(prefix, F.right(source_id, F.lit(width)))
+    number = F.ltrim(F.regexp_extract(source_id, "[0-9]+$", 0), F.lit("0"))
+    return padded_key(prefix, F.coalesce(F.nullif(number, F.lit("")), source_id), width)
 
 
 def prefixed(prefix: str, value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions import answer_scan
-from millrace.functions.answer_scan import RAW_KEY, read_answer
+from millrace.functions.answer_scan import ERROR_KEY, RAW_KEY, read_or_error
 
 # Tasks carry the row helper with them; the executors need no copy of this package.
 cloudpickle.register_pickle_by_value(answer_scan)
@@ -47,21 +47,23 @@ def blocks_text(content: Column) -> Column:
 
 
 def record_type(fields: Sequence[str]) -> StructType:
-    """The wanted fields as texts, and ``_raw`` for the text of an answer without a JSON object."""
-    return StructType([StructField(f, StringType()) for f in (*fields, RAW_KEY)])
+    """The wanted fields as texts, ``_raw`` for the text of an answer without a JSON object, and ``error``."""
+    return StructType([StructField(f, StringType()) for f in dict.fromkeys((*fields, RAW_KEY, ERROR_KEY))])
 
 
 def parse_answer(text: Column, fields: Sequence[str], raw_limit: int | None = None) -> Column:
     """Record of the wanted fields out of a free-text answer; a missing answer counts as an empty one.
 
+    An answer that cannot be read fills only ``error``; it never ends the job.
+
     One Arrow pass with the row helper. Only the answer crosses to Python and only the record comes back.
     """
     wanted = list(fields)
 
     @F.arrow_udf(record_type(wanted))
     def read(texts: pa.Array) -> pa.Array:
-        records = [read_answer(t or "", wanted, raw_limit) for t in texts.to_pylist()]
-        columns = [pa.array([r.get(name) for r in records], pa.string()) for name in (*wanted, RAW_KEY)]
-        return pa.StructArray.from_arrays(columns, names=[*wanted, RAW_KEY])
+        records = [read_or_error(t or "", wanted, raw_limit) for t in texts.to_pylist()]
+        names = list(dict.fromkeys((*wanted, RAW_KEY, ERROR_KEY)))
+        return pa.StructArray.from_arrays([pa.array([r.get(n) for r in records], pa.string()) for n in names], names=names)
 
     return read(text)

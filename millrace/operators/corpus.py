@@ -84,7 +84,9 @@ def _phrase_hits(pages: DataFrame, phrases: DataFrame) -> DataFrame:
         "domain", length.alias("n"), F.xxhash64(F.slice(F.split("phrase", " "), 1, _HEAD_WORDS)).alias("head")
     ).distinct()
     # Laid out by page once: both uses below read this shuffle, and the join between them needs no other.
-    text = pages.select("page_id", host_of(F.col("url")).alias("domain"), page_text(F.col("html")).alias("text"))
+    asked = pages.withColumn("domain", host_of(F.col("url")))
+    asked = asked.join(phrases.select("domain").distinct(), "domain", "left_semi")  # other sites are not read further
+    text = asked.select("page_id", "domain", page_text(F.col("html")).alias("text"))
     text = text.repartition("page_id").select("page_id", "domain", words(F.col("text")).alias("words"))
 
     def offered(size: int) -> Column:
@@ -133,17 +135,23 @@ def site_search(requests: DataFrame, pages: DataFrame, top: int = TOP_PAGES) ->
     return ranked.select("request_id", "rank", "page_id", (-F.col("m.fewer")).alias("hits"), F.col("m.at").alias("at"))
 
 
+def _found_pages(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Only pages that a search found have their text extracted."""
+    return pages.join(found.select("page_id").distinct(), "page_id", "left_semi")
+
+
 def with_snippets(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Search results with the page address and the words around the first hit."""
-    text = pages.select("page_id", "url", words(page_text(F.col("html"))).alias("words"))
+    text = _found_pages(found, pages).select("page_id", "url", words(page_text(F.col("html"))).alias("words"))
     start = F.greatest(F.col("at") - SNIPPET_BEFORE, F.lit(1))
     snippet = F.array_join(F.slice("words", start, F.lit(SNIPPET_WORDS)), " ")
     return found.join(text, "page_id").select("request_id", "rank", "page_id", "url", "hits", snippet.alias("snippet"))
 
 
-def context(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """What a provider would read for a request: the capped text of its best pages, best first."""
-    text = pages.select("page_id", cap_text(page_text(F.col("html"))).alias("text"))
+def context(found: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """What a provider would read for a request: the text of its best pages, best first, each cut to ``limit`` if given."""
+    whole = page_text(F.col("html"))
+    text = _found_pages(found, pages).select("page_id", (whole if limit is None else cap_text(whole, limit)).alias("text"))
     per_request = found.join(text, "page_id").groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("best")  # no more rows than the search keeps
     )

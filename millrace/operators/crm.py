@@ -33,13 +33,13 @@ def customers(raw: DataFrame) -> DataFrame:
     )
 
 
-def support_tickets(raw: DataFrame, customers: DataFrame) -> DataFrame:
+def support_tickets(raw: DataFrame, customers: DataFrame, cut_keys: bool = False) -> DataFrame:
     """Product cases with the customer they belong to, or NULL where the account is not a customer."""
     status = F.upper("case_status")
     cases = raw.where((F.col("case_type") != "Information") & F.col("product_sku").isNotNull()).select(
-        clean.prefixed(codes.TICKET, F.right(F.col("sf_case_id"), F.lit(4))).alias("ticket_id"),
+        clean.number_key(codes.TICKET, F.col("sf_case_id"), 4, cut_keys).alias("ticket_id"),
         clean.crm_customer_key(F.col("sf_account_id")).alias("account"),
-        clean.sku_key(F.col("product_sku")).alias("sku_id"),
+        clean.sku_key(F.col("product_sku"), cut_keys).alias("sku_id"),
         F.col("case_type").alias("issue_type"),
         F.upper("case_priority").alias("priority"),
         clean.map_code(status, codes.TICKET_STATUS, status).alias("status"),

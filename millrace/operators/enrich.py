@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.functions.answer_scan import ERROR_KEY, key_of, message_text, read_answer
+from millrace.functions.answer_scan import ERROR_KEY, key_of, message_text, read_or_error
 from millrace.operators.answers import parse_answer
 from millrace.session import cut_lineage
 
@@ -22,10 +23,7 @@ ASK, FOR, RETURN = "Find the following information: [", "] for the entity descri
 ELSE = '. Use "Not found" for any field you cannot determine.'
 NO_FIELDS = "No output columns specified"
 SCALAR_RAW_LIMIT = 500
-DEFAULT_PROMPT = (
-    "Answer from search results first and open at most two pages when they do not suffice. "
-    'Say "Not found" for a field you cannot determine. Be brief and state facts only.'
-)
+DEFAULT_PROMPT = "Answer with one JSON object that has the requested keys."
 _BATCH_ROWS = 256
 
 
@@ -85,11 +83,13 @@ def sentence(entity: dict, fields: Sequence[str]) -> str:
     return ASK + ", ".join(fields) + FOR + described + RETURN + json.dumps(list(fields)) + ELSE
 
 
-def _entity(input_json: str | None) -> object:
-    try:
-        return json.loads(input_json) if input_json else {}
-    except (json.JSONDecodeError, TypeError):
-        return {}
+def _read_json(text: object, empty: dict | list) -> object:
+    """The value of a JSON text; ``empty`` where there is no text or it holds none."""
+    value = empty
+    if isinstance(text, str) and text.strip():
+        with suppress(ValueError, RecursionError):
+            value = json.loads(text)
+    return value
 
 
 def _as_request(entity: object, fields: list[str], prompt: str | None) -> Request:
@@ -129,7 +129,7 @@ def enrich_batch(
         try:
             if isinstance(text, Exception):
                 raise text
-            records[i] = read_answer(message_text(text, stringify_blocks), request.fields, raw_limit)
+            records[i] = read_or_error(message_text(text, stringify_blocks), request.fields, raw_limit)
         except Exception as e:
             records[i] = {ERROR_KEY: str(e)}
     return records
@@ -142,29 +142,25 @@ def _ask_alone(provider: Provider, request: Request) -> object:
         return e
 
 
-def _fields(output_columns: str | None) -> list[str]:
-    try:
-        return json.loads(output_columns) if output_columns else []
-    except (json.JSONDecodeError, TypeError):
-        return []
-
-
-def scalar_function(factory: ProviderFactory):
+def scalar_function(factory: ProviderFactory, raw_limit: int | None = SCALAR_RAW_LIMIT):
     """UDF (input_json, output_columns as a JSON array, custom_prompt) -> JSON record.
 
-    The provider is made once per task and gets Arrow batches. A provider may answer differently each time,
-    so the function is marked as such; write its result before checking it.
+    The provider is made once per task and gets batches of bounded size, so a failed batch is asked again for a few
+    rows only. ``raw_limit`` cuts the raw text kept of an answer without an object; None keeps it whole. A provider
+    may answer differently each time, so the function is marked as such; write its result before checking it.
     """
 
     @F.pandas_udf("string")
     def enrich(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         provider = _made(factory)
         for inputs, columns, prompts in batches:
-            rows = [(_entity(i), _fields(c), p) for i, c, p in zip(inputs, columns, prompts)]
+            rows = [(_read_json(i, {}), _read_json(c, []), p) for i, c, p in zip(inputs, columns, prompts)]
             wanted = [n for n, (_, fields, _) in enumerate(rows) if fields]
             records = [{ERROR_KEY: NO_FIELDS}] * len(rows)
-            for n, record in zip(wanted, enrich_batch(provider, [rows[n] for n in wanted], SCALAR_RAW_LIMIT, True)):
-                records[n] = record
+            for at in range(0, len(wanted), _BATCH_ROWS):
+                some = wanted[at : at + _BATCH_ROWS]
+                for n, record in zip(some, enrich_batch(provider, [rows[n] for n in some], raw_limit, True)):
+                    records[n] = record
             yield pd.Series([json.dumps(r) for r in records], dtype="object")
 
     return enrich.asNondeterministic()
@@ -190,7 +186,7 @@ def table_function(factory: ProviderFactory):
                 yield json.dumps(entity), json.dumps(record)
 
         def eval(self, row):
-            self.rows.append((_entity(row["input_json"]), list(row["output_columns"] or []), row["custom_prompt"]))
+            self.rows.append((_read_json(row["input_json"], {}), list(row["output_columns"] or []), row["custom_prompt"]))
             if len(self.rows) >= _BATCH_ROWS:
                 yield from self._flush()
 
@@ -201,14 +197,16 @@ def table_function(factory: ProviderFactory):
     return EnrichRows
 
 
-def register(spark: SparkSession, providers: dict[str, ProviderFactory], name: str = "enrich") -> None:
+def register(
+    spark: SparkSession, providers: dict[str, ProviderFactory], name: str = "enrich", raw_limit: int | None = SCALAR_RAW_LIMIT
+) -> None:
     """SQL surface: ``<name>`` for the first provider, ``<name>_<provider>`` for each, ``<name>_rows`` as a table function.
 
     ``<name>(input_json, output_columns [, custom_prompt])`` returns a JSON record.
     """
     for i, (key, factory) in enumerate(providers.items()):
         inner = f"{name}_{key}_internal"
-        spark.udf.register(inner, scalar_function(factory))
+        spark.udf.register(inner, scalar_function(factory, raw_limit))
         for public in [f"{name}_{key}"] + ([name] if i == 0 else []):
             spark.sql(
                 f"CREATE OR REPLACE TEMPORARY FUNCTION {public}(input_json STRING, output_columns STRING, "

@@ -10,7 +10,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.sources.prior_state import PRIOR_STATE, UNREADABLE_DATES
-from millrace.functions import clean
+from millrace.functions import clean, codes
 from millrace.operators import answers, checks, corpus, crm, enrich, finance, inventory, prices, sales, supply
 from millrace.operators.upsert import upsert_curated
 from millrace.plans import refresh
@@ -131,18 +131,22 @@ def _check_key_health(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def _check_key_collisions(spark: SparkSession, folder: str) -> DataFrame:
-    last = lambda c, n: F.right(F.col(c), F.lit(n))
-    cut = [
-        ("skus", "raw_erp_products", "item_number", clean.sku_key(F.col("item_number"))),
-        ("support_tickets", "raw_salesforce_cases", "sf_case_id", last("sf_case_id", 4)),
-        ("suppliers", "raw_sap_vendors", "vendor_number", last("vendor_number", 3)),
-        ("purchase_orders", "raw_sap_purchase_orders", "po_number", last("po_number", 4)),
+def _check_key_collisions(spark: SparkSession, folder: str, cut_keys: bool = False) -> DataFrame:
+    number = lambda p, c, n: clean.number_key(p, F.col(c), n, cut_keys)
+    keys = [
+        ("skus", "raw_erp_products", "item_number", clean.sku_key(F.col("item_number"), cut_keys)),
+        ("support_tickets", "raw_salesforce_cases", "sf_case_id", number(codes.TICKET, "sf_case_id", 4)),
+        ("suppliers", "raw_sap_vendors", "vendor_number", number(codes.SUPPLIER, "vendor_number", 3)),
+        ("purchase_orders", "raw_sap_purchase_orders", "po_number", number(codes.PURCHASE, "po_number", 4)),
     ]
-    rows = [checks.key_collisions(n, feed(spark, folder, raw), full, short) for n, raw, full, short in cut]
+    rows = [checks.key_collisions(n, feed(spark, folder, raw), full, short) for n, raw, full, short in keys]
     return reduce(DataFrame.unionByName, rows)
 
 
+def _check_key_collisions_cut(spark: SparkSession, folder: str) -> DataFrame:
+    return _check_key_collisions(spark, folder, cut_keys=True)
+
+
 RUN_AT = dt.datetime(2025, 4, 1, 6, 0, 0)
 
 
@@ -154,6 +158,12 @@ def _enrich_requests(spark: SparkSession, folder: str) -> DataFrame:
     return prices.requests(_price_base(spark, folder))
 
 
+def _parse_broken_responses(spark: SparkSession, folder: str) -> DataFrame:
+    record = answers.parse_answer(F.col("output_text"), ["listed_price"])
+    read = feed(spark, folder, "raw_broken_responses").select("s_suppkey", record.alias("r"))
+    return read.select("s_suppkey", F.col("r.error").isNotNull().alias("failed"), "r.listed_price")
+
+
 def _parse_responses(spark: SparkSession, folder: str) -> DataFrame:
     raw = feed(spark, folder, "raw_agent_responses")
     parsed = raw.withColumn("enriched", answers.parse_answer(F.col("output_text"), prices.FIELDS))
@@ -352,10 +362,12 @@ QUERIES: dict[str, Query] = {
     "check_po_amounts": _check(checks.purchase_amounts_positive, _purchase_orders),
     "check_key_health": _check_key_health,
     "check_key_collisions": _check_key_collisions,
+    "check_key_collisions_cut": _check_key_collisions_cut,
     "sku_distributor_base": _price_base,
     "enrich_requests": _enrich_requests,
     "enrich_input_hygiene": _enrich_input_hygiene,
     "parse_responses": _parse_responses,
+    "parse_broken_responses": _parse_broken_responses,
     "distributor_prices": _distributor_prices,
     "enrich_companies": _enrich_companies,
     "enrich_udtf": _enrich_udtf,

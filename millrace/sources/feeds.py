@@ -130,9 +130,16 @@ SELECT '45' || LPAD(CAST(l_orderkey AS STRING), 12, '0') AS po_number, CAST(10 *
 FROM {_NUMBERED_LINES}""",
     # Which partner was seen selling which product: one row per sale, so pairs repeat.
     "raw_listings": """
-SELECT 'SKU-' || LPAD(CAST(l_partkey AS STRING), 5, '0') AS sku_id,
+SELECT 'SKU-' || LPAD(CAST(l_partkey AS STRING), CAST(GREATEST(5, LENGTH(CAST(l_partkey AS STRING))) AS INT), '0') AS sku_id,
   'shop' || CAST(l_suppkey AS STRING) || '.example.com' AS website_domain
 FROM lineitem""",
+    # One answer per supplier, some of which no reader can take: half a character, a huge number, deep nesting.
+    "raw_broken_responses": """
+SELECT s_suppkey, CASE s_suppkey % 50 WHEN 0 THEN '{"listed_price": "' || chr(92) || 'ud83d"}'
+    WHEN 1 THEN '{"listed_price": ' || repeat('9', 5000) || '}'
+    WHEN 2 THEN repeat('{"a": ', 20000) || '0' || repeat('}', 20000)
+    ELSE 'Found: {"listed_price": ' || CAST(s_suppkey AS STRING) || '}' END AS output_text
+FROM supplier""",
     # One provider answer per pair with a sale that stayed sold: prose, JSON, broken JSON. Other pairs have none.
     "raw_agent_responses": """
 SELECT sku_id, website_domain,
@@ -145,7 +152,7 @@ SELECT sku_id, website_domain,
     WHEN 5 THEN '{"listed_price": -1.00, "discount": 0, "listing_url": "https://' || website_domain || '/p/' || sku_id || '"}'
     ELSE 'Here is what I found: {"Listed Price": ' || price || ', "Discount": 0.10, "listing_url": "https://'
       || website_domain || '/p/' || sku_id || '"} Hope this helps.' END AS output_text
-FROM (SELECT 'SKU-' || LPAD(CAST(p_partkey AS STRING), 5, '0') AS sku_id,
+FROM (SELECT 'SKU-' || LPAD(CAST(p_partkey AS STRING), CAST(GREATEST(5, LENGTH(CAST(p_partkey AS STRING))) AS INT), '0') AS sku_id,
         'shop' || CAST(l_suppkey AS STRING) || '.example.com' AS website_domain, (p_partkey * 7 + l_suppkey * 13) % 20 AS k,
         CAST(CAST(CAST(p_retailprice AS DECIMAL(10,2)) * (80 + (p_partkey * 3 + l_suppkey) % 41)
           * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS STRING) AS price

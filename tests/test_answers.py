@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions.answer_scan import message_text, read_answer
+from millrace.functions.answer_scan import message_text, read_answer, read_or_error
 from millrace.operators import answers
 
 FIELDS = ["listed_price", "discount"]
@@ -43,6 +43,20 @@ def test_parse_answer_on_spark(spark):
     assert [{k: v for k, v in g.r.asDict().items() if v is not None} for g in got] == expected
 
 
+BROKEN = ['{"a": "\\ud83d"}', '{"a": ' + "9" * 5000 + "}", '{"a": ' * 100_000 + "0" + "}" * 100_000]
+
+
+@pytest.mark.parametrize("text", BROKEN)
+def test_an_unreadable_answer_gives_an_error(text):
+    assert list(read_or_error(text, ["a"])) == ["error"]
+
+
+def test_unreadable_answers_do_not_end_the_job(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*BROKEN, '{"a": 1}'])], "i int, t string")
+    got = df.orderBy("i").select(answers.parse_answer(F.col("t"), ["a"]).alias("r")).select("r.*").collect()
+    assert [(g.a, g._raw, g.error is not None) for g in got] == [(None, None, True)] * 3 + [("1", None, False)]
+
+
 def test_raw_text_is_cut_where_asked():
     assert read_answer("x" * 600, ["a"], 500) == {"a": "Not found", "_raw": "x" * 500}
     assert read_answer("x" * 600, ["a"])["_raw"] == "x" * 600

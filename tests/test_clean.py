@@ -45,8 +45,12 @@ def test_title_case_breaks_at_punctuation(spark):
     assert got == ["Back Ordered", "On_Hold X", "Re-Sent/Late", "O.K.", "", None, "Été Fini"]
 
 
-def test_keys_are_padded_and_cut(spark):
-    assert values(spark, clean.sku_key, ["7", "123456", None]) == ["SKU-00007", "SKU-12345", None]
+def test_keys_are_padded_and_cut_only_when_asked(spark):
+    assert values(spark, clean.sku_key, ["7", "123456", None]) == ["SKU-00007", "SKU-123456", None]
+    assert values(spark, lambda c: clean.sku_key(c, cut_keys=True), ["123456"]) == ["SKU-12345"]
+    ids = ["500Dn000000000042", "500Dn000000012345", "none", None]
+    assert values(spark, lambda c: clean.number_key("TKT-", c, 4), ids) == ["TKT-0042", "TKT-12345", "TKT-none", None]
+    assert values(spark, lambda c: clean.number_key("TKT-", c, 4, cut_keys=True), ids[:2]) == ["TKT-0042", "TKT-2345"]
     assert values(spark, clean.order_customer_key, ["ACCT-5"]) == ["CUST-5"]
     assert values(spark, clean.crm_customer_key, ["001Dn00000A0042"]) == ["CUST-2000042"]
 
