@@ -25,8 +25,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: A token is scored when it is this long, and reported when the mean ratio of its steps reaches the limit (in nats).
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 MEAN_RATIO = 0.4
-#: Documents whose words and hashes are the labelled samples: those with the least hash of their text.
-SAMPLE_DOCUMENTS = 1_000
+#: Documents whose words and digests are the labelled samples, those with the least hash of their text, and digests of each.
+SAMPLE_DOCUMENTS, DIGESTS = 1_000, 8
 
 _NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -59,9 +59,10 @@ def samples(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMEN
     texts = docs.select(t.alias("t"), F.xxhash64(t).alias("h")).where("t is not null")
     least = cut_lineage(texts.select("h").distinct().orderBy("h").limit(documents))  # hashes only are sorted
     chosen = cut_lineage(texts.join(F.broadcast(least), "h").dropDuplicates(["h"]).select("t"))
-    digest = F.sha2("t", 256)
+    salted = chosen.select(F.sha2("t", 256).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(DIGESTS))).alias("salt"))
+    digest = F.sha2(F.concat("d", F.col("salt").cast("string")), 256)
     base64 = F.rtrim(F.base64(F.unhex(digest)), F.lit("="))
-    random = chosen.select(F.lit(1).alias("random"), F.explode(F.array(digest, base64, F.upper(base64), F.substring(base64, 1, 20))).alias("token"))
+    random = salted.select(F.lit(1).alias("random"), F.explode(F.array(digest, base64, base64, F.upper(base64))).alias("token"))
     words = F.regexp_extract_all("t", F.lit(r"[A-Za-z]{3,}"), F.lit(0))
     named = chosen.select(words.alias("w"))
     at = F.sequence(F.lit(1), F.size("w") - 1)
