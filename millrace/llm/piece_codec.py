@@ -22,7 +22,7 @@ from millrace.llm.rows import per_text
 
 #: Chunks and token pairs remembered by one task. A full table of chunks becomes the older one and a new one starts;
 #: a full table of pairs starts anew. It bounds memory only.
-CACHED, CACHED_LENGTH = 250_000, 48
+CACHED, CACHED_LENGTH = 100_000, 48
 _SPACE = "▁"
 _NEVER = float("-inf")
 _PAIR = 1 << 24  # above every token number

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words hashed by one task are kept until there are this many; then the table starts anew. It bounds memory only.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
+
+#: Rows read at once, so that what a task holds beside Arrow's batch stays small.
+ROWS_AT_ONCE = 512
 
 #: The white space that parts words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -76,7 +79,7 @@ def per_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = make()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             texts = batch.column(batch.num_columns - 1)
             values = [batch.column(len(keep) + i).to_pylist() for i in range(len(given))]
             made = [read(x.as_py() or b"", *more) for x, *more in zip(texts, *values)]
@@ -84,6 +87,7 @@ def per_text(
             for i, kind in enumerate(arrow.types[len(keep) :]):
                 columns.append(pa.array([row[i] for row in made], kind))
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     result = narrow.mapInArrow(run, out)
     names = [*keep, *fields.names]
