@@ -107,6 +107,15 @@ EXPECTED = {
     "upsert_order_items": merge_query("sales_order_items", "sales.order_items"),
     "upsert_skus": merge_query("inventory_skus", "inventory.skus"),
     "upsert_distributors": merge_query("inventory_distributors", "inventory.distributors"),
+    "upsert_daily_sales_summary": merge_query("sales_daily_sales_summary", "sales.daily_sales_summary"),
+    "upsert_product_categories": merge_query("inventory_product_categories", "inventory.product_categories"),
+    "upsert_warehouse_stock": merge_query("inventory_warehouse_stock", "inventory.warehouse_stock"),
+    "upsert_customers": merge_query("crm_customers", "crm.customers"),
+    "upsert_support_tickets": merge_query("crm_support_tickets", "crm.support_tickets"),
+    "upsert_gl_accounts": merge_query("finance_gl_accounts", "finance.gl_accounts"),
+    "upsert_monthly_pnl": merge_query("finance_monthly_pnl", "finance.monthly_pnl"),
+    "upsert_suppliers": merge_query("supply_suppliers", "supply_chain.suppliers"),
+    "upsert_purchase_orders": merge_query("supply_purchase_orders", "supply_chain.purchase_orders"),
     "upsert_null_keys": compose(merged("sales.daily_sales_summary", "first_run", "first_run"), first_run=UNREADABLE_DATES),
     "check_skus": check("validate_skus", "SELECT count(*) AS n FROM inventory_skus WHERE status = 'ACTIVE'", "n > 0",
                         "'FAIL: SKUS table is empty after transform'", "n"),

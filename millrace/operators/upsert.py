@@ -9,20 +9,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace import schemas
 
-_SALT, _HERE = "__salt", "__here"
-_NULL_KEY_SPREAD = 4096
+_HERE = "__here"
 
 
 def _any_null(keys: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.col(k).isNull() for k in keys])
 
 
-def _spread_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A NULL key matches nothing, so such rows may sit in any partition: spread them by their content."""
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(_NULL_KEY_SPREAD)).cast("int")
-    return df.withColumn(_SALT, F.when(_any_null(keys), spread).otherwise(F.lit(0)))
-
-
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -38,23 +31,23 @@ def upsert(
     on chance, so the job fails when it meets a match; without one both rows are inserted. With ``strict``
     it fails on any second row for a key.
 
-    One shuffle per side: the numbering that finds second rows uses the clustering and order of the join.
+    Rows with a NULL key match nothing, so they pass by the join and are not shuffled. Of the others each side
+    is shuffled once, a target stored in buckets by the key not at all: the numbering that finds second rows uses the
+    clustering and order of the join. Both sides are read twice where NULL keys can occur, once for each part.
     The result reads the target: write it to another place than the one the target is read from.
     """
     columns = target.columns
-    src = _spread_null_keys(source.select(*[c for c in columns if c in source.columns]), keys)
-    nth = F.row_number().over(Window.partitionBy(*keys, _SALT).orderBy(*keys, _SALT))
-    src = src.withColumn(_HERE, nth)
-    tgt = _spread_null_keys(target, keys).withColumn(_HERE, F.lit(True))
-    given = [c for c in src.columns if c not in (*keys, _SALT, _HERE)]
-    src = src.select(*[F.col(c).alias(f"s_{c}") for c in (*keys, _SALT, *given, _HERE)])
-    tgt = tgt.select(*[F.col(c).alias(f"t_{c}") for c in (*columns, _SALT, _HERE)])
-
-    match = reduce(Column.__and__, [F.col(f"t_{k}") == F.col(f"s_{k}") for k in (*keys, _SALT)])
+    feed = source.select(*[c for c in columns if c in source.columns])
+    given = [c for c in feed.columns if c not in keys]
+    src = feed.where(~_any_null(keys)).withColumn(_HERE, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    src = src.select(*[F.col(c).alias(f"s_{c}") for c in (*keys, *given, _HERE)])
+    tgt = target.where(~_any_null(keys)).withColumn(_HERE, F.lit(True))
+    tgt = tgt.select(*[F.col(c).alias(f"t_{c}") for c in (*columns, _HERE)])
+
+    match = reduce(Column.__and__, [F.col(f"t_{k}") == F.col(f"s_{k}") for k in keys])
     joined = tgt.join(src, match, "full_outer")
     in_source, in_target = F.col("s_" + _HERE).isNotNull(), F.col("t_" + _HERE).isNotNull()
-    keyed = ~_any_null([f"s_{k}" for k in keys])
-    clash = (F.col("s_" + _HERE) > 1) & keyed & (F.lit(strict) | in_target)
+    clash = (F.col("s_" + _HERE) > 1) & (F.lit(strict) | in_target)
     shown = F.to_json(F.struct(*[F.col(f"s_{k}").alias(k) for k in keys]))
     refuse = F.raise_error(F.concat(F.lit("more than one source row for key "), shown))
 
@@ -71,7 +64,14 @@ def upsert(
             value = F.when(in_source, F.col(f"s_{c}")).otherwise(F.col(f"t_{c}"))
         return value.cast(kind).alias(c)
 
-    return joined.select(*[merged(c) for c in columns])
+    def as_target(df: DataFrame) -> DataFrame:
+        kinds = [(c, target.schema[c].dataType) for c in columns]
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds])
+
+    out = joined.select(*[merged(c) for c in columns])
+    for side in (target, feed):
+        out = out.unionByName(as_target(side.where(_any_null(keys))))
+    return out
 
 
 def upsert_curated(target: DataFrame, source: DataFrame, table: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 from functools import reduce
 from uuid import uuid4
@@ -10,6 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.sources.prior_state import PRIOR_STATE, UNREADABLE_DATES
+from millrace import schemas
 from millrace.functions import clean, codes
 from millrace.operators import answers, checks, corpus, crm, enrich, finance, inventory, prices, sales, supply
 from millrace.operators.upsert import upsert_curated
@@ -78,24 +80,28 @@ def _purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
     return supply.purchase_orders(feed(spark, folder, "raw_sap_purchase_orders"))
 
 
-def _over_view(spark: SparkSession, view: str, df: DataFrame, sql: str) -> DataFrame:
-    df.createOrReplaceTempView(view)
-    return spark.sql(sql)
+def _over(spark: SparkSession, name: str, df: DataFrame, sql: str) -> DataFrame:
+    """``sql`` with ``df`` in the place of the table ``name``; no view of the caller is touched."""
+    return spark.sql(re.sub(rf"\bFROM {name}\b", f"FROM {{{name}}}", sql), **{name: df})
 
 
-def _merge(build: Query, view: str, table: str) -> Query:
-    """Merge today's rows of a curated table into its earlier state."""
+def _merge(build: Query, name: str, table: str, runs: int = 1) -> Query:
+    """Merge today's rows of a curated table into its stored earlier state, once or again."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         today = build(spark, folder)
-        return upsert_curated(_over_view(spark, view, today, PRIOR_STATE[view]), today, table)
+        wh = _new_warehouse(spark)
+        out = wh.replace(table, schemas.conform(_over(spark, name, today, PRIOR_STATE[name]), table))
+        for _ in range(runs - 1):
+            out = wh.merge_into(table, today)
+        return upsert_curated(out, today, table)
 
     return run
 
 
 def _merge_null_keys(spark: SparkSession, folder: str) -> DataFrame:
     """The second run of a feed with unreadable dates: rows without a key come in once more."""
-    first = _over_view(spark, "sales_daily_sales_summary", _daily_sales_summary(spark, folder), UNREADABLE_DATES)
+    first = _over(spark, "sales_daily_sales_summary", _daily_sales_summary(spark, folder), UNREADABLE_DATES)
     return upsert_curated(first, first, "sales.daily_sales_summary")
 
 
@@ -214,12 +220,12 @@ def _enrich_events(spark: SparkSession, folder: str) -> DataFrame:
 def _enrich_udtf(spark: SparkSession, folder: str) -> DataFrame:
     """The table function over all parts; the group of a row decides its task, not its fields."""
     enrich.register(spark, {"restating": enrich.restating_provider})
-    table(spark, folder, "part").createOrReplaceTempView("part")
     out = spark.sql(
         """WITH asked AS (SELECT to_json(named_struct('part', p_partkey, 'product_name', p_name, 'brand', p_brand)) AS input_json,
              CASE WHEN p_size > 25 THEN array('product_name', 'brand') ELSE array('Brand') END AS output_columns,
-             CASE WHEN p_size > 40 THEN 'Prices only.' END AS custom_prompt, pmod(xxhash64(p_partkey), 64) AS spread FROM part)
-           SELECT * FROM enrich_rows(TABLE(SELECT * FROM asked) PARTITION BY spread)"""
+             CASE WHEN p_size > 40 THEN 'Prices only.' END AS custom_prompt, pmod(xxhash64(p_partkey), 64) AS spread FROM {part})
+           SELECT * FROM enrich_rows(TABLE(SELECT * FROM asked) PARTITION BY spread)""",
+        part=table(spark, folder, "part"),
     )
     read = lambda c, k: F.try_variant_get(F.parse_json(c), f"$.{k}", "string")
     return out.select(
@@ -233,12 +239,12 @@ def _enrich_udtf(spark: SparkSession, folder: str) -> DataFrame:
 def _enrich_scalar(spark: SparkSession, folder: str) -> DataFrame:
     """The SQL function with its default prompt, with a prompt, and with nothing asked for."""
     enrich.register(spark, {"restating": enrich.restating_provider})
-    table(spark, folder, "supplier").createOrReplaceTempView("supplier")
     return spark.sql(
         """SELECT s_suppkey, get_json_object(e, '$.name') AS name, get_json_object(e, '$.site') AS site,
              get_json_object(n, '$.error') AS error
            FROM (SELECT s_suppkey, enrich(to_json(named_struct('name', s_name)), '["name", "site"]') AS e,
-                   enrich_restating(to_json(named_struct('name', s_name)), '[]', 'Be brief.') AS n FROM supplier)"""
+                   enrich_restating(to_json(named_struct('name', s_name)), '[]', 'Be brief.') AS n FROM {supplier})""",
+        supplier=table(spark, folder, "supplier"),
     )
 
 
@@ -313,21 +319,23 @@ def _warehouse_refresh(spark: SparkSession, folder: str) -> DataFrame:
     return refresh.refresh_all(_new_warehouse(spark), lambda name: feed(spark, folder, name), AS_OF, RUN_AT)
 
 
-def _arrivals(spark: SparkSession, folder: str, name: str, files: int) -> tuple[str, str, str]:
-    """A raw feed laid out as files that arrive one after the other, and folders for the table and its progress."""
+def _arrivals(spark: SparkSession, folder: str, name: str) -> tuple[str, str, int]:
+    """A raw feed laid out as files that arrive over time, a folder for the progress, and the files of a third of it."""
     root = f"{shared_dir(spark)}/stream-{name}-{uuid4().hex}"
-    feed(spark, folder, name).repartition(files).write.parquet(f"{root}/in")
-    return f"{root}/in", f"{root}/table", f"{root}/progress"
+    raw = feed(spark, folder, name)
+    raw.repartition(*[c for c in raw.columns]).write.parquet(f"{root}/in")  # as many files as its size asks for
+    files = len(spark.read.schema(raw.schema).parquet(f"{root}/in").inputFiles())
+    return f"{root}/in", f"{root}/progress", -(-files // 3)
 
 
 def _stream_orders(spark: SparkSession, folder: str) -> DataFrame:
-    arrived, state, progress = _arrivals(spark, folder, "raw_erp_sales_orders", 3)
-    return streaming.stream_orders(streaming.read_feed(spark, arrived, "erp_sales_orders", 1), state, progress)
+    arrived, progress, some = _arrivals(spark, folder, "raw_erp_sales_orders")
+    return streaming.stream_orders(streaming.read_feed(spark, arrived, "erp_sales_orders", some), _new_warehouse(spark), progress)
 
 
 def _stream_stock(spark: SparkSession, folder: str) -> DataFrame:
-    arrived, state, progress = _arrivals(spark, folder, "raw_erp_warehouse_inventory", 3)
-    return streaming.stream_stock(streaming.read_feed(spark, arrived, "erp_warehouse_inventory", 1), state, progress)
+    arrived, progress, some = _arrivals(spark, folder, "raw_erp_warehouse_inventory")
+    return streaming.stream_stock(streaming.read_feed(spark, arrived, "erp_warehouse_inventory", some), _new_warehouse(spark), progress)
 
 
 QUERIES: dict[str, Query] = {
@@ -349,6 +357,15 @@ QUERIES: dict[str, Query] = {
     "upsert_order_items": _merge(_order_items, "sales_order_items", "sales.order_items"),
     "upsert_skus": _merge(_skus, "inventory_skus", "inventory.skus"),
     "upsert_distributors": _merge(_distributors, "inventory_distributors", "inventory.distributors"),
+    "upsert_daily_sales_summary": _merge(_daily_sales_summary, "sales_daily_sales_summary", "sales.daily_sales_summary"),
+    "upsert_product_categories": _merge(_product_categories, "inventory_product_categories", "inventory.product_categories", 2),
+    "upsert_warehouse_stock": _merge(_warehouse_stock, "inventory_warehouse_stock", "inventory.warehouse_stock"),
+    "upsert_customers": _merge(_customers, "crm_customers", "crm.customers"),
+    "upsert_support_tickets": _merge(_support_tickets, "crm_support_tickets", "crm.support_tickets", 2),
+    "upsert_gl_accounts": _merge(_gl_accounts, "finance_gl_accounts", "finance.gl_accounts"),
+    "upsert_monthly_pnl": _merge(_monthly_pnl, "finance_monthly_pnl", "finance.monthly_pnl"),
+    "upsert_suppliers": _merge(_suppliers, "supply_suppliers", "supply_chain.suppliers"),
+    "upsert_purchase_orders": _merge(_purchase_orders, "supply_purchase_orders", "supply_chain.purchase_orders"),
     "upsert_null_keys": _merge_null_keys,
     "check_skus": _check(checks.skus_present, _skus),
     "check_stock": _check(checks.stock_present, _warehouse_stock),

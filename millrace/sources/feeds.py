@@ -166,9 +166,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def feed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A raw feed over the parquet tables in ``folder``. The view names are read when the query is analysed."""
-    sql = FEEDS[name]
-    for t in TABLES:
-        if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
-            table(spark, folder, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+    """A raw feed over the parquet tables in ``folder``; no view of the caller is touched."""
+    named = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
+    return spark.sql(named.sub(lambda m: f"{m[1]} parquet.`{folder}/{m[2]}.parquet`", FEEDS[name]))

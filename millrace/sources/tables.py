@@ -1,7 +1,11 @@
 """Curated tables in the session catalog, replaced as a whole and never half-written.
 
 A new state is written to a folder of its own; the table is then pointed at it. A reader sees the old rows or
-the new ones, a failed write changes nothing, and a merge never writes where it reads.
+the new ones, a failed write changes nothing, and a merge never writes where it reads. The newest states are kept
+for readers that are still at work; older folders go once the table points past them.
+
+Beside its rows a state says which batch of which stream it holds last, in a folder that readers of the table pass
+over. Rows and record become visible together, so a batch that is run again is known to be there.
 """
 
 from __future__ import annotations
@@ -16,16 +20,25 @@ from millrace import schemas
 from millrace.operators.upsert import upsert_curated
 from millrace.session import shared_dir
 
+#: States of a table that stay on disk: the published one and those before it.
+KEEP_STATES = 3
+_APPLIED = "_applied"
+
 SCHEMAS = ["raw", "inventory", "sales", "crm", "supply_chain", "finance"]
 
 
 @dataclass
 class Warehouse:
-    """Databases of the catalog, by their plain names or with ``prefix`` in front, and the folder they live in."""
+    """Databases of the catalog, by their plain names or with ``prefix`` in front, and the folder they live in.
+
+    A table named in ``buckets`` is stored in that many buckets by its key, so that a merge reads it without a shuffle.
+    """
 
     spark: SparkSession
     prefix: str = ""
     root: str = field(default="")
+    keep_states: int = KEEP_STATES
+    buckets: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.root = self.root or f"{shared_dir(self.spark)}/{self.prefix or 'main'}"
@@ -47,15 +60,63 @@ class Warehouse:
         """A raw feed by its name, ``raw_erp_products``, from the raw schema."""
         return self.table("raw." + feed.removeprefix("raw_"))
 
-    def replace(self, name: str, rows: DataFrame) -> DataFrame:
-        """Create the table from ``rows``, or point it at a fresh copy of them."""
-        folder = f"{self.root}/{name.replace('.', '.db/')}/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
-        if self.exists(name):
-            self.spark.sql(f"ALTER TABLE {self.prefix}{name} SET LOCATION '{folder}'")
-            self.spark.catalog.refreshTable(self.prefix + name)
+    def _files(self, path: str):
+        """File system and path object of a folder."""
+        jvm = self.spark._jvm
+        found = jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), found
+
+    def _states(self, name: str) -> list[str]:
+        """Folders of the states of a table, oldest first; unfinished ones are among them."""
+        fs, home = self._files(f"{self.root}/{name.replace('.', '.db/')}")
+        if not fs.exists(home):
+            return []
+        return sorted(str(s.getPath().toString()) for s in fs.listStatus(home) if s.isDirectory())
+
+    def _location(self, name: str) -> str:
+        found = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.prefix}{name}").where("col_name = 'Location'")
+        return found.first()["data_type"]  # one row
+
+    def applied(self, name: str) -> dict[str, int]:
+        """The last batch of each stream that the published state holds."""
+        if not self.exists(name):
+            return {}
+        path = f"{self._location(name)}/{_APPLIED}"
+        fs, folder = self._files(path)
+        return {r.stream: r.batch for r in self.spark.read.parquet(path).collect()} if fs.exists(folder) else {}
+
+    def _write(self, name: str, rows: DataFrame, folder: str) -> None:
+        n = self.buckets.get(name)
+        if n is None:
+            rows.write.parquet(folder)
+            return
+        staging = f"{self.prefix}{name}_{uuid.uuid4().hex}"  # a bucketed write needs a table; its files stay
+        keys = schemas.KEYS[name]
+        rows.write.bucketBy(n, *keys).sortBy(*keys).option("path", folder).format("parquet").saveAsTable(staging)
+        if not self.exists(name):
+            self.spark.sql(f"ALTER TABLE {staging} RENAME TO {self.prefix}{name}")
         else:
+            self.spark.sql(f"DROP TABLE {staging}")
+
+    def replace(self, name: str, rows: DataFrame, stream: str = "", batch: int = -1) -> DataFrame:
+        """Create the table from ``rows``, or point it at a fresh copy of them; with the batch of a stream they hold."""
+        before = self._states(name)
+        nth = 1 + (int(before[-1].rsplit("/", 1)[1].split("-")[0]) if before else 0)
+        folder = f"{self.root}/{name.replace('.', '.db/')}/{nth:012d}-{uuid.uuid4().hex}"
+        applied = self.applied(name) | ({stream: batch} if stream else {})
+        new = not self.exists(name)
+        self._write(name, rows, folder)
+        if applied:
+            record = self.spark.createDataFrame(list(applied.items()), "stream string, batch bigint")
+            record.coalesce(1).write.parquet(f"{folder}/{_APPLIED}")  # one row per stream
+        if not new:
+            self.spark.sql(f"ALTER TABLE {self.prefix}{name} SET LOCATION '{folder}'")
+        elif not self.exists(name):
             self.spark.catalog.createTable(self.prefix + name, path=folder, source="parquet", schema=rows.schema)
+        self.spark.catalog.refreshTable(self.prefix + name)
+        for old in before[: max(0, len(before) + 1 - self.keep_states)]:
+            fs, path = self._files(old)
+            fs.delete(path, True)
         return self.table(name)
 
     def create_curated(self, name: str) -> DataFrame:
@@ -64,8 +125,12 @@ class Warehouse:
             return self.table(name)
         return self.replace(name, self.spark.createDataFrame([], schemas.curated_schema(name)))
 
-    def merge_into(self, name: str, source: DataFrame) -> DataFrame:
-        return self.replace(name, upsert_curated(self.create_curated(name), source, name))
+    def merge_into(self, name: str, source: DataFrame, stream: str = "", batch: int = -1) -> DataFrame:
+        """The table after merging ``source``; a batch of a stream that the table already holds changes nothing."""
+        target = self.create_curated(name)
+        if stream and self.applied(name).get(stream, -1) >= batch:
+            return target
+        return self.replace(name, upsert_curated(target, source, name), stream, batch)
 
     def full_refresh(self, name: str, rows: DataFrame, run_at: dt.datetime) -> DataFrame:
         """Replace all rows. Where the rows bring no ``enriched_at``, it takes its default, the run time."""

@@ -1,56 +1,39 @@
-"""Orders and stock kept fresh from files that arrive over time.
+"""Orders and stock kept fresh from files that arrive over time, in the one curated table that batch runs also merge into.
 
-Each micro-batch writes the next state of the table into a folder named after its batch id, from the state
-before it. A batch that is run again after a failure reads the same earlier state and writes the same folder,
-so nothing is counted twice and no state is ever half-written for a reader.
+Each micro-batch merges into the published state of the table, whatever stream or batch run wrote it, and the new state
+says which batch of which stream it holds (``Warehouse.replace``). A batch that is run again after a failure is known to
+be there and changes nothing. A new checkpoint is a new stream: it starts from the published state and loses no row.
+One writer at a time may merge into a table.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from millrace import schemas
 from millrace.functions import clean, codes
 from millrace.operators import inventory
-from millrace.operators.upsert import upsert
+from millrace.sources.tables import Warehouse
 
 STOCK_STATE = schemas.CURATED["inventory.warehouse_stock"] + ", snapshot_ts timestamp_ntz"
+ORDERS, STOCK, STOCK_TIMES = "sales.orders", "inventory.warehouse_stock", "inventory.warehouse_stock_times"
+STATE_STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "RocksDB"
 
 
-def _state(spark: SparkSession, folder: str, batch: int, schema: StructType) -> DataFrame:
-    """The table after batch ``batch``; an empty one before the first."""
-    if batch < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/state/batch={batch}")
+def _run(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, str, int], None], mode: str) -> None:
+    """Process all input that is there, then stop. ``merge`` gets each batch, the id of the stream and of the batch.
 
-
-def _last_batch(spark: SparkSession, folder: str) -> int:
-    """The newest finished state in ``folder``, -1 when there is none yet."""
-    try:
-        found = spark.read.parquet(f"{folder}/done").agg(F.max("batch")).first()[0]  # one row per batch
-    except AnalysisException:
-        return -1
-    return -1 if found is None else int(found)
-
-
-def latest(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    return _state(spark, folder, _last_batch(spark, folder), schema)
-
-
-def _run(
-    stream: DataFrame, folder: str, checkpoint: str, schema: StructType, step: Callable[[DataFrame, DataFrame], DataFrame], mode: str
-) -> None:
-    """Process all input that is there, then stop."""
+    The id is made with the checkpoint and stays with it, so a fresh checkpoint in the same place has another one.
+    """
+    known, stream_id = threading.Event(), []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _state(spark, folder, batch_id - 1, schema)
-        step(before, batch).write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
-        spark.range(1).select("id").coalesce(1).write.mode("overwrite").parquet(f"{folder}/done/batch={batch_id}")
+        known.wait()
+        merge(batch, stream_id[0], batch_id)
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -59,6 +42,8 @@ def _run(
         .trigger(availableNow=True)
         .start()
     )
+    stream_id.append(str(query.id))
+    known.set()
     query.awaitTermination()
 
 
@@ -109,23 +94,50 @@ def order_totals(lines: DataFrame) -> DataFrame:
     )
 
 
-def stream_orders(lines: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """Merge the orders touched by each batch; returns the table after all input."""
-    schema = schemas.curated_schema("sales.orders")
-    keys = schemas.KEYS["sales.orders"]
-    columns = schema.names
-    _run(order_totals(lines), folder, checkpoint, schema, lambda t, b: upsert(t, b.select(*columns), keys), "update")
-    return latest(lines.sparkSession, folder, schema)
+def _state_on_disk(spark: SparkSession) -> None:
+    """Order totals grow with the orders; on a cluster they must not sit in executor memory."""
+    if not spark.sparkContext.master.startswith("local") and ROCKSDB not in spark.conf.get(STATE_STORE, ""):
+        raise RuntimeError(f"set {STATE_STORE} to the RocksDB state store")
 
 
-def _newer_stock(before: DataFrame, batch: DataFrame) -> DataFrame:
-    """The newest snapshot per warehouse and product over the state and the batch."""
-    taken = inventory.stock_columns(batch, inventory.snapshot_time())
-    return inventory.newest_snapshot(before.unionByName(taken), ["warehouse_id", "sku_id"])
+def stream_orders(lines: DataFrame, wh: Warehouse, checkpoint: str) -> DataFrame:
+    """Merge the orders touched by each batch into ``sales.orders``; returns the table after all input.
 
+    Totals cover the lines that this stream has read. A new checkpoint must therefore read all lines of an order
+    it touches again, as it does when it is started on the same folder.
+    """
+    _state_on_disk(lines.sparkSession)
+
+    def merge(batch: DataFrame, stream: str, batch_id: int) -> None:
+        wh.merge_into(ORDERS, batch, stream, batch_id)
+
+    wh.create_curated(ORDERS)
+    _run(order_totals(lines), checkpoint, merge, "update")
+    return wh.table(ORDERS)
 
-def stream_stock(snapshots: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """Keep the newest stock row; a late file with an older snapshot changes nothing."""
+
+def stream_stock(snapshots: DataFrame, wh: Warehouse, checkpoint: str) -> DataFrame:
+    """Keep the newest stock row in ``inventory.warehouse_stock``; a late file with an older snapshot changes nothing.
+
+    The time of the newest snapshot is no column of that table, so a table beside it holds it with the row. It
+    is written first; a batch that failed between the two writes repeats the second alone. Rows whose key has a NULL
+    match nothing in the stock table: each batch that brings some inserts the newest of them once more, as a merge does.
+    """
     schema = StructType.fromDDL(STOCK_STATE)
-    _run(snapshots, folder, checkpoint, schema, _newer_stock, "append")
-    return latest(snapshots.sparkSession, folder, schema).drop("snapshot_ts")
+    keys = schemas.KEYS[STOCK]
+
+    def merge(batch: DataFrame, stream: str, batch_id: int) -> None:
+        taken = inventory.stock_columns(batch, inventory.snapshot_time())
+        if wh.applied(STOCK_TIMES).get(stream, -1) < batch_id:
+            newest = inventory.newest_snapshot(wh.table(STOCK_TIMES).unionByName(taken), keys)
+            wh.replace(STOCK_TIMES, newest, stream, batch_id)
+        came = taken.select(*[F.col(k).alias(f"came_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"came_{k}")) for k in keys]
+        touched = wh.table(STOCK_TIMES).join(came, same, "left_semi")
+        wh.merge_into(STOCK, touched.drop("snapshot_ts"), stream, batch_id)
+
+    wh.create_curated(STOCK)
+    if not wh.exists(STOCK_TIMES):
+        wh.replace(STOCK_TIMES, snapshots.sparkSession.createDataFrame([], schema))
+    _run(snapshots, checkpoint, merge, "append")
+    return wh.table(STOCK)

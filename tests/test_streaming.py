@@ -1,10 +1,14 @@
 import datetime as dt
+import os
 from decimal import Decimal as D
 
+from uuid import uuid4
+
 import pytest
 
 from millrace import schemas
 from millrace.operators import inventory, sales
+from millrace.sources.tables import Warehouse
 from millrace.streaming import refresh
 
 
@@ -20,18 +24,21 @@ def arrive(spark, tmp_path):
         df = spark.createDataFrame(rows, schemas.raw_schema(name)).coalesce(1)
         df.write.mode("append").parquet(folder)
 
-    return write, folder, str(tmp_path / "table"), str(tmp_path / "progress")
+    wh = Warehouse(spark, prefix=f"s{uuid4().hex[:8]}_")
+    wh.create_schemas()
+    return write, folder, wh, str(tmp_path / "progress")
 
 
 def test_orders_follow_late_lines(spark, arrive):
-    write, folder, table, progress = arrive
+    write, folder, wh, progress = arrive
 
     def run():
-        return refresh.stream_orders(refresh.read_feed(spark, folder, "erp_sales_orders", 1), table, progress)
+        return refresh.stream_orders(refresh.read_feed(spark, folder, "erp_sales_orders", 1), wh, progress)
 
     write("erp_sales_orders", [line("1", 1, "SHIPPED", ship="2024-01-03T00:00:00Z"), line("2", 1, "ENTERED")])
     write("erp_sales_orders", [line("1", 2, "ENTERED", "5.50", "2")])
     first = {r.order_id: r for r in run().collect()}
+    assert wh.table("sales.orders").count() == 2
     assert first["ORD-1"].total_amount == D("21.00") and first["ORD-1"].status == "PENDING"
     assert first["ORD-1"].ship_date == dt.date(2024, 1, 3)
 
@@ -45,17 +52,17 @@ def test_orders_follow_late_lines(spark, arrive):
 
 
 def test_lines_that_disagree_on_the_header_fail(spark, arrive):
-    write, folder, table, progress = arrive
+    write, folder, wh, progress = arrive
     write("erp_sales_orders", [line("1", 1, "ENTERED"), line("1", 2, "ENTERED", account="ACCT-2")])
     with pytest.raises(Exception, match="disagree on the header"):
-        refresh.stream_orders(refresh.read_feed(spark, folder, "erp_sales_orders"), table, progress)
+        refresh.stream_orders(refresh.read_feed(spark, folder, "erp_sales_orders"), wh, progress)
 
 
 def test_stock_keeps_the_newest_snapshot(spark, arrive):
-    write, folder, table, progress = arrive
+    write, folder, wh, progress = arrive
 
     def run():
-        return refresh.stream_stock(refresh.read_feed(spark, folder, "erp_warehouse_inventory", 1), table, progress)
+        return refresh.stream_stock(refresh.read_feed(spark, folder, "erp_warehouse_inventory", 1), wh, progress)
 
     write("erp_warehouse_inventory", [("01", "5", "9", "1", "2024-01-02T00:00:00", "2024-01-02 10:00:00"),
                                       ("01", "6", "4", "1", "2024-01-02T00:00:00", "soon")])
@@ -66,10 +73,51 @@ def test_stock_keeps_the_newest_snapshot(spark, arrive):
 
 
 def test_equal_times_agree_between_batch_and_stream(spark, arrive):
-    write, folder, table, progress = arrive
+    write, folder, wh, progress = arrive
     for qty in ("9", "10", "x"):
         write("erp_warehouse_inventory", [("01", "5", qty, "1", "2024-01-02T00:00:00", "2024-01-02 10:00:00")])
     raw = spark.read.schema(schemas.raw_schema("erp_warehouse_inventory")).parquet(folder)
-    streamed = refresh.stream_stock(refresh.read_feed(spark, folder, "erp_warehouse_inventory", 1), table, progress)
+    streamed = refresh.stream_stock(refresh.read_feed(spark, folder, "erp_warehouse_inventory", 1), wh, progress)
     assert streamed.collect() == inventory.warehouse_stock(raw).collect()
     assert streamed.first().quantity_on_hand == 10
+
+
+def orders_of(wh):
+    return {r.order_id: (r.total_amount, r.status) for r in wh.table("sales.orders").collect()}
+
+
+def test_a_new_checkpoint_loses_no_row(spark, arrive, tmp_path):
+    write, folder, wh, progress = arrive
+    write("erp_sales_orders", [line("1", 1, "SHIPPED"), line("2", 1, "ENTERED")])
+    refresh.stream_orders(refresh.read_feed(spark, folder, "erp_sales_orders"), wh, progress)
+    later = str(tmp_path / "later")
+    spark.createDataFrame([line("3", 1, "CLOSED")], schemas.raw_schema("erp_sales_orders")).write.parquet(later)
+    refresh.stream_orders(refresh.read_feed(spark, later, "erp_sales_orders"), wh, progress + "-2")
+    assert orders_of(wh) == {"ORD-1": (D("10.00"), "SHIPPED"), "ORD-2": (D("10.00"), "PENDING"), "ORD-3": (D("10.00"), "DELIVERED")}
+    assert sorted(wh.applied("sales.orders").values()) == [0, 0]
+
+
+def test_a_repeated_batch_changes_nothing(spark, arrive):
+    write, folder, wh, progress = arrive
+    day = "2024-01-02T00:00:00"
+    write("erp_warehouse_inventory", [("01", "5", "9", "1", day, "2024-01-02 10:00:00")])
+    write("erp_warehouse_inventory", [("01", None, "9", "1", day, "2024-01-02 10:00:00")])
+    read = lambda: refresh.read_feed(spark, folder, "erp_warehouse_inventory")
+    first = sorted(map(str, refresh.stream_stock(read(), wh, progress).collect()))
+    assert len(first) == 2
+    for f in os.listdir(f"{progress}/commits"):  # as if the driver had died before it wrote down the batch
+        os.remove(f"{progress}/commits/{f}")
+    assert sorted(map(str, refresh.stream_stock(read(), wh, progress).collect())) == first
+
+
+def test_batch_and_stream_share_the_table(spark, arrive):
+    write, folder, wh, progress = arrive
+    schema = schemas.raw_schema("erp_sales_orders")
+    wh.merge_into("sales.orders", sales.orders(spark.createDataFrame([line("1", 1, "ENTERED"), line("9", 1, "SHIPPED")], schema)))
+    write("erp_sales_orders", [line("1", 1, "CLOSED")])
+    run = lambda: refresh.stream_orders(refresh.read_feed(spark, folder, "erp_sales_orders"), wh, progress)
+    run()
+    wh.merge_into("sales.orders", sales.orders(spark.createDataFrame([line("8", 1, "ENTERED")], schema)))
+    run()
+    assert {k: v[1] for k, v in orders_of(wh).items()} == {"ORD-1": "DELIVERED", "ORD-9": "SHIPPED", "ORD-8": "PENDING"}
+    assert list(wh.applied("sales.orders").values()) == [0]  # the record outlives batch runs

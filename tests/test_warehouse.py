@@ -2,9 +2,11 @@ import datetime as dt
 from uuid import uuid4
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.operators import checks, inventory, prices
+from millrace.operators.upsert import upsert_curated
 from millrace.plans import refresh
 from millrace.sources.feeds import FEEDS, feed
 from millrace.sources.tables import Warehouse
@@ -78,3 +80,28 @@ def test_second_refresh_of_everything_changes_nothing(spark, small, wh):
     assert refresh.refresh_all(wh, wh.raw, as_of, run_at).collect() == first_checks
     assert {n: sorted(map(str, wh.table(n).collect())) for n in names} == first
     assert len(first_checks) == 13
+
+
+def test_only_the_newest_states_stay(spark, wh):
+    for i in range(6):
+        out = wh.replace("raw.notes", spark.range(i + 1))
+    assert out.count() == 6 and len(wh._states("raw.notes")) == wh.keep_states
+    assert wh._location("raw.notes") == wh._states("raw.notes")[-1]
+
+
+def test_a_target_in_buckets_is_merged_without_a_shuffle(spark):
+    w = Warehouse(spark, prefix=f"b{uuid4().hex[:8]}_", buckets={"inventory.warehouse_stock": 4})
+    w.create_schemas()
+    rows = spark.range(1000).selectExpr("concat('WH-', id % 3) AS warehouse_id", "concat('SKU-', id) AS sku_id", "CAST(id AS int) AS quantity_on_hand")
+    w.merge_into("inventory.warehouse_stock", rows)
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "-1")
+    try:
+        merged = upsert_curated(w.table("inventory.warehouse_stock"), rows.where("id < 9"), "inventory.warehouse_stock")
+        text = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 1  # the feed's
+    out = w.merge_into("inventory.warehouse_stock", rows.where("id < 9").withColumn("quantity_on_hand", F.lit(-1)))
+    assert out.count() == 1000 and out.where("quantity_on_hand = -1").count() == 9
