@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, types as T
 from millrace.llm.rows import per_text
 
 #: Chunks and token pairs remembered by one task. A full table of chunks becomes the older one and a new one starts;
-#: a full table of pairs starts anew. It bounds memory only.
-CACHED, CACHED_LENGTH = 100_000, 48
+#: a full table of pairs starts anew. It bounds memory only: a chunk takes about 350 bytes, in two tables. Where a task
+#: also returns the ids, less is left for them.
+CACHED, CACHED_WITH_IDS, CACHED_LENGTH = 250_000, 100_000, 48
 _SPACE = "▁"
 _NEVER = float("-inf")
 _PAIR = 1 << 24  # above every token number
@@ -38,7 +39,7 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> tuple[str, int, bytes]:
         made = self.older.get(chunk) or self._made(chunk)
         if len(chunk) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
+            if len(self) >= self.codec.cached:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = made
@@ -53,7 +54,8 @@ class _Chunks(dict):
 class Codec:
     """Pieces, scores and byte pieces are read from the model file; the encoding and decoding are done here."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED) -> None:
+        self.cached = cached
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
@@ -119,7 +121,7 @@ class Codec:
             token = self._text(right)
             before = [self._text(left)] if left >= 0 else []
             known = self.merge("".join([*before, token])) == [*before, token]
-            if len(self._pairs) >= CACHED:
+            if len(self._pairs) >= self.cached:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
@@ -215,30 +217,36 @@ DIGEST = T.StructType(
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
-def _codec(path: str) -> Codec:
-    known = _CODECS.get(path)
-    if known is None:
-        known = _CODECS[path] = Codec(path)
-    return known
+def _codec(path: str, cached: int) -> Codec:
+    """The one codec of a worker; another path or size takes its place."""
+    if _CODECS.get("of") != (path, cached):
+        _CODECS.clear()
+        _CODECS.update({"of": (path, cached), "codec": Codec(path, cached)})
+    return _CODECS["codec"]
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict = {}
 
 
-def digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def digests(
+    docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cached: int = CACHED
+) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row; no shuffle.
 
     ``model`` is a file that every executor can open. NULL and empty texts have no ids. Rows are read one by one, so
-    repeated rows and NULL ids change nothing; very long texts are read chunk by chunk.
+    repeated rows and NULL ids change nothing; very long texts are read chunk by chunk. ``cached`` chunks are remembered
+    by a task.
     """
-    return per_text(docs, lambda: _codec(model).digest, DIGEST, keep, text)
+    return per_text(docs, lambda: _codec(model, cached).digest, DIGEST, keep, text)
 
 
-def encoded(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def encoded(
+    docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cached: int = CACHED_WITH_IDS
+) -> DataFrame:
     """``keep``, the ids themselves and the text they decode to."""
 
     def make():
-        codec = _codec(model)
+        codec = _codec(model, cached)
 
         def read(raw: bytes) -> tuple:
             n, ids, decoded = codec.parts(raw)
