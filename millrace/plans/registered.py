@@ -86,15 +86,17 @@ def _over(spark: SparkSession, name: str, df: DataFrame, sql: str) -> DataFrame:
 
 
 def _merge(build: Query, name: str, table: str, runs: int = 1) -> Query:
-    """Merge today's rows of a curated table into its stored earlier state, once or again."""
+    """Merge today's rows of a curated table into its earlier state, which is stored if there is more than one run."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         today = build(spark, folder)
-        wh = _new_warehouse(spark)
-        out = wh.replace(table, schemas.conform(_over(spark, name, today, PRIOR_STATE[name]), table))
-        for _ in range(runs - 1):
-            out = wh.merge_into(table, today)
-        return upsert_curated(out, today, table)
+        target = schemas.conform(_over(spark, name, today, PRIOR_STATE[name]), table)
+        if runs > 1:
+            wh = _new_warehouse(spark)
+            wh.replace(table, target)
+            for _ in range(runs - 1):
+                target = wh.merge_into(table, today)
+        return upsert_curated(target, today, table)
 
     return run
 
