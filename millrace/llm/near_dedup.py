@@ -6,7 +6,8 @@ candidates, those with the longest common prefix first: a sparse region is compa
 crowded one only with what lies next to it, which is as deep as the region asks for. First every set meets the one
 next to it. Confirmed on the full sets, these pairs give components; then sets of different components meet within a
 wide reach. There a parity sketch gives a lower bound for the shingles in which two sets differ, so that pairs that
-cannot be alike drop out before their sets are fetched.
+cannot be alike drop out before their sets are fetched. Rows at the ends of a task are compared with those of the
+tasks beside it. Sets with partners beyond the wide reach meet in an exact prefix-filter join on their rarest shingles.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm.rows import WordHashes, mixed, odd_numbers, per_text
 from millrace.session import cut_lineage
@@ -26,6 +29,11 @@ TREES, DEPTH, MIN_DEPTH = 32, 8, 4
 NEIGHBOURS, PARITY_BITS = 256, 512
 #: Rows of an order in one task, and ids that are broadcast to find their texts again (beyond: a shuffle).
 ROWS_PER_TASK, BROADCAST_IDS = 1_000_000, 2_000_000
+#: Rows that a task of an order holds at least, as a multiple of the reach, where the table is large enough.
+LEAST_REACHES = 16
+#: Exact join: sets that must hold a shingle for it to be counted as common, counts of common shingles that go to every
+#: task (the order of the others is by hash: it decides the work, not the result), and rows of a shingle in one part.
+COMMON, BROADCAST_COMMON, ROWS_PER_PART = 8, 2_000_000, 1_000
 
 _AT_ONCE = 4096
 
@@ -93,29 +101,60 @@ def signed(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
     return per_text(docs, lambda: Signer(shingle), _SIGNED, (doc_id,), text).withColumnRenamed(doc_id, "doc")
 
 
-def _orders(sets: DataFrame, rows: int) -> DataFrame:
+_PLACED = "a long, b long, like boolean, far long, part int, pos long, tree int, key binary, id long, n long, group long, parity binary"
+_ROW = ["tree", "key", "id", "n", "group", "parity"]
+
+
+def _orders(sets: DataFrame, rows: int, reach: int) -> DataFrame:
     """The sets in each order, an order being sorted through its tasks: tree and key come in the place of sig."""
     width = 4 * DEPTH
     each = sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
     each = each.withColumn("key", F.substring("sig", F.col("tree") * width + 1, F.lit(width))).drop("sig")
     tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * TREES // ROWS_PER_TASK))
-    return each.repartitionByRange(tasks, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    tasks = max(1, min(tasks, rows * TREES // (LEAST_REACHES * (reach + 1))))
+    return each.select(*_ROW).repartitionByRange(tasks, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+
 
+def _neighbours(reach: int, percent: int, ends: bool):
+    """Pairs (a, b) of sets at most ``reach`` apart in an order, alike to depth four, of two groups.
 
-def _neighbours(reach: int, percent: int):
-    """Pairs (a, b) of sets at most ``reach`` apart in an order, alike to depth four, of two groups, and of like size."""
+    ``like`` says whether size and parity sketch let them be alike. Sets with a partner further away come as (far, id),
+    far being the hash of the common depth-four prefix. With ``ends``, the first and last rows of the task come too,
+    with their place; without, each value of ``part`` is an order of its own.
+    """
+    wide = reach + 1
+    schema = pa.schema([
+        ("a", pa.int64()), ("b", pa.int64()), ("like", pa.bool_()), ("far", pa.int64()), ("part", pa.int32()),
+        ("pos", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("id", pa.int64()), ("n", pa.int64()),
+        ("group", pa.int64()), ("parity", pa.binary()),
+    ])
+
+    def placed(rows: int, **columns) -> pa.RecordBatch:
+        arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    def end(rows: pa.Table, first: int) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows:
+            part, pos = np.full(rows.num_rows, TaskContext.get().partitionId(), np.int32), np.arange(first, first + rows.num_rows)
+            yield placed(rows.num_rows, part=part, pos=pos, **{c: rows.column(c).combine_chunks() for c in _ROW})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for batch in batches:
+        done = 0
+        for batch in (b for b in batches if b.num_rows):
             here = pa.Table.from_batches([batch])
+            if ends:
+                yield from end(here.slice(0, max(0, wide - done)), done)
             known = 0 if held is None else held.num_rows
+            done += here.num_rows
             here = here if held is None else pa.concat_tables([held, here])
             ids, n, group, tree = (here.column(c).to_numpy() for c in ("id", "n", "group", "tree"))
             keys = np.frombuffer(b"".join(here.column("key").to_pylist()), ">u4").reshape(-1, DEPTH)
-            _, region = np.unique(np.column_stack([tree, keys[:, :MIN_DEPTH]]), axis=0, return_inverse=True)
+            of = [tree] if ends else [tree, here.column("part").to_numpy()]
+            _, region = np.unique(np.column_stack([*of, keys[:, :MIN_DEPTH]]), axis=0, return_inverse=True)
+            region = region.reshape(-1)
             parity = None
-            if "parity" in here.column_names:
+            if here.column("parity").null_count == 0:
                 parity = np.frombuffer(b"".join(here.column("parity").to_pylist()), np.uint64).reshape(len(ids), -1)
             found = []
             for d in range(1, min(reach, len(ids) - 1) + 1):
@@ -123,22 +162,67 @@ def _neighbours(reach: int, percent: int):
                 if not len(at):
                     break  # regions are runs: none is longer
                 at = at[(at + d >= known) & (group[at] != group[at + d])]  # not two rows that were held
-                at = at[100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d])]
-                if parity is not None and len(at):
+                like = 100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d])
+                if parity is not None:
+                    at = at[like]
                     differ = np.bitwise_count(parity[at] ^ parity[at + d]).sum(axis=1, dtype=np.int64)  # or more
                     at = at[differ * (100 + percent) <= (n[at] + n[at + d]) * (100 - percent)]
+                    like = np.ones(len(at), bool)
                 if len(at):
-                    found.append(np.stack([np.minimum(ids[at], ids[at + d]), np.maximum(ids[at], ids[at + d])], axis=1))
+                    found.append(np.stack([np.minimum(ids[at], ids[at + d]), np.maximum(ids[at], ids[at + d]), like], axis=1))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            held = here.slice(max(0, here.num_rows - reach))
+                yield placed(len(pairs), a=pairs[:, 0], b=pairs[:, 1], like=pairs[:, 2].astype(bool))
+            at = np.flatnonzero(region[:-wide] == region[wide:])
+            at = at[at + wide >= known]
+            if parity is not None and len(at):
+                at = np.concatenate([at, at + wide])
+                words = np.column_stack([tree[at], keys[at, :MIN_DEPTH]]).astype(np.uint64)
+                far = np.zeros(len(at), np.uint64)
+                for column in words.T:
+                    far = mixed(far + column + odd_numbers(37, 1)[0])
+                both = np.unique(np.column_stack([far.view(np.int64), ids[at]]), axis=0)
+                yield placed(len(both), far=both[:, 0], id=both[:, 1])
+            held = here.slice(max(0, here.num_rows - wide))
+        if ends and held is not None:
+            yield from end(held, done - held.num_rows)
 
     return run
 
 
+def _across(found: DataFrame, reach: int, percent: int) -> DataFrame:
+    """What ``_neighbours`` finds across the borders of tasks: the rows around each border are an order of their own.
+
+    Only the number of the rows of each task comes to the driver.
+    """
+    wide = reach + 1
+    ends = found.where("part is not null").dropDuplicates(["part", "pos"])  # a short task is both its ends
+    counts = sorted(ends.groupBy("part").agg(F.max("pos").alias("pos")).collect())
+    starts = np.cumsum([0, *(r.pos + 1 for r in counts)])[:-1]
+    parts = np.array([r.part for r in counts], np.int64)
+    kinds = T.StructType([T.StructField("place", T.LongType()), *ends.schema.fields])
+    arrow, names = to_arrow_schema(kinds), ends.columns
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, pos = (batch.column(c).to_numpy() for c in ("part", "pos"))
+            place = starts[np.searchsorted(parts, part)] + pos
+            low, high = (np.searchsorted(starts[1:], place + x, "right") for x in (-wide, wide))
+            row = np.repeat(np.arange(len(place)), high - low)
+            border = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - high + low, high - low) + np.repeat(low, high - low)
+            taken = {c: batch.column(c).take(pa.array(row)) for c in names}
+            taken |= {"place": pa.array(place[row]), "part": pa.array(border.astype(np.int32))}
+            yield pa.RecordBatch.from_arrays([taken[f.name].cast(f.type) for f in arrow], schema=arrow)
+
+    around = ends.mapInArrow(spread, kinds).repartition("part").sortWithinPartitions("part", "place")
+    return around.mapInArrow(_neighbours(reach, percent, False), _PLACED)
+
+
 def _candidates(sets: DataFrame, rows: int, reach: int, percent: int) -> DataFrame:
-    return _orders(sets, rows).mapInArrow(_neighbours(reach, percent), "a long, b long").distinct()
+    """(a, b, like) and (far, id) of all orders, the borders of tasks included, as ``_neighbours`` gives them."""
+    found = cut_lineage(_orders(sets, rows, reach).mapInArrow(_neighbours(reach, percent, True), _PLACED))
+    both = found.where("part is null").union(_across(found, reach, percent))
+    return cut_lineage(both.select("a", "b", "like", "far", "id").distinct())
 
 
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -179,6 +263,7 @@ def near_duplicates(
     shingle: int = SHINGLE,
     percent: int = PERCENT,
     broadcast_ids: int = BROADCAST_IDS,
+    reach: int = NEIGHBOURS,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
@@ -186,26 +271,26 @@ def near_duplicates(
     component is the least id that links can reach. A text of fewer than ``shingle`` words is one shingle; NULL and
     blank texts have none and link with nothing. Copies of one set are one member. Rows that share an id are one
     document, whatever their texts; a row without an id stands alone, with a NULL component, and is kept. An empty
-    table gives no rows. Columns other than the two named are left out. Candidates are found with a chance: of a
-    pair at 80 percent in regions of up to 257 sets, fewer than one in ten million is missed; in a denser region a set
-    must be near one member of a group to join it.
+    table gives no rows. Columns other than the two named are left out. Candidates are found with a chance: of the
+    pairs at 80 percent, fewer than one in ten million is missed, however dense their regions are.
     """
     rows = signed(docs, shingle, doc_id, text)
     known = rows.where("doc is not null and n > 0")
     sets = known.groupBy("d1", "d2").agg(F.min("doc").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = cut_lineage(sets)
     n_sets = sets.count()
-    found = _linked(docs, sets, n_sets, doc_id, text, shingle, percent, broadcast_ids)
+    found = _linked(docs, sets, n_sets, doc_id, text, shingle, percent, broadcast_ids, reach)
     named = sets.select("d1", "d2", F.col("id").cast("long")).join(found, "id", "left")
     named = named.select("d1", "d2", F.coalesce("group", "id").alias("set_group"))
     return _labelled(docs, named, shingle, doc_id, text)
 
 
-def _linked(docs, sets, n_sets, doc_id, text, shingle, percent, broadcast_ids) -> DataFrame:
+def _linked(docs, sets, n_sets, doc_id, text, shingle, percent, broadcast_ids, reach) -> DataFrame:
     """(id, group) of all sets that have a link."""
-    alone = sets.select(F.col("id").cast("long"), "n", "sig", F.col("id").cast("long").alias("group"))
-    first = cut_lineage(_candidates(alone, n_sets, 1, percent))
-    active = cut_lineage(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    alone = sets.select(F.col("id").cast("long"), F.col("n").cast("long"), "sig", F.col("id").cast("long").alias("group"))
+    near = _candidates(alone.withColumn("parity", F.lit(None).cast("binary")), n_sets, 1, percent).where("a is not null")
+    first = near.where("like").select("a", "b")
+    active = cut_lineage(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     n_active = active.count()
     few = F.broadcast(active) if n_active <= broadcast_ids else active
     mine = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -226,8 +311,9 @@ def _linked(docs, sets, n_sets, doc_id, text, shingle, percent, broadcast_ids) -
     links = cut_lineage(_confirmed(first, full, percent))
     groups = connected(links)
     crowd = alone.drop("group").join(full.select("id", "parity"), "id").join(groups, "id", "left")
-    crowd = cut_lineage(crowd.withColumn("group", F.coalesce("group", "id")))
-    more = _candidates(crowd, n_active, NEIGHBOURS, percent).join(first, ["a", "b"], "left_anti")
+    crowd = crowd.withColumn("group", F.coalesce("group", "id")).select("id", "n", "sig", "group", "parity")
+    found = _candidates(crowd, n_active, reach, percent)
+    more = found.where("a is not null").select("a", "b").join(first, ["a", "b"], "left_anti")
     links = links.union(_confirmed(more, full, percent))
     return connected(links)
 

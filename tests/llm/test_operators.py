@@ -118,6 +118,28 @@ def test_near_dedup_in_a_crowd(spark):
     assert got == sorted(components(rows, 4).items(), key=str)
 
 
+@pytest.mark.parametrize("tasks", [200, 2000])
+def test_near_dedup_of_few_texts_in_many_tasks(spark, tasks):
+    rows = [(0, " ".join(BASE)), (1, " ".join(BASE[:-1])), (2, "quite another text of nine words in a row"), (3, None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "component_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
+def test_near_dedup_across_tasks(spark, monkeypatch):
+    """One row a task: all pairs stand across a border."""
+    made = near_dedup._orders
+    order = ["tree", "key", "id"]
+    monkeypatch.setattr(near_dedup, "_orders", lambda *a: made(*a).repartitionByRange(192, *order).sortWithinPartitions(*order))
+    rows = [(d, " ".join(BASE[:-1] + [f"own{d}"])) for d in range(6)]
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "component_id")
+    assert got == [(d, 0) for d in range(6)]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     got = {r.id: r.group for r in near_dedup.connected(links).collect()}
