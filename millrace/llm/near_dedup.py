@@ -225,6 +225,60 @@ def _candidates(sets: DataFrame, rows: int, reach: int, percent: int) -> DataFra
     return cut_lineage(both.select("a", "b", "like", "far", "id").distinct())
 
 
+def _beyond(crowd: DataFrame, full: DataFrame, percent: int, common: int = COMMON) -> DataFrame:
+    """Pairs (a, b) of sets of two groups that may be alike, none left out: a prefix-filter join on shingles.
+
+    Shingles are ordered by rarity. Two alike sets have their first common shingle so early in both that enough
+    shingles follow; so each set offers its first ones, each with the sizes that a partner may have there. The join also
+    compares the parity sketches, so that few pairs leave it that are not alike.
+    """
+    sets = cut_lineage(full.join(crowd.select("id", "group"), "id").select("id", "group", "set", "parity"))
+    counts = sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("f")).where(F.col("f") >= common)
+    counts = counts.orderBy(F.desc("f")).limit(BROADCAST_COMMON).collect()
+    known = np.array(sorted((r.s, r.f) for r in counts), np.int64).reshape(-1, 2)
+    shared = crowd.sparkSession.sparkContext.broadcast(known)
+    out = T.StructType().add("s", "long").add("id", "long").add("group", "long").add("n", "long").add("most", "long")
+    sketch = [f"p{i}" for i in range(PARITY_BITS // 64)]
+    for name in sketch:
+        out = out.add(name, "long")
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, often = shared.value[:, 0], shared.value[:, 1]
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            for id_, group, found, parity in zip(*(batch.column(c) for c in ("id", "group", "set", "parity"))):
+                found = found.values.to_numpy()
+                n = len(found)
+                f = np.zeros(n, np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+                    f = np.where(values[at] == found, often[at], 0)
+                found = found[np.lexsort([found, f])]
+                most = (100 + percent) * (n - np.arange(n)) // percent - n
+                first = int(np.count_nonzero(100 * most >= percent * n))  # most falls
+                columns = [found[:first], np.full(first, id_.as_py()), np.full(first, group.as_py()), np.full(first, n), most[:first]]
+                columns += [np.full(first, p) for p in np.frombuffer(parity.as_py(), np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow)
+
+    offered = cut_lineage(sets.mapInArrow(run, out))
+    per = offered.groupBy("s").agg(
+        F.sum((F.col("most") >= F.col("n")).cast("long")).alias("small"), F.min("group").alias("least"), F.max("group").alias("last")
+    )
+    per = per.where("small > 0 and least < last").select("s", F.ceil(F.col("small") / ROWS_PER_PART).cast("int").alias("parts"))
+    met = cut_lineage(offered.join(per, "s"))
+    dealt = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    x = met.where("most >= n").withColumn("salt", dealt)
+    y = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = (d.select("s", "salt", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "group", "n", "most", *sketch))) for k, d in (("x", x), ("y", y)))
+    differ = " + ".join(f"bit_count({p}_x ^ {p}_y)" for p in sketch)  # or more
+    pairs = x.join(y, ["s", "salt"]).where(
+        "group_x <> group_y and n_x <= n_y and n_y <= most_x and n_x <= most_y and "
+        f"100 * n_x >= {percent} * n_y and (n_x < n_y or id_x < id_y) and "
+        f"({differ}) * {100 + percent} <= (n_x + n_y) * {100 - percent}"
+    )
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are alike enough."""
     left = shingles.select(F.col("id").alias("a"), F.col("set").alias("s"))
@@ -315,6 +369,19 @@ def _linked(docs, sets, n_sets, doc_id, text, shingle, percent, broadcast_ids, r
     found = _candidates(crowd, n_active, reach, percent)
     more = found.where("a is not null").select("a", "b").join(first, ["a", "b"], "left_anti")
     links = links.union(_confirmed(more, full, percent))
+    far = found.where("far is not null").select("far", "id")
+    if far.isEmpty():
+        return connected(links)
+    links = cut_lineage(links)
+    far = far.join(connected(links), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    far = cut_lineage(far)
+    mixed_ = far.groupBy("far").agg(F.min("group").alias("least"), F.max("group").alias("last")).where("least < last").select("far")
+    mixed_ = cut_lineage(mixed_)
+    n_mixed = mixed_.count()
+    if n_mixed:
+        mixed_ = F.broadcast(mixed_) if n_mixed <= broadcast_ids else mixed_
+        left = cut_lineage(far.join(mixed_, "far", "left_semi").select("id", "group").distinct())
+        links = links.union(_confirmed(_beyond(left, full, percent), full, percent))
     return connected(links)
 
 

@@ -118,6 +118,17 @@ def test_near_dedup_in_a_crowd(spark):
     assert got == sorted(components(rows, 4).items(), key=str)
 
 
+def test_near_dedup_beyond_the_reach(spark):
+    """Isolated pairs just above 0.8 among thousands of texts of one template that are just below it."""
+    template = " ".join(f"t{i}" for i in range(88))
+    rows = [(d, f"{template} " + " ".join(f"o{d}_{i}" for i in range(12))) for d in range(3000)]
+    for d in range(0, 40, 2):  # one own word in common: 89 of 111
+        rows[d + 1500] = (d + 1500, f"{template} o{d}_0 " + " ".join(f"p{d}_{i}" for i in range(11)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, shingle=1, percent=80, reach=8).collect()}
+    assert got == {d: d - 1500 if 1500 <= d < 1540 and d % 2 == 0 else d for d in range(3000)}
+
+
 @pytest.mark.parametrize("tasks", [200, 2000])
 def test_near_dedup_of_few_texts_in_many_tasks(spark, tasks):
     rows = [(0, " ".join(BASE)), (1, " ".join(BASE[:-1])), (2, "quite another text of nine words in a row"), (3, None)]
