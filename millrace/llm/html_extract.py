@@ -56,7 +56,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S,
 )
-_MARKS = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -65,7 +65,7 @@ def _unwanted(tag: str, attributes: str) -> bool:
         return True
     if tag in ("html", "body") or not attributes.strip():
         return False
-    for name, *values in _MARKS.findall(attributes):
+    for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true":
             return True

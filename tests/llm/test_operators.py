@@ -360,6 +360,17 @@ def test_html_extract(spark):
         assert got == {k: (v, len(v)) for k, v in expected.items()}
 
 
+@pytest.mark.parametrize("marks", [
+    'style="overflow:hidden"', 'data-role="search"', "data-id='ad'", "title='class=ad id=ad hidden'", "data-class=menu",
+    'href="/hidden-valley/"', "href=/read?id=ad", "aria-hidden=false", "data-hidden",
+])
+def test_html_attributes_by_exact_name(marks):
+    for body in (f"<article {marks}><p>Text</p></article>", f"<div {marks}><p>Text</p></div>", f"<p><a {marks}>Text</a></p>"):
+        assert html_extract.Page(page(body), "h").text(set()) == "Text"
+    for gone in ("hidden", "class=ad", "id='ad'", 'role="search"', 'aria-hidden="true"'):
+        assert html_extract.Page(page(f"<p>Text</p><div {marks} {gone}><p>Gone</p></div>"), "h").text(set()) == "Text"
+
+
 def test_html_extract_on_the_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
