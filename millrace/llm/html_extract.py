@@ -37,7 +37,7 @@ _CLOSED_BY_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option
 _CLOSED_BY_LIKE |= {"td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = {"ul", "ol", "dl", "table", "select"}
 
-# What is no article text, by tag, role, and word of a class or id.
+# What is no article text, by tag, role, and whole token of a class or id.
 _NEVER = set(
     "head script style title noscript template iframe nav header footer aside form button select textarea input"
     " object svg canvas audio video map dialog menu".split()
@@ -49,6 +49,11 @@ _NEVER_WORD = set(
     " notice notices banner newsletter subscribe subscription signup share sharing social related recommended popup modal"
     " overlay toolbar widget pagination pager skip".split()
 )
+_NEVER_WORD |= {f"{a}-{b}" for a in ("site", "page", "main", "global") for b in ("header", "footer", "nav", "navigation", "menu", "sidebar")}
+_NEVER_WORD |= set(
+    "nav-bar side-bar nav-menu cookie-banner cookie-notice cookie-consent related-posts related-articles related-links"
+    " share-buttons social-share social-links comment-list comments-section ad-slot ad-container ad-banner".split()
+)
 _ROOTS = {"html", "body", "article", "main"}
 _CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "figure", "details", "center", "fieldset"}
 
@@ -57,25 +62,29 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-_WORDS = re.compile(r"[a-z]+")
+_COMMENT = re.compile(r"comments?(-\d+)?")
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    if tag in _NEVER:
-        return True
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is no article text whatever it holds, and whether it is none by its name, role or as a form."""
+    if tag in _NEVER and tag != "form":
+        return True, False
+    by_name = tag == "form"
     if tag in ("html", "body") or not attributes.strip():
-        return False
+        return False, by_name
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "role" and value in _NEVER_ROLE:
-            return True
-        if name in ("class", "id") and tag not in ("article", "main") and not _NEVER_WORD.isdisjoint(_WORDS.findall(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and not {"comment", "comments"}.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+            by_name = True
+        if name in ("class", "id"):
+            tokens = value.replace("_", "-").split()
+            if tag not in ("article", "main") and not _NEVER_WORD.isdisjoint(tokens):
+                by_name = True
+            if tag == "article" and any(map(_COMMENT.fullmatch, tokens)):
+                return True, False
+    return False, by_name
 
 
 class Page:
@@ -88,6 +97,7 @@ class Page:
     def __init__(self, html: str, host: str) -> None:
         self.tags, self.parents, self.bad, self.article = ["#"], [0], [False], [False]
         self.hashes, self.sizes, self.holds = [0], [0], [False]
+        self._by_name = [False]
         self.pieces: list[tuple[int, str, bool]] = []
         self._seed = xxhash.xxh32_intdigest(host)
         self._open, self._inner = [0], [[]]
@@ -116,6 +126,22 @@ class Page:
         self._text(html[at:])
         while len(self._open) > 1:
             self._close()
+        self._judge()
+
+    def _judge(self) -> None:
+        """Names, roles and forms remove no element that holds an article, or most paragraph text of a page without one."""
+        paragraphs, counts = [0] * len(self.tags), [0] * len(self.tags)
+        if not self.holds[0] and True in self._by_name:
+            for node in range(len(self.tags) - 1, 0, -1):
+                if self.tags[node] == "p":
+                    paragraphs[node], counts[node] = self.sizes[node], 1
+                paragraphs[self.parents[node]] += paragraphs[node]
+                counts[self.parents[node]] += counts[node]
+        for node in range(1, len(self.tags)):
+            most = counts[node] > 1 and 2 * paragraphs[node] > paragraphs[0]
+            root = self.tags[node] in ("article", "main")
+            named = self._by_name[node] and (root or not (self.holds[node] or most))
+            self.bad[node] = self.bad[node] or named or self.bad[self.parents[node]]
 
     def _text(self, text: str) -> None:
         if text:
@@ -151,7 +177,9 @@ class Page:
         parent = self._open[-1]
         self.tags.append(tag)
         self.parents.append(parent)
-        self.bad.append(self.bad[parent] or _unwanted(tag, attributes))
+        never, by_name = _unwanted(tag, attributes)
+        self.bad.append(never)
+        self._by_name.append(by_name)
         self.article.append(self.article[parent] or tag in ("article", "main"))
         self.hashes.append(0)
         self.sizes.append(0)

@@ -371,6 +371,19 @@ def test_html_attributes_by_exact_name(marks):
         assert html_extract.Page(page(f"<p>Text</p><div {marks} {gone}><p>Gone</p></div>"), "h").text(set()) == "Text"
 
 
+def test_html_names_do_not_remove_the_article():
+    read = lambda body: html_extract.Page(page(body), "h").text(set())
+    inner = "<p>First part</p><p>Second part</p>"
+    for tag in ("div class='page has-sidebar'", "div class=header-fixed", "div class=widget", "div role=search", "form"):
+        end = tag.split()[0]
+        assert read(f"<{tag}><article>{inner}</article></{end}>") == "First part\nSecond part"
+        assert read(f"<{tag}>{inner}</{end}><p>x</p>") == "First part\nSecond part\nx"
+    assert read("<article><section class='related-work'><p>a</p></section><p class='share-price'>b</p></article>") == "a\nb"
+    for gone in ("div class='box sidebar'", "div id=site_header", "ul class='related-posts'", "form", "div role=banner"):
+        assert read(f"<article>{inner}</article><{gone}><p>Gone</p></{gone.split()[0]}>{inner}") == "First part\nSecond part"
+        assert read(f"{inner}<{gone}><p>Gone</p></{gone.split()[0]}>") == "First part\nSecond part"
+
+
 def test_html_extract_on_the_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
