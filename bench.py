@@ -24,6 +24,7 @@ HEADLINE = [
     "support_tickets",
     "monthly_pnl",
     "upsert_order_items",
+    "upsert_order_items_stored",
     "parse_responses",
     "distributor_prices",
     "page_text",

@@ -191,6 +191,8 @@ DOMAIN_CHECKS = ["skus", "stock", "orders", "revenue", "no_deleted_customers", "
                  "supplier_fk", "po_amounts", "row_count", "no_nulls", "price_range"]
 EXPECTED |= {
     "full_refresh_prices": EXPECTED["distributor_prices"],
+    "upsert_orders_stored": EXPECTED["upsert_orders"],
+    "upsert_order_items_stored": EXPECTED["upsert_order_items"],
     "warehouse_refresh": " UNION ALL ".join(f"(SELECT * FROM ({EXPECTED['check_' + c]}) x)" for c in DOMAIN_CHECKS),
     "stream_orders": EXPECTED["sales_orders"],
     "stream_stock": EXPECTED["warehouse_stock"],

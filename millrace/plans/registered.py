@@ -101,6 +101,18 @@ def _merge(build: Query, name: str, table: str, runs: int = 1) -> Query:
     return run
 
 
+def _merge_stored(build: Query, name: str, table: str, rows_per_part: int) -> Query:
+    """As ``_merge`` into a table stored in parts: the index names those that the feed can hit, the others stay."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        today = build(spark, folder)
+        wh = _new_warehouse(spark, {table: rows_per_part})
+        wh.replace(table, schemas.conform(_over(spark, name, today, PRIOR_STATE[name]), table))
+        return wh.merge_into(table, today)
+
+    return run
+
+
 def _merge_null_keys(spark: SparkSession, folder: str) -> DataFrame:
     """The second run of a feed with unreadable dates: rows without a key come in once more."""
     first = _over(spark, "sales_daily_sales_summary", _daily_sales_summary(spark, folder), UNREADABLE_DATES)
@@ -303,9 +315,9 @@ def _prices_check(fn: Callable[..., DataFrame], *more: Query) -> Query:
     return _check(fn, _distributor_prices, *more)
 
 
-def _new_warehouse(spark: SparkSession) -> Warehouse:
+def _new_warehouse(spark: SparkSession, rows_per_part: dict[str, int] | None = None) -> Warehouse:
     """Databases of their own, so that a query touches no table of the session's catalog."""
-    wh = Warehouse(spark, prefix=f"w{uuid4().hex[:12]}_")
+    wh = Warehouse(spark, prefix=f"w{uuid4().hex[:12]}_", rows_per_part=rows_per_part or {})
     wh.create_schemas()
     return wh
 
@@ -369,6 +381,8 @@ QUERIES: dict[str, Query] = {
     "upsert_suppliers": _merge(_suppliers, "supply_suppliers", "supply_chain.suppliers"),
     "upsert_purchase_orders": _merge(_purchase_orders, "supply_purchase_orders", "supply_chain.purchase_orders"),
     "upsert_null_keys": _merge_null_keys,
+    "upsert_orders_stored": _merge_stored(_orders, "sales_orders", "sales.orders", 250_000),
+    "upsert_order_items_stored": _merge_stored(_order_items, "sales_order_items", "sales.order_items", 250_000),
     "check_skus": _check(checks.skus_present, _skus),
     "check_stock": _check(checks.stock_present, _warehouse_stock),
     "check_orders": _check(checks.items_have_headers, _order_items, _orders),

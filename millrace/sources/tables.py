@@ -4,6 +4,10 @@ A new state is written to a folder of its own; the table is then pointed at it.
 the new ones, a failed write changes nothing, and a merge never writes where it reads. The newest states are kept
 for readers that are still at work; older folders go once the table points past them.
 
+A table named in ``rows_per_part`` is kept as parts instead, files in key order with an index (``file_index``). A merge
+rewrites the parts that its feed can hit and adds parts for new keys; the next state names all other parts again. Such a
+table is a view over the parts its newest state names, and the view is replaced in one step.
+
 Beside its rows a state says which batch of which stream it holds last, in a folder that readers of the table pass
 over. Rows and record become visible together, so a batch that is run again is known to be there.
 """
@@ -18,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import schemas
 from millrace.operators.upsert import upsert_curated
-from millrace.session import shared_dir
+from millrace.session import cut_lineage, shared_dir
+from millrace.sources import file_index
 
 #: States of a table that stay on disk: the published one and those before it.
 KEEP_STATES = 3
-_APPLIED = "_applied"
+_APPLIED, _PARTS, _DATA = "_applied", "_parts", "data"
 
 SCHEMAS = ["raw", "inventory", "sales", "crm", "supply_chain", "finance"]
 
@@ -31,7 +36,8 @@ SCHEMAS = ["raw", "inventory", "sales", "crm", "supply_chain", "finance"]
 class Warehouse:
     """Databases of the catalog, by their plain names or with ``prefix`` in front, and the folder they live in.
 
-    A table named in ``buckets`` is stored in that many buckets by its key, so that a merge reads it without a shuffle.
+    A table named in ``buckets`` is stored in that many buckets by its key, so that a merge reads it without a shuffle;
+    one named in ``rows_per_part`` in parts of about so many rows, of which a merge rewrites only those it can hit.
     """
 
     spark: SparkSession
@@ -39,6 +45,7 @@ class Warehouse:
     root: str = field(default="")
     keep_states: int = KEEP_STATES
     buckets: dict[str, int] = field(default_factory=dict)
+    rows_per_part: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.root = self.root or f"{shared_dir(self.spark)}/{self.prefix or 'main'}"
@@ -71,9 +78,13 @@ class Warehouse:
         fs, home = self._files(f"{self.root}/{name.replace('.', '.db/')}")
         if not fs.exists(home):
             return []
-        return sorted(str(s.getPath().toString()) for s in fs.listStatus(home) if s.isDirectory())
+        found = [str(s.getPath().toString()) for s in fs.listStatus(home) if s.isDirectory()]
+        return sorted(f for f in found if not f.endswith(f"/{_DATA}"))
 
     def _location(self, name: str) -> str:
+        """The folder of the published state."""
+        if name in self.rows_per_part:
+            return self.spark.sql(f"SHOW TBLPROPERTIES {self.prefix}{name} ('state')").first()["value"]
         found = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.prefix}{name}").where("col_name = 'Location'")
         return found.first()["data_type"]  # one row
 
@@ -98,17 +109,86 @@ class Warehouse:
         else:
             self.spark.sql(f"DROP TABLE {staging}")
 
-    def replace(self, name: str, rows: DataFrame, stream: str = "", batch: int = -1) -> DataFrame:
-        """Create the table from ``rows``, or point it at a fresh copy of them; with the batch of a stream they hold."""
+    def _next_state(self, name: str) -> tuple[list[str], str]:
+        """The folders of earlier states, and one for the next."""
         before = self._states(name)
         nth = 1 + (int(before[-1].rsplit("/", 1)[1].split("-")[0]) if before else 0)
-        folder = f"{self.root}/{name.replace('.', '.db/')}/{nth:012d}-{uuid.uuid4().hex}"
+        return before, f"{self.root}/{name.replace('.', '.db/')}/{nth:012d}-{uuid.uuid4().hex}"
+
+    def _record(self, name: str, folder: str, stream: str, batch: int) -> None:
         applied = self.applied(name) | ({stream: batch} if stream else {})
-        new = not self.exists(name)
-        self._write(name, rows, folder)
         if applied:
             record = self.spark.createDataFrame(list(applied.items()), "stream string, batch bigint")
             record.coalesce(1).write.parquet(f"{folder}/{_APPLIED}")  # one row per stream
+
+    def parts(self, name: str) -> DataFrame:
+        """The index of the published state of a table kept in parts."""
+        return self._parts_of(self._location(name))
+
+    def _parts_of(self, state: str) -> DataFrame:
+        return self.spark.read.schema(file_index.INDEX).parquet(f"{state}/{_PARTS}")
+
+    def _replace_parts(self, name: str, rows: DataFrame, gone: list[str] | None, stream: str, batch: int) -> DataFrame:
+        """The next state: the parts of the published one without ``gone`` (None: without all), and ``rows`` as new parts.
+
+        ``rows`` must be written already, so that counting and writing them do not work them out twice.
+        """
+        before, folder = self._next_state(name)
+        data, keys, schema = f"{self.root}/{name.replace('.', '.db/')}/{_DATA}", schemas.KEYS[name], rows.schema
+        count, own = rows.count(), uuid.uuid4().hex
+        index = self.spark.createDataFrame([], file_index.INDEX)
+        if count:
+            tasks = -(-count // self.rows_per_part[name])
+            file_index.write_parts(rows, data, keys, tasks, own)
+            index = file_index.index_of(file_index.read_parts(self.spark, data, schema, self._named(data, own)), keys)
+        if gone is not None:
+            index = index.union(self.parts(name).where(~F.col("part").isin(gone)) if gone else self.parts(name))
+        index.coalesce(8).write.parquet(f"{folder}/{_PARTS}")  # a row per file
+        self._record(name, folder, stream, batch)
+        columns = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema)
+        if self._parts_of(folder).isEmpty():
+            columns = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema)
+            source = "(SELECT 1) WHERE false"
+        else:
+            source = f"parquet.`{data}` WHERE {file_index.PART} IN (SELECT part FROM parquet.`{folder}/{_PARTS}`)"
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.prefix}{name} TBLPROPERTIES ('state' = '{folder}') AS SELECT {columns} FROM {source}")
+        self._drop_states(before[: max(0, len(before) + 1 - self.keep_states)], [*before[len(before) + 1 - self.keep_states :], folder], data)
+        return self.table(name)
+
+    def _named(self, data: str, own: str) -> list[str]:
+        """The parts that one write has made."""
+        fs, home = self._files(data)
+        found = [s.getPath().getName().removeprefix(f"{file_index.PART}=") for s in fs.listStatus(home) if s.isDirectory()]
+        return [p for p in found if p.startswith(f"{own}-")]
+
+    def _drop_states(self, old: list[str], kept: list[str], data: str) -> None:
+        """Remove old states of a table kept in parts, and the parts that no kept state names."""
+        def named(states: list[str]) -> set[str]:
+            return {r.part for s in states for r in self._parts_of(s).select("part").collect()}  # names only
+
+        for part in (named(old) - named(kept) if old else ()):
+            fs, path = self._files(f"{data}/{file_index.PART}={part}")
+            fs.delete(path, True)
+        for state in old:
+            fs, path = self._files(state)
+            fs.delete(path, True)
+
+    def _merge_parts(self, name: str, source: DataFrame, stream: str, batch: int) -> DataFrame:
+        """Merge a feed, read once, into the parts it can hit."""
+        feed = cut_lineage(schemas.conform(source, name))
+        keys, data = schemas.KEYS[name], f"{self.root}/{name.replace('.', '.db/')}/{_DATA}"
+        hit = file_index.hit_parts(feed, self.parts(name), keys)
+        old = file_index.read_parts(self.spark, data, schemas.curated_schema(name), hit).drop(file_index.PART)
+        return self._replace_parts(name, cut_lineage(upsert_curated(old, feed, name)), hit, stream, batch)
+
+    def replace(self, name: str, rows: DataFrame, stream: str = "", batch: int = -1) -> DataFrame:
+        """Create the table from ``rows``, or point it at a fresh copy of them; with the batch of a stream they hold."""
+        if name in self.rows_per_part:
+            return self._replace_parts(name, cut_lineage(rows), None, stream, batch)
+        before, folder = self._next_state(name)
+        new = not self.exists(name)
+        self._write(name, rows, folder)
+        self._record(name, folder, stream, batch)
         if not new:
             self.spark.sql(f"ALTER TABLE {self.prefix}{name} SET LOCATION '{folder}'")
         elif not self.exists(name):
@@ -130,6 +210,8 @@ class Warehouse:
         target = self.create_curated(name)
         if stream and self.applied(name).get(stream, -1) >= batch:
             return target
+        if name in self.rows_per_part:
+            return self._merge_parts(name, source, stream, batch)
         return self.replace(name, upsert_curated(target, source, name), stream, batch)
 
     def full_refresh(self, name: str, rows: DataFrame, run_at: dt.datetime) -> DataFrame:
