@@ -198,4 +198,16 @@ EXPECTED |= {
     "stream_stock": EXPECTED["warehouse_stock"],
     "enrich_pairs": compose("SELECT sku_id, distributor_id, brand, website_domain, 'Not found' AS listed_price FROM price_base"),
     "enrich_events": "SELECT event_id, user_id, event_type AS kind, 'Not found' AS meaning FROM events",
+    "enrich_prompts": "SELECT p_partkey, CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END AS product_name, "
+                      "CASE WHEN p_size > 40 THEN upper(p_brand) ELSE p_brand END AS brand FROM part",
+    "enrich_inline_saved": "SELECT c_mktsegment AS segment, c_custkey, sells, ceo, run_id, enriched_at FROM customer LEFT JOIN (SELECT *, "
+                           "'Not found' AS ceo, 'run-2' AS run_id, TIMESTAMP '2025-04-01 06:00:00' AS enriched_at FROM (VALUES "
+                           "('AUTOMOBILE', 'cars'), ('BUILDING', 'houses'), ('FURNITURE', 'chairs'), ('HOUSEHOLD', 'pans')) v(segment, sells)) "
+                           "ON segment = c_mktsegment",
+    "distributor_prices_provider": compose(
+        "SELECT sku_id, product_name, brand, upc, msrp, distributor_id, distributor_name, website_domain, listed_price, "
+        "CAST(CASE WHEN msrp <> 0 THEN round((CAST(listed_price AS double) - CAST(msrp AS double)) / CAST(msrp AS double), 4) END AS "
+        "decimal(8,4)) AS price_deviation_pct, CAST(0.10 AS decimal(5,2)) AS discount, 'https://' || website_domain || '/p/' || sku_id "
+        "AS listing_url, TIMESTAMP '2025-04-01 06:00:00' AS enriched_at FROM (SELECT *, CAST(round(msrp * 0.9, 2) AS decimal(10,2)) AS "
+        "listed_price FROM price_base) b"),
 }

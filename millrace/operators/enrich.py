@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import sys
+import time
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import suppress
+from decimal import ROUND_HALF_UP, Decimal
 from typing import NamedTuple
+from uuid import uuid4
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions.answer_scan import ERROR_KEY, key_of, message_text, read_or_error
 from millrace.operators.answers import parse_answer
+from millrace.operators.numbering import global_row_number
 from millrace.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as for the row helper: tasks carry the code
@@ -111,7 +117,10 @@ def enrich_batch(
     raw_limit: int | None = None,
     stringify_blocks: bool = False,
 ) -> list[dict]:
-    """One record per (entity, fields, prompt). What goes wrong with a row ends up in its own ``error``."""
+    """One record per (entity, fields, prompt). What goes wrong with a row ends up in its own ``error``.
+
+    A call to the provider holds requests with the same fields and the same prompt only.
+    """
     records: list[dict | None] = [None] * len(rows)
     asked: list[tuple[int, Request]] = []
     for i, (entity, fields, prompt) in enumerate(rows):
@@ -119,27 +128,49 @@ def enrich_batch(
             asked.append((i, _as_request(entity, fields, prompt)))
         except Exception as e:
             records[i] = {ERROR_KEY: str(e)}
-    try:
-        texts = provider([r for _, r in asked]) if asked else []
-        if len(texts) != len(asked):
-            raise ValueError(f"{len(texts)} answers to {len(asked)} requests")
-    except Exception:
-        texts = [_ask_alone(provider, r) for _, r in asked]  # keep one bad request from failing the others
-    for (i, request), text in zip(asked, texts):
-        try:
-            if isinstance(text, Exception):
-                raise text
-            records[i] = read_or_error(message_text(text, stringify_blocks), request.fields, raw_limit)
-        except Exception as e:
-            records[i] = {ERROR_KEY: str(e)}
+    calls: dict[tuple, list[tuple[int, Request]]] = {}
+    for i, request in asked:
+        calls.setdefault((tuple(map(str, request.fields)), request.prompt), []).append((i, request))
+    for call in calls.values():
+        texts = _asked(provider, [r for _, r in call])
+        for (i, request), text in zip(call, texts):
+            try:
+                if isinstance(text, Exception):
+                    raise text
+                records[i] = read_or_error(message_text(text, stringify_blocks), request.fields, raw_limit)
+            except Exception as e:
+                records[i] = {ERROR_KEY: str(e)}
     return records
 
 
-def _ask_alone(provider: Provider, request: Request) -> object:
+def _asked(provider: Provider, requests: list[Request]) -> list:
+    """One answer, or the exception that kept it away, for each request; a call that fails is asked again in halves."""
     try:
-        return provider([request])[0]
+        texts = provider(requests)
+        if len(texts) != len(requests):
+            raise ValueError(f"{len(texts)} answers to {len(requests)} requests")
+        return texts
     except Exception as e:
-        return e
+        half = len(requests) // 2
+        return [e] if not half else _asked(provider, requests[:half]) + _asked(provider, requests[half:])
+
+
+def _kept_provider(token: str, factory: ProviderFactory) -> Provider:
+    """The provider of this worker process for ``token``, made once and closed when the process ends.
+
+    It is kept on ``sys``, which all tasks of a process share, however their code came to it. One that could not be made
+    is tried again the next time.
+    """
+    kept = sys.__dict__.setdefault("_millrace_providers", {})
+    if token not in kept:
+        try:
+            kept[token] = factory()
+        except Exception:
+            return _made(factory)
+        close = getattr(kept[token], "close", None)
+        if close is not None:
+            atexit.register(close)
+    return kept[token]
 
 
 def scalar_function(factory: ProviderFactory, raw_limit: int | None = SCALAR_RAW_LIMIT):
@@ -167,32 +198,26 @@ def scalar_function(factory: ProviderFactory, raw_limit: int | None = SCALAR_RAW
 
 
 def table_function(factory: ProviderFactory):
-    """Table function over TABLE(input_json, output_columns, custom_prompt) -> (input, enriched), both JSON.
+    """Arrow table function over TABLE(input_json, output_columns, custom_prompt) -> (input, enriched), both JSON.
 
-    Rows are asked for in batches of bounded size, each with its own fields and prompt.
+    Rows come and go as Arrow batches and are asked for in calls of bounded size, each with its own fields and prompt. A
+    worker process makes one provider and keeps it, whatever the number of groups in ``PARTITION BY``; a group only
+    decides the task, so any column that spreads will do.
     """
+    token = uuid4().hex
 
-    @F.udtf(returnType="input string, enriched string")
+    @F.arrow_udtf(returnType="input string, enriched string")
     class EnrichRows:
-        def __init__(self):
-            self.provider = None
-            self.rows = []
-
-        def _flush(self):
-            if self.provider is None:
-                self.provider = _made(factory)
-            rows, self.rows = self.rows, []
-            for (entity, _, _), record in zip(rows, enrich_batch(self.provider, rows)):
-                yield json.dumps(entity), json.dumps(record)
-
-        def eval(self, row):
-            self.rows.append((_read_json(row["input_json"], {}), list(row["output_columns"] or []), row["custom_prompt"]))
-            if len(self.rows) >= _BATCH_ROWS:
-                yield from self._flush()
-
-        def terminate(self):
-            if self.rows:
-                yield from self._flush()
+        def eval(self, batch):
+            provider = _kept_provider(token, factory)
+            names = ("input_json", "output_columns", "custom_prompt")
+            inputs, fields, prompts = (batch.column(c).to_pylist() for c in names)
+            for at in range(0, len(inputs), _BATCH_ROWS):
+                some = slice(at, at + _BATCH_ROWS)
+                rows = [(_read_json(i, {}), list(f or []), p) for i, f, p in zip(inputs[some], fields[some], prompts[some])]
+                records = enrich_batch(provider, rows)
+                entities = [json.dumps(entity) for entity, _, _ in rows]
+                yield pa.table({"input": pa.array(entities, pa.string()), "enriched": pa.array([json.dumps(r) for r in records], pa.string())})
 
     return EnrichRows
 
@@ -217,14 +242,57 @@ def register(
             spark.udtf.register(f"{name}_rows", table_function(factory))
 
 
-def enrich_column(df: DataFrame, columns: Sequence[str], fields: Sequence[str], factory: ProviderFactory, prompt: str | None = None) -> DataFrame:
-    """Every row of a table with its record as JSON in ``enriched``. Runs in the partitions the table has."""
+def even_tasks(df: DataFrame, tasks: int, order: Sequence[Column]) -> DataFrame:
+    """The rows dealt to ``tasks`` tasks whose row counts differ by one at most, whatever their bytes or keys.
+
+    A running number over ``order`` is cut into even runs. Providers take their time by request, so tasks follow rows.
+    """
+    numbered = cut_lineage(global_row_number(df, order, "__n"))
+    total = numbered.count()
+    task = F.floor((F.col("__n") - 1) * tasks / max(total, 1)).cast("int")
+    return numbered.repartitionById(tasks, task).drop("__n")
+
+
+def limited(factory: ProviderFactory, per_second: float) -> ProviderFactory:
+    """A provider that asks no more than ``per_second`` requests in each worker process, waiting between its calls."""
+
+    def make() -> Provider:
+        provider, free = factory(), [0.0]
+
+        def ask(requests: list[Request]) -> list:
+            now = time.monotonic()
+            start = max(now, free[0])
+            free[0] = start + len(requests) / per_second
+            time.sleep(start - now)
+            return provider(requests)
+
+        return ask
+
+    return make
+
+
+def _in_tasks(df: DataFrame, columns: Sequence[str], tasks: int | None) -> DataFrame:
+    return df if tasks is None else even_tasks(df, tasks, [F.col(c) for c in columns])
+
+
+def enrich_column(
+    df: DataFrame, columns: Sequence[str], fields: Sequence[str], factory: ProviderFactory,
+    prompt: str | Column | None = None, tasks: int | None = None,
+) -> DataFrame:
+    """Every row of a table with its record as JSON in ``enriched``.
+
+    Runs in the partitions the table has, or in ``tasks`` tasks of equally many rows. ``prompt`` may differ by row.
+    """
     call = scalar_function(factory)
-    prompt_column = F.lit(prompt).cast("string")
-    return df.withColumn("enriched", call(entity_json(columns), F.lit(json.dumps(list(fields))), prompt_column))
+    prompt_column = prompt if isinstance(prompt, Column) else F.lit(prompt).cast("string")
+    dealt = _in_tasks(df, columns, tasks)
+    return dealt.withColumn("enriched", call(entity_json(columns), F.lit(json.dumps(list(fields))), prompt_column))
 
 
-def enrich_once(df: DataFrame, columns: Sequence[str], fields: Sequence[str], factory: ProviderFactory, prompt: str | None = None) -> DataFrame:
+def enrich_once(
+    df: DataFrame, columns: Sequence[str], fields: Sequence[str], factory: ProviderFactory,
+    prompt: str | None = None, tasks: int | None = None,
+) -> DataFrame:
     """As ``enrich_column``, but equal entities are asked for once, however many rows share them.
 
     The answers are written before they are joined back: a provider may answer differently the next time, and
@@ -232,7 +300,7 @@ def enrich_once(df: DataFrame, columns: Sequence[str], fields: Sequence[str], fa
     join, where adaptive execution splits a heavy one.
     """
     asked = df.withColumn("__entity", entity_json(columns))
-    distinct = asked.select("__entity").distinct()
+    distinct = _in_tasks(asked.select("__entity").distinct(), ["__entity"], tasks)
     call = scalar_function(factory)
     answers = distinct.withColumn("enriched", call("__entity", F.lit(json.dumps(list(fields))), F.lit(prompt).cast("string")))
     return asked.join(cut_lineage(answers), "__entity").drop("__entity")
@@ -256,3 +324,29 @@ def restating_provider() -> Provider:
         return out
 
     return answer
+
+
+def _of_request(answer: Callable[[Request], dict]) -> Provider:
+    return lambda requests: ["Known from the request: " + json.dumps(answer(r)) for r in requests]
+
+
+def obedient_provider() -> Provider:
+    """An offline provider that does what the prompt says: as the restating one, in capitals where it asks for capitals."""
+
+    def answer(r: Request) -> dict:
+        wanted = {key_of(f) for f in r.fields}
+        loud = "capitals" in r.prompt.lower()
+        return {k: v.upper() if loud and isinstance(v, str) else v for k, v in r.entity.items() if key_of(k) in wanted}
+
+    return _of_request(answer)
+
+
+def list_price_provider() -> Provider:
+    """An offline provider of prices: a tenth below the list price, at a page of the distributor's site."""
+
+    def answer(r: Request) -> dict:
+        msrp = r.entity.get("msrp")
+        price = None if msrp is None else str((Decimal(str(msrp)) * Decimal("0.9")).quantize(Decimal("0.01"), ROUND_HALF_UP))
+        return {"listed_price": price, "discount": "0.10", "listing_url": f"https://{r.entity.get('website_domain')}/p/{r.entity.get('sku_id')}"}
+
+    return _of_request(answer)

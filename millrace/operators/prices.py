@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace import schemas
 from millrace.functions import clean
-from millrace.operators import enrich
+from millrace.operators import enrich, ledger
 
 TABLE = "inventory.distributor_prices"
 ENTITY = ["sku_id", "product_name", "brand", "upc", "msrp", "distributor_id", "distributor_name", "website_domain"]
@@ -44,7 +44,7 @@ def search_requests(base: DataFrame) -> DataFrame:
 
 
 def price_columns(enriched: DataFrame, run_at: dt.datetime, null_text: str = "keep") -> DataFrame:
-    """Typed price columns from a record in ``enriched``.
+    """Typed price columns from a record in ``enriched``, a struct or the JSON text that a provider's record comes as.
 
     A price that is no number is NULL. A null URL in an answer comes as the text 'None'; with
     ``null_text="null"`` it is NULL instead. A list price of zero has no deviation.
@@ -52,8 +52,10 @@ def price_columns(enriched: DataFrame, run_at: dt.datetime, null_text: str = "ke
     if null_text not in ("keep", "null"):
         raise ValueError(f"unknown null_text {null_text!r}")
 
+    as_text = isinstance(enriched.schema["enriched"].dataType, T.StringType)
+
     def field(name: str) -> Column:
-        return F.col("enriched").getField(name)
+        return F.get_json_object("enriched", f"$.{name}") if as_text else F.col("enriched").getField(name)
 
     listed, msrp, url = F.col("listed_price"), F.col("msrp"), field("listing_url")
     priced = enriched.withColumn("listed_price", clean.to_decimal(field("listed_price"), 10, 2))
@@ -72,3 +74,12 @@ def price_columns(enriched: DataFrame, run_at: dt.datetime, null_text: str = "ke
 
 def distributor_prices(base: DataFrame, answers: DataFrame, run_at: dt.datetime) -> DataFrame:
     return price_columns(enrich.answered(base, answers, REQUEST_KEY, FIELDS), run_at)
+
+
+def provider_prices(
+    base: DataFrame, factory: enrich.ProviderFactory, kept: ledger.Ledger, run_id: str, run_at: dt.datetime,
+    prompt: str | None = None, tasks: int | None = None,
+) -> DataFrame:
+    """Prices of the listed pairs from a provider; pairs that the ledger knows are not asked for again."""
+    priced = ledger.enrich_kept(base, ENTITY, FIELDS, factory, kept, run_id, prompt, tasks)
+    return price_columns(priced.drop("answered_at"), run_at)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.sources.prior_state import PRIOR_STATE, UNREADABLE_DATES
 from millrace import schemas
 from millrace.functions import clean, codes
-from millrace.operators import answers, checks, corpus, crm, enrich, finance, inventory, prices, sales, supply
+from millrace.operators import answers, checks, corpus, crm, enrich, finance, inventory, ledger, prices, sales, supply
 from millrace.operators.upsert import upsert_curated
 from millrace.plans import refresh
 from millrace.session import shared_dir
@@ -195,6 +195,49 @@ def _distributor_prices(spark: SparkSession, folder: str) -> DataFrame:
     return prices.distributor_prices(_price_base(spark, folder), feed(spark, folder, "raw_agent_responses"), RUN_AT)
 
 
+def _new_ledger(spark: SparkSession) -> ledger.Ledger:
+    return ledger.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid4().hex}")
+
+
+def _distributor_prices_provider(spark: SparkSession, folder: str) -> DataFrame:
+    """Every listed pair priced by a provider, its answers kept in a ledger."""
+    base = _price_base(spark, folder)
+    return prices.provider_prices(base, enrich.list_price_provider, _new_ledger(spark), "run-1", RUN_AT)
+
+
+def _enrich_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """A prompt for each row; what is answered depends on it."""
+    parts = table(spark, folder, "part").select("p_partkey", F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), "p_size")
+    prompt = F.when(F.col("p_size") > 40, "Answer in capitals.").when(F.col("p_size") > 20, "Be brief.")
+    asked = enrich.enrich_column(parts, ["product_name", "brand"], ["product_name", "brand"], enrich.obedient_provider, prompt)
+    return enrich.record_columns(asked.select("p_partkey", "enriched"), ["product_name", "brand"])
+
+
+SEGMENTS = [("AUTOMOBILE", "cars"), ("BUILDING", "houses"), ("FURNITURE", "chairs"), ("HOUSEHOLD", "pans")]
+
+
+def _enrich_inline_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows written down in the call, enriched, saved with the stamp of their run, read back and joined to the customers.
+
+    The second run finds every answer in the ledger, so its provider, which answers nothing, is not asked.
+    """
+    wh, kept = _new_warehouse(spark), _new_ledger(spark)
+    rows = spark.createDataFrame(SEGMENTS, "segment string, sells string")
+
+    def silent():
+        def answer(requests):
+            raise RuntimeError("asked again")
+
+        return answer
+
+    for run, factory in (("run-1", enrich.restating_provider), ("run-2", silent)):
+        done = ledger.enrich_kept(rows, ["segment", "sells"], ["sells", "ceo"], factory, kept, run)
+        opened = enrich.record_columns(done.select("segment", "enriched"), ["sells", "ceo"])
+        saved = wh.replace("crm.enriched_segments", opened.withColumns({"run_id": F.lit(run), "enriched_at": F.lit(str(RUN_AT)).cast("timestamp_ntz")}))
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    return customers.join(saved, "segment", "left")
+
+
 def _enrich_input_hygiene(spark: SparkSession, folder: str) -> DataFrame:
     """Event properties as entities: readable ones pass, cut-off and empty ones become an empty object."""
     props = F.col("props")
@@ -203,13 +246,13 @@ def _enrich_input_hygiene(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", enrich.clean_entity(dirty).alias("entity"))
 
 
-COMPANY_FIELDS = ["name", "segment", "ceo"]
+COMPANY_FIELDS, COMPANY_TASKS = ["name", "segment", "ceo"], 8
 
 
 def _enrich_companies(spark: SparkSession, folder: str) -> DataFrame:
     """Accounts enriched row by row, their records opened into columns and stamped."""
     companies = table(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    asked = enrich.enrich_column(companies, ["name", "segment"], COMPANY_FIELDS, enrich.restating_provider)
+    asked = enrich.enrich_column(companies, ["name", "segment"], COMPANY_FIELDS, enrich.restating_provider, tasks=COMPANY_TASKS)
     opened = enrich.record_columns(asked.select("c_custkey", "enriched"), COMPANY_FIELDS)
     return opened.withColumn("enriched_at", F.lit(str(RUN_AT)).cast("timestamp_ntz"))
 
@@ -237,8 +280,8 @@ def _enrich_udtf(spark: SparkSession, folder: str) -> DataFrame:
     out = spark.sql(
         """WITH asked AS (SELECT to_json(named_struct('part', p_partkey, 'product_name', p_name, 'brand', p_brand)) AS input_json,
              CASE WHEN p_size > 25 THEN array('product_name', 'brand') ELSE array('Brand') END AS output_columns,
-             CASE WHEN p_size > 40 THEN 'Prices only.' END AS custom_prompt, pmod(xxhash64(p_partkey), 64) AS spread FROM {part})
-           SELECT * FROM enrich_rows(TABLE(SELECT * FROM asked) PARTITION BY spread)""",
+             CASE WHEN p_size > 40 THEN 'Prices only.' END AS custom_prompt, p_type FROM {part})
+           SELECT * FROM enrich_rows(TABLE(SELECT * FROM asked) PARTITION BY p_type)""",
         part=table(spark, folder, "part"),
     )
     read = lambda c, k: F.try_variant_get(F.parse_json(c), f"$.{k}", "string")
@@ -422,4 +465,7 @@ QUERIES: dict[str, Query] = {
     "stream_stock": _stream_stock,
     "enrich_pairs": _enrich_pairs,
     "enrich_events": _enrich_events,
+    "enrich_prompts": _enrich_prompts,
+    "enrich_inline_saved": _enrich_inline_saved,
+    "distributor_prices_provider": _distributor_prices_provider,
 }
