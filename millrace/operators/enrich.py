@@ -147,6 +147,8 @@ def _asked(provider: Provider, requests: list[Request]) -> list:
     """One answer, or the exception that kept it away, for each request; a call that fails is asked again in halves."""
     try:
         texts = provider(requests)
+        if len(requests) == 1:
+            return [texts[0]]
         if len(texts) != len(requests):
             raise ValueError(f"{len(texts)} answers to {len(requests)} requests")
         return texts
