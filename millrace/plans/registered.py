@@ -387,12 +387,12 @@ def _arrivals(spark: SparkSession, folder: str, name: str) -> tuple[str, str, in
 
 def _stream_orders(spark: SparkSession, folder: str) -> DataFrame:
     arrived, progress, some = _arrivals(spark, folder, "raw_erp_sales_orders")
-    return streaming.stream_orders(streaming.read_feed(spark, arrived, "erp_sales_orders", some), _new_warehouse(spark), progress)
+    return streaming.stream_orders(streaming.read_feed(spark, arrived, "erp_sales_orders", some), _new_warehouse(spark, streaming.PARTS), progress)
 
 
 def _stream_stock(spark: SparkSession, folder: str) -> DataFrame:
     arrived, progress, some = _arrivals(spark, folder, "raw_erp_warehouse_inventory")
-    return streaming.stream_stock(streaming.read_feed(spark, arrived, "erp_warehouse_inventory", some), _new_warehouse(spark), progress)
+    return streaming.stream_stock(streaming.read_feed(spark, arrived, "erp_warehouse_inventory", some), _new_warehouse(spark, streaming.PARTS), progress)
 
 
 QUERIES: dict[str, Query] = {

@@ -69,6 +69,20 @@ KEYS = {
     "supply_chain.purchase_orders": ["po_id"],
 }
 
+# Tables that a stream keeps beside a curated one, and their keys.
+SIDE = {
+    "sales.order_totals": "order_number string, lines bigint, total_amount decimal(38,2), lowest string, own_status string, "
+    "ship_date date, customer_id_low string, customer_id_high string, customer_id_known bigint, order_date_low date, "
+    "order_date_high date, order_date_known bigint, channel_low string, channel_high string, channel_known bigint",
+    "sales.order_files": "file string, stream string, batch bigint",
+    "inventory.warehouse_stock_times": CURATED["inventory.warehouse_stock"] + ", snapshot_ts timestamp_ntz",
+}
+SIDE_KEYS = {
+    "sales.order_totals": ["order_number"],
+    "sales.order_files": ["file"],
+    "inventory.warehouse_stock_times": KEYS["inventory.warehouse_stock"],
+}
+
 # Columns an update leaves as they were when the row was first inserted.
 KEPT_ON_UPDATE = {
     "inventory.skus": ["created_at"],
@@ -98,6 +112,15 @@ def curated_schema(name: str) -> StructType:
     return StructType.fromDDL(CURATED[name])
 
 
+def stored_schema(name: str) -> StructType:
+    """Of a curated table or one that a stream keeps beside it."""
+    return StructType.fromDDL(CURATED.get(name) or SIDE[name])
+
+
+def stored_keys(name: str) -> list[str]:
+    return KEYS.get(name) or SIDE_KEYS[name]
+
+
 def curated_columns(name: str) -> list[str]:
     """Column names of a curated table; needs no session."""
     return [c.split()[0] for c in re.split(r", (?=[a-z])", CURATED[name])]

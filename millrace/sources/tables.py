@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,6 +30,9 @@ from millrace.sources import file_index
 KEEP_STATES = 3
 _APPLIED, _PARTS, _DATA = "_applied", "_parts", "data"
 
+#: The stored rows and a feed to the rows that take their place.
+Combine = Callable[[DataFrame, DataFrame], DataFrame]
+
 SCHEMAS = ["raw", "inventory", "sales", "crm", "supply_chain", "finance"]
 
 
@@ -134,7 +138,7 @@ class Warehouse:
         ``rows`` must be written already, so that counting and writing them do not work them out twice.
         """
         before, folder = self._next_state(name)
-        data, keys, schema = f"{self.root}/{name.replace('.', '.db/')}/{_DATA}", schemas.KEYS[name], rows.schema
+        data, keys, schema = self._data(name), schemas.stored_keys(name), rows.schema
         count, own = rows.count(), uuid.uuid4().hex
         index = self.spark.createDataFrame([], file_index.INDEX)
         if count:
@@ -173,13 +177,37 @@ class Warehouse:
             fs, path = self._files(state)
             fs.delete(path, True)
 
-    def _merge_parts(self, name: str, source: DataFrame, stream: str, batch: int) -> DataFrame:
-        """Merge a feed, read once, into the parts it can hit."""
-        feed = cut_lineage(schemas.conform(source, name))
-        keys, data = schemas.KEYS[name], f"{self.root}/{name.replace('.', '.db/')}/{_DATA}"
-        hit = file_index.hit_parts(feed, self.parts(name), keys)
-        old = file_index.read_parts(self.spark, data, schemas.curated_schema(name), hit).drop(file_index.PART)
-        return self._replace_parts(name, cut_lineage(upsert_curated(old, feed, name)), hit, stream, batch)
+    def _data(self, name: str) -> str:
+        return f"{self.root}/{name.replace('.', '.db/')}/{_DATA}"
+
+    def _stored(self, name: str, feed: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The rows of the parts that can hold a key of ``feed``, and the names of these parts."""
+        hit = file_index.hit_parts(feed, self.parts(name), schemas.stored_keys(name))
+        rows = file_index.read_parts(self.spark, self._data(name), schemas.stored_schema(name), hit)
+        return rows.drop(file_index.PART), hit
+
+    def rows_of(self, name: str, feed: DataFrame) -> DataFrame:
+        """The rows of a table whose key comes in ``feed``, NULL keys too; of a table kept in parts no other part is read."""
+        keys = schemas.stored_keys(name)
+        came = cut_lineage(feed.select(*[F.col(k).alias(f"came_{k}") for k in keys]).distinct())
+        asked = came.toDF(*keys)
+        rows = self._stored(name, asked)[0] if name in self.rows_per_part else self.table(name)
+        same = [F.col(k).eqNullSafe(F.col(f"came_{k}")) for k in keys]
+        return rows.join(came, same, "left_semi")
+
+    def update(self, name: str, feed: DataFrame, combine: Combine, stream: str = "", batch: int = -1) -> DataFrame:
+        """The table after ``combine(stored rows, feed)`` has taken the place of the stored rows.
+
+        ``combine`` gets all rows of the table, or of the parts that can hold a key of the feed, and must give back those
+        that it leaves as they are. A batch of a stream that the table already holds changes nothing.
+        """
+        if stream and self.applied(name).get(stream, -1) >= batch:
+            return self.table(name)
+        if name not in self.rows_per_part:
+            return self.replace(name, combine(self.table(name), feed), stream, batch)
+        feed = cut_lineage(feed)
+        old, hit = self._stored(name, feed)
+        return self._replace_parts(name, cut_lineage(combine(old, feed)), hit, stream, batch)
 
     def replace(self, name: str, rows: DataFrame, stream: str = "", batch: int = -1) -> DataFrame:
         """Create the table from ``rows``, or point it at a fresh copy of them; with the batch of a stream they hold."""
@@ -200,19 +228,17 @@ class Warehouse:
         return self.table(name)
 
     def create_curated(self, name: str) -> DataFrame:
-        """The curated table, empty and with its contract if it is new."""
+        """The curated table, or one beside it, empty and with its contract if it is new."""
         if self.exists(name):
             return self.table(name)
-        return self.replace(name, self.spark.createDataFrame([], schemas.curated_schema(name)))
+        return self.replace(name, self.spark.createDataFrame([], schemas.stored_schema(name)))
 
     def merge_into(self, name: str, source: DataFrame, stream: str = "", batch: int = -1) -> DataFrame:
         """The table after merging ``source``; a batch of a stream that the table already holds changes nothing."""
-        target = self.create_curated(name)
-        if stream and self.applied(name).get(stream, -1) >= batch:
-            return target
+        self.create_curated(name)
         if name in self.rows_per_part:
-            return self._merge_parts(name, source, stream, batch)
-        return self.replace(name, upsert_curated(target, source, name), stream, batch)
+            source = schemas.conform(source, name)
+        return self.update(name, source, lambda target, feed: upsert_curated(target, feed, name), stream, batch)
 
     def full_refresh(self, name: str, rows: DataFrame, run_at: dt.datetime) -> DataFrame:
         """Replace all rows. Where the rows bring no ``enriched_at``, it takes its default, the run time."""

@@ -121,3 +121,73 @@ def test_batch_and_stream_share_the_table(spark, arrive):
     run()
     assert {k: v[1] for k, v in orders_of(wh).items()} == {"ORD-1": "DELIVERED", "ORD-9": "SHIPPED", "ORD-8": "PENDING"}
     assert list(wh.applied("sales.orders").values()) == [0]  # the record outlives batch runs
+
+
+@pytest.fixture(params=[{}, {t: 2 for t in refresh.PARTS}], ids=["whole", "parts"])
+def house(spark, request):
+    wh = Warehouse(spark, prefix=f"s{uuid4().hex[:8]}_", rows_per_part=dict(request.param))
+    wh.create_schemas()
+    return wh
+
+
+def put(spark, folder, name, rows):
+    spark.createDataFrame(rows, schemas.raw_schema(name)).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_a_new_checkpoint_on_new_files_gives_full_totals(spark, house, tmp_path):
+    first, later, name = str(tmp_path / "a"), str(tmp_path / "b"), "erp_sales_orders"
+    put(spark, first, name, [line("1", 1, "SHIPPED"), line("2", 1, "ENTERED"), line("1", 2, "ENTERED", "3.00")])
+    refresh.stream_orders(refresh.read_feed(spark, first, name), house, str(tmp_path / "p1"))
+    put(spark, later, name, [line("1", 3, "CLOSED", "4.00", ship="2024-01-09T00:00:00Z"), line("3", 1, "CLOSED")])
+    refresh.stream_orders(refresh.read_feed(spark, later, name), house, str(tmp_path / "p2"))
+    lines = spark.read.schema(schemas.raw_schema(name)).parquet(first, later)
+    got = house.table("sales.orders")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sales.orders(lines).select(*got.columns).collect()))
+
+
+def test_a_new_checkpoint_counts_no_file_twice(spark, house, tmp_path):
+    folder, name = str(tmp_path / "in"), "erp_sales_orders"
+    for n, rows in enumerate([[line("1", 1, "SHIPPED"), line("2", 1, "ENTERED")], [line("1", 2, "ENTERED")], [line("2", 2, "CLOSED")]]):
+        put(spark, folder, name, rows)
+        refresh.stream_orders(refresh.read_feed(spark, folder, name), house, str(tmp_path / f"p{n}"))
+    lines = spark.read.schema(schemas.raw_schema(name)).parquet(folder)
+    got = house.table("sales.orders")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sales.orders(lines).select(*got.columns).collect()))
+
+
+@pytest.mark.parametrize("lost", ["sales.order_files", "sales.order_totals", "sales.orders"])
+def test_a_batch_that_broke_off_is_finished_once(spark, house, tmp_path, monkeypatch, lost):
+    folder, name, progress = str(tmp_path / "in"), "erp_sales_orders", str(tmp_path / "p")
+    put(spark, folder, name, [line("1", 1, "SHIPPED")])
+    refresh.stream_orders(refresh.read_feed(spark, folder, name), house, progress)
+    put(spark, folder, name, [line("1", 2, "CLOSED", "5.00"), line("4", 1, "ENTERED")])
+    update = Warehouse.update
+
+    def breaking(self, table, *a, **k):
+        if table == lost:
+            raise RuntimeError("broken off")
+        return update(self, table, *a, **k)
+
+    monkeypatch.setattr(Warehouse, "update", breaking)
+    with pytest.raises(Exception):
+        refresh.stream_orders(refresh.read_feed(spark, folder, name), house, progress)
+    monkeypatch.undo()
+    other = progress if lost == "sales.orders" else progress + "-new"  # a new checkpoint reads both files again
+    refresh.stream_orders(refresh.read_feed(spark, folder, name), house, other)
+    lines = spark.read.schema(schemas.raw_schema(name)).parquet(folder)
+    got = house.table("sales.orders")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sales.orders(lines).select(*got.columns).collect()))
+
+
+def test_a_stock_batch_that_changes_nothing_writes_nothing(spark, house, tmp_path):
+    folder, name = str(tmp_path / "in"), "erp_warehouse_inventory"
+    row = lambda item, qty, day: ("01", item, qty, "1", f"2024-01-0{day}T00:00:00", f"2024-01-0{day} 10:00:00")
+    put(spark, folder, name, [row(str(i), "9", 2) for i in range(8)])
+    run = lambda: refresh.stream_stock(refresh.read_feed(spark, folder, name), house, str(tmp_path / "p"))
+    first = sorted(map(str, run().collect()))
+    states = {t: house._states(t) for t in (refresh.STOCK, refresh.STOCK_TIMES)}
+    put(spark, folder, name, [row("3", "1", 1)])
+    assert sorted(map(str, run().collect())) == first
+    assert {t: house._states(t) for t in states} == states
+    put(spark, folder, name, [row("3", "2", 3)])
+    assert {r.sku_id: r.quantity_on_hand for r in run().collect()}["SKU-00003"] == 2
