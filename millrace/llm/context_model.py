@@ -4,7 +4,7 @@ The model reads a text as its lower-cased words, each with one space behind it,
 run of ``order`` bytes and the byte after it in the rows to learn from; shorter contexts are sums of these counts.
 Together they are the levels of a trie of contexts. A byte is looked for in its longest context; if that has not seen it,
 an escape leads to the next shorter one, where bytes already ruled out no longer count, and at last to all bytes left
-alike. An escape takes as much as there are different bytes in a context, and nothing where no byte is left to escape to.
+alike. The escape takes half a count from each byte that a context has seen, and nothing where no byte is left to escape to.
 
 The logarithm of each (context, byte) that occurs anywhere is worked out once. The most frequent keys, at most
 ``BROADCAST_KEYS``, go to every task, which scores whole texts with them; of the other keys a text holds it gives
@@ -14,23 +14,26 @@ The logarithm of each (context, byte) that occurs anywhere is worked out once. T
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm.rows import ROWS_AT_ONCE, WordHashes, mixed
+from millrace.llm.rows import ROWS_AT_ONCE, mixed
 from millrace.session import cut_lineage
 
 ORDER, SMOOTHING = 5, 0.1
 #: Keys with a value that go to every task, and rows of a table of short contexts that may be broadcast.
-BROADCAST_KEYS, BROADCAST_CONTEXTS = 2_000_000, 70_000
-#: Keys that a task gathers before it counts them, contexts worked out at once, and bytes of a text read at once.
-_KEYS_AT_ONCE, _CONTEXTS_AT_ONCE, _SLICE = 4_000_000, 512, 1_000_000
+BROADCAST_KEYS, BROADCAST_CONTEXTS = 1_000_000, 70_000
+#: Keys that a task reads at once and different ones that it counts, contexts worked out at once, and bytes of a text
+#: read at once. They bound memory only.
+_KEYS_AT_ONCE, _KEYS_COUNTED, _CONTEXTS_AT_ONCE, _SLICE = 500_000, 2_000_000, 256, 500_000
 
 _END = b"\n"  # closes a text; no word holds it
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
@@ -43,63 +46,128 @@ def held_out(doc_id: Column, parts: int = 10, part: int = 0) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts)) == part, F.lit(True))
 
 
+def windows(stream: bytes, size: int) -> np.ndarray:
+    """Each run of ``size`` bytes as one number, put together from runs of one, two and four."""
+    one = np.frombuffer(stream, np.uint8).astype(np.uint64)
+    n = len(one) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out, done, width = np.zeros(n, np.uint64), 0, 1
+    runs = [one]
+    while width * 2 <= size:
+        runs.append((runs[-1][:-width] << np.uint64(8 * width)) | runs[-1][width:])
+        width *= 2
+    for run in reversed(runs):
+        if done + width <= size:
+            out = (out << np.uint64(8 * width)) | run[done : done + n]
+            done += width
+        width //= 2
+    return out
+
+
 class Reader:
-    """Keys of the tokens of a text, and of its bytes with the ``order`` bytes before each, slice by slice."""
+    """Keys of the tokens of texts, and of their bytes with the ``order`` bytes before each, a bounded number at a time."""
 
     def __init__(self, order: int) -> None:
         if not 1 <= order <= 6:
             raise ValueError("order must be 1 to 6: a context and its byte are one 64-bit key")
-        self.order, self.words = order, WordHashes()
+        self.order = order
 
-    def __call__(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _pieces(self, text: bytes) -> Iterator[tuple[list[bytes], bytes]]:
+        """Tokens and bytes of a text, the bytes with the context before them, slice by slice."""
         before, at = _END * self.order, 0
         while at <= len(text):
             end = at + _SLICE
             cut = _SPACE.search(text, end) if end < len(text) else None
             end = cut.start() if cut else len(text)
             words = text[at:end].lower().split()
-            if not cut:
-                tokens, stream, at = [*words, _END], b"".join(w + b" " for w in words) + _END, len(text) + 1
-            else:
-                tokens, stream, at = words, b"".join(w + b" " for w in words), end
-            yield self.words.of(tokens) | _WORD, self._contexts(before + stream)
-            before = (before + stream)[-self.order :]
-
-    def _contexts(self, stream: bytes) -> np.ndarray:
-        codes = np.frombuffer(stream, np.uint8).astype(np.uint64)
-        n = len(codes) - self.order
-        keys = np.zeros(max(n, 0), np.uint64)
-        for i in range(self.order + 1 if n > 0 else 0):
-            keys = (keys << np.uint64(8)) | codes[i : i + n]
-        return keys
+            stream = before + b" ".join([*words, b""]) + (b"" if cut else _END)
+            yield (words if cut else [*words, _END]), stream
+            before, at = stream[-self.order :], end if cut else len(text) + 1
+
+    def __call__(self, texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(owner, key) of the tokens and (owner, key) of the contexts; an owner is the number of a text."""
+        held: list[tuple[int, list[bytes], bytes]] = []
+        size = 0
+        for at, text in enumerate(texts):
+            for tokens, stream in self._pieces(text):
+                held.append((at, tokens, stream))
+                size += len(stream)
+                if size >= _KEYS_AT_ONCE:
+                    yield self._keys(held)
+                    held, size = [], 0
+        if held:
+            yield self._keys(held)
+
+    def _keys(self, held: list[tuple[int, list[bytes], bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        owner = np.array([at for at, _, _ in held])
+        sizes = np.array([len(tokens) for _, tokens, _ in held])
+        hashes = map(xxhash.xxh3_64_intdigest, chain.from_iterable(tokens for _, tokens, _ in held))
+        tokens = np.fromiter(hashes, np.uint64, int(sizes.sum())) | _WORD
+        lengths = np.array([len(stream) for _, _, stream in held])
+        contexts = windows(b"".join(stream for _, _, stream in held), self.order + 1)
+        inside = np.ones(len(contexts), bool)
+        inside[(np.cumsum(lengths)[:-1, None] - np.arange(1, self.order + 1)[None, :]).reshape(-1)] = False
+        return np.repeat(owner, sizes), tokens, np.repeat(owner, lengths - self.order), contexts[inside]
+
+
+class Counted:
+    """Different keys and how often each came, merged when they are many."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size >= 2 * _KEYS_COUNTED:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([np.empty(0, np.uint64), *self.keys])
+        counts = np.concatenate([np.empty(0, np.int64), *self.counts])
+        self.keys.clear()
+        self.counts.clear()
+        if len(keys):
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, counts = keys[start], np.add.reduceat(counts, start)
+        self.keys, self.counts, self.size = [keys], [counts], len(keys)
+        return keys, counts
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        found = self.merged()
+        self.__init__()
+        return found
 
 
 def _counted(order: int):
     """Arrow batches of (text, learns) to rows (key, c, m): how often a key stands in rows to learn from, and in all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader(order)
-        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        size = 0
+        read, counted = Reader(order), {True: Counted(), False: Counted()}
+
+        def made(least: int) -> Iterator[pa.RecordBatch]:
+            for learns, found in counted.items():
+                if found.size >= least:
+                    keys, m = found.taken()
+                    for at in range(0, len(keys), 20_000):
+                        k, n = pa.array(keys[at : at + 20_000].view(np.int64)), pa.array(m[at : at + 20_000], pa.int64())
+                        c = n if learns else pa.array(np.zeros(len(n), np.int64))
+                        yield pa.RecordBatch.from_arrays([k, c, n], ["key", "c", "m"])
 
-        def made() -> Iterator[pa.RecordBatch]:
-            for learns, parts in held.items():
-                keys, m = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]), return_counts=True)
-                for at in range(0, len(keys), 50_000):
-                    k, n = pa.array(keys[at : at + 50_000].view(np.int64)), pa.array(m[at : at + 50_000], pa.int64())
-                    c = n if learns else pa.array(np.zeros(len(n), np.int64))
-                    yield pa.RecordBatch.from_arrays([k, c, n], ["key", "c", "m"])
-                parts.clear()
-
-        for batch in batches:
-            for text, learns in zip(batch.column(0), batch.column(1).to_pylist()):
-                for part in read(text.as_py() or b""):
-                    held[learns].extend(part)
-                    size += sum(map(len, part))
-                    if size >= _KEYS_AT_ONCE:
-                        yield from made()
-                        size = 0
-        yield from made()
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
+            learns = batch.column(1).to_numpy(zero_copy_only=False)
+            for which, found in counted.items():
+                texts = batch.column(0).filter(pa.array(learns == which))
+                for _, tokens, _, contexts in read(t.as_py() or b"" for t in texts):
+                    found.add(tokens)
+                    found.add(contexts)
+            yield from made(_KEYS_COUNTED)
+        yield from made(1)
         pa.default_memory_pool().release_unused()
 
     return run
@@ -147,10 +215,10 @@ def chances(seen: Sequence[np.ndarray]) -> np.ndarray:
         here = count > 0
         total, kinds = count.sum(axis=1), here.sum(axis=1)
         left = 256 - gone.sum(axis=1) - kinds
-        room = np.where(left > 0, kinds, 0)
-        whole = np.maximum(total + room, 1)
-        out = np.where(here, escape[:, None] + np.log10(np.where(here, count, 1) / whole[:, None]), out)
-        escape = escape + np.where(room > 0, np.log10(np.maximum(room, 1) / whole), 0)
+        room = np.where(left > 0, kinds, 0)  # half a count of each byte is left to the escape
+        share = (count - np.where(left > 0, 0.5, 0)[:, None]) / np.maximum(total, 1)[:, None]
+        out = np.where(here, escape[:, None] + np.log10(np.where(here, share, 1)), out)
+        escape = escape + np.where(room > 0, np.log10(np.maximum(room, 1) / 2 / np.maximum(total, 1)), 0)
         gone |= here
     left = np.maximum(256 - gone.sum(axis=1), 1)
     return np.where(gone, out, (escape - np.log10(left))[:, None])
@@ -185,7 +253,7 @@ class Values:
         order = np.argsort(place)
         sizes = np.bincount(place, minlength=1 << bits)
         self.depth = int(sizes.max())
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)  # a few million keys at most
         self.keys, self.values = keys[order], values[order]
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,10 +341,8 @@ def _scores(order: int, shared, whole: float, width: int, arrow: pa.Schema):
         read, values = Reader(order), Values(*shared.value)
         first = TaskContext.get().partitionId() << 33
 
-        def added(parts: list[tuple[int, np.ndarray]], words: bool, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def added(owner: np.ndarray, keys: np.ndarray, words: bool, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Adds to the columns n_tokens, n_known and base_score, or score, of ``sums``."""
-            keys = np.concatenate([k for _, k in parts])
-            owner = np.repeat([at for at, _ in parts], [len(k) for _, k in parts])
             value, found = values(keys)
             rows = len(sums)
             if words:
@@ -285,31 +351,20 @@ def _scores(order: int, shared, whole: float, width: int, arrow: pa.Schema):
                 value = np.where(found, np.log10((value + SMOOTHING) / whole), 0.0)
             sums[:, 2 if words else 3] += np.bincount(owner, value, rows)
             if not found.all():
-                at = np.lexsort([keys[~found], owner[~found]])
-                keys, owner = keys[~found][at], owner[~found][at]
+                keys, owner = keys[~found], owner[~found]
+                at = np.lexsort([keys, owner])
+                keys, owner = keys[at], owner[at]
                 start = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))
                 times = np.diff(np.append(start, len(keys)))
                 made = {"row": pa.array(first + owner[start]), "key": pa.array(keys[start].view(np.int64)), "times": pa.array(times, pa.int64())}
-                columns = [made.get(f.name, None) for f in arrow]
-                columns = [pa.nulls(len(start), f.type) if c is None else c for c, f in zip(columns, arrow)]
+                columns = [made[f.name] if f.name in made else pa.nulls(len(start), f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             sums = np.zeros((batch.num_rows, 4))
-            held: list[list[tuple[int, np.ndarray]]] = [[], []]
-            size = 0
-            for at, text in enumerate(batch.column(width)):
-                for parts in read(text.as_py() or b""):
-                    for part, kind in zip(parts, held):
-                        kind.append((at, part))
-                    size += len(parts[1])
-                    if size >= _KEYS_AT_ONCE:
-                        yield from added(held[0], True, sums)
-                        yield from added(held[1], False, sums)
-                        held, size = [[], []], 0
-            if size:
-                yield from added(held[0], True, sums)
-                yield from added(held[1], False, sums)
+            for token_owner, tokens, owner, contexts in read(t.as_py() or b"" for t in batch.column(width)):
+                yield from added(token_owner, tokens, True, sums)
+                yield from added(owner, contexts, False, sums)
             columns = [batch.column(i).cast(arrow.field(i).type) for i in range(width)]
             columns.append(pa.array(first + np.arange(batch.num_rows)))
             columns += [pa.array(sums[:, i]).cast(arrow.field(width + 1 + i).type) for i in range(4)]
