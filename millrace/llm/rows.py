@@ -56,6 +56,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def fresh_names(taken: Sequence[str], names: Sequence[str]) -> list[str]:
+    """The ``names``, each with underscores behind it where ``taken`` has it (Spark compares names without case)."""
+    held = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def per_text(
     df: DataFrame,
     make: Callable[[], Callable[[bytes], tuple]],
@@ -94,6 +106,14 @@ def per_text(
     return result.toDF(*names)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the files of a table that ``cut_lineage`` wrote, once nothing that is still to run reads it."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def row_key(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes of the given columns: the identity of a row where ids may be NULL or repeat.
 
