@@ -15,13 +15,16 @@ from itertools import repeat
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from millrace.llm.rows import fresh, per_text
+from millrace.llm.rows import fresh_names, per_text, row_key
+from millrace.session import cut_lineage
 
 WINDOW = 13
 #: A document is contaminated when this share of its words, in percent, stands inside benchmark windows.
 SHARE_PERCENT = 5
 #: Benchmark text that one search table holds, in bytes; more text makes more tables, searched one after the other.
 TABLE_BYTES = 2_000_000
+#: Hit texts of a benchmark of several blocks that go to every task; beyond that they are joined with a shuffle.
+BROADCAST_HITS = 100_000
 
 # Bytes that belong to words are digits, letters and everything outside ASCII; A-Z count as a-z.
 _FOLD = bytes(
@@ -111,9 +114,11 @@ _FIELDS = T.StructType(
 )
 
 
-def _reader(items: list[tuple[object, bytes]], window: int) -> Callable[[], Callable[[bytes], tuple]]:
+def _reader(block, window: int) -> Callable[[], Callable[[bytes], tuple]]:
+    """Reader over a broadcast block of (item, text)."""
+
     def make():
-        search = WindowSearch(items, window)
+        search = WindowSearch(block.value, window)
         names = [str(i) for i in search.items]
 
         def read(text: bytes) -> tuple:
@@ -126,14 +131,19 @@ def _reader(items: list[tuple[object, bytes]], window: int) -> Callable[[], Call
     return make
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, table_bytes: int) -> list[list[tuple[object, bytes]]]:
-    """The benchmark in blocks of bounded size, each read on its own; items without words take no place."""
+def _block_rows(benchmark: DataFrame, item: str, text: str, table_bytes: int) -> tuple[int, DataFrame]:
+    """How many blocks of bounded size the benchmark takes, and its items with their block; items without text take none."""
     rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").cast("binary").alias("t"))
     rows = rows.where("t is not null")
     total = rows.agg(F.sum(F.length("t") + 64)).first()[0] or 0
     n = max(1, math.ceil(total / table_bytes))
-    place = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r["i"], bytes(r["t"])) for r in rows.where(place == k).collect()] for k in range(n)]
+    return n, rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+
+
+def _shared_block(rows: DataFrame, k: int):
+    """One block in the driver, then in every task."""
+    items = [(r["i"] if r["i"] is not None else "", bytes(r["t"])) for r in rows.where(F.col("block") == k).collect()]
+    return rows.sparkSession.sparkContext.broadcast(items)
 
 
 def scan(
@@ -148,54 +158,56 @@ def scan(
     table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
     """``keep`` and, per row: n_words, spans (start and end of each run of hit words, flat), items (ids as text, sorted),
-    n_hit, n_items, contaminated.
-
-    The benchmark is read in blocks of at most about ``table_bytes``. Documents meet each block in turn without a
-    shuffle, so a benchmark of any size is searched whole and no task holds more than one block. NULL or empty texts
-    have no words and are not contaminated; an item with a NULL id is named by an empty string; repeated items and
-    rows count each for itself, and items that share an id count once. An empty benchmark finds nothing.
+    n_hit, n_items, contaminated; a result whose name is in ``keep`` gets underscores behind it.
+
+    The benchmark is read in blocks of at most about ``table_bytes``; one block at a time is in the driver and in the
+    tasks. With one block documents pass through it without a shuffle; with more, what each block finds is written by a
+    hash of the text and meets the rows at the end, so copies of a text share it. NULL or empty texts have no words and
+    are not contaminated; an item with a NULL id is named by an empty string; repeated items and rows count each for
+    itself, and items that share an id count once. An empty benchmark finds nothing, an empty table gives no rows. A text
+    is searched whole, by one task, in time that follows its length.
     """
-    blocks = _blocks(benchmark, item, item_text, table_bytes)
-    spare = [fresh(docs, c) for c in ("__words", "__spans", "__items")]
-    found: DataFrame | None = None
-    for rows in blocks:
-        make = _reader([(i if i is not None else "", t) for i, t in rows], window)
-        if found is None:
-            many = len(blocks) > 1
-            first = per_text(docs, make, _FIELDS, (*keep, text) if many else keep, text)
-            names = [*keep, *([spare[0] + "_text"] if many else []), *spare]
-            found = first.toDF(*names)
-        else:
-            carried = (*keep, *spare, spare[0] + "_text")
-            nxt = per_text(found, make, _FIELDS, carried, spare[0] + "_text").toDF(*carried, "n", "s", "i")
-            found = nxt.select(
-                *[F.col(f"`{c}`") for c in keep],
-                F.col(spare[0] + "_text"),
-                F.col(spare[0]),
-                F.concat(spare[1], "s").alias(spare[1]),
-                F.array_sort(F.array_distinct(F.concat(spare[2], "i"))).alias(spare[2]),
-            )
-    if len(blocks) > 1:
-        found = per_text(
-            found.withColumn(spare[0] + "_text", F.array_join(spare[1], " ")),
-            lambda: _joined_spans,
-            T.StructType([T.StructField("spans", T.ArrayType(T.LongType()))]),
-            (*keep, spare[0], spare[2]),
-            spare[0] + "_text",
-        ).toDF(*keep, spare[0], spare[2], spare[1])
+    n, rows = _block_rows(benchmark, item, item_text, table_bytes)
+    spare = fresh_names(keep, ["__words", "__spans", "__items"])
+    if n == 1:
+        found = per_text(docs, _reader(_shared_block(rows, 0), window), _FIELDS, keep, text).toDF(*keep, *spare)
+    else:
+        found = _over_blocks(docs, cut_lineage(rows), n, keep, text, window, spare)
     spans, words, items = F.col(spare[1]), F.col(spare[0]), F.col(spare[2])
     hit = F.aggregate(
         F.sequence(F.lit(1), F.size(spans), F.lit(2)), F.lit(0).cast("long"),
         lambda total, i: total + F.element_at(spans, i + 1) - F.element_at(spans, i),
     )
     hit = F.when(F.size(spans) > 0, hit).otherwise(F.lit(0).cast("long"))
-    return found.select(
-        *[F.col(f"`{c}`") for c in keep], words.alias("n_words"), spans.alias("spans"), items.alias("items"),
-        hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        ((hit > 0) & (hit * 100 >= words * share_percent)).alias("contaminated"),
-    )
-
-
-def _joined_spans(flat: bytes) -> tuple:
-    numbers = [int(x) for x in flat.split()]
-    return ([x for span in merged(list(zip(numbers[::2], numbers[1::2]))) for x in span],)
+    made = [words, spans, items, hit, F.size(items).cast("long"), (hit > 0) & (hit * 100 >= words * share_percent)]
+    names = fresh_names(keep, ["n_words", "spans", "items", "n_hit", "n_items", "contaminated"])
+    return found.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(name) for c, name in zip(made, names)])
+
+
+def _over_blocks(docs, rows, n, keep, text, window, spare) -> DataFrame:
+    """The rows with what any of several blocks finds; each block is given back before the next one comes."""
+    a, b = row_key(F.col(f"`{text}`"))
+    texts = docs.select(a.alias("a"), b.alias("b"), F.col(f"`{text}`").alias("t"))
+    hits = None
+    for k in range(n):
+        block = _shared_block(rows, k)
+        found = per_text(texts, _reader(block, window), _FIELDS, ("a", "b"), "t").where(F.size("items") > 0)
+        found = cut_lineage(found.select("a", "b", "spans", "items").dropDuplicates(["a", "b"]))
+        block.destroy()
+        hits = found if hits is None else hits.union(found)
+    hits = hits.groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))  # a row per block
+    hits = cut_lineage(hits.select("a", "b", "s", F.array_sort(F.array_distinct("i")).alias("i")))
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
+    key = fresh_names(docs.columns, ["__a", "__b"])
+    found = fresh_names([*docs.columns, *key], ["__s", "__i"])
+    met = docs.withColumns(dict(zip(key, (a, b)))).join(hits.toDF(*key, *found), key, "left")
+    none = F.array().cast("array<bigint>")
+    met = met.withColumns({found[0]: F.coalesce(found[0], none), found[1]: F.coalesce(found[1], F.array().cast("array<string>"))})
+    fields = T.StructType().add("n", "long").add("s", T.ArrayType(T.LongType()))
+    done = per_text(met, lambda: _joined_spans, fields, (*keep, found[1]), text, given=(found[0],))
+    return done.toDF(*keep, spare[2], spare[0], spare[1])
+
+
+def _joined_spans(text: bytes, flat: list[int]) -> tuple:
+    spans = merged(list(zip(flat[::2], flat[1::2]))) if flat else []
+    return len(words_of(text)), [x for span in spans for x in span]

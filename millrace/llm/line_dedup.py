@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.llm.rows import SPACES, fresh, row_key
+from millrace.llm.rows import SPACES, fresh_names, row_key
 from millrace.session import cut_lineage
 
 MIN_DOCUMENTS, MIN_LENGTH = 10, 1
@@ -43,32 +44,47 @@ def drop_common_lines(
     min_length: int = MIN_LENGTH,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """All rows and columns of ``docs``, with three more: n_lines, n_dropped and kept_text.
+    """All rows and columns of ``docs``, with three more behind them: n_lines, n_dropped and kept_text.
 
-    A NULL text counts as one empty line; keys shorter than ``min_length`` code points are never dropped. A document
-    is a doc_id: rows that repeat an id count once, and rows without an id count as one document together. Each row
-    is rebuilt on its own, by line position, so repeated rows all stay and long texts meet only their own lines.
-    The common lines are broadcast if there are at most ``broadcast_rows`` of them, else joined with a shuffle.
+    One of the three whose name ``docs`` has already gets underscores behind it. A NULL text counts as one empty line;
+    keys shorter than ``min_length`` code points are never dropped. A document is a doc_id: rows that repeat an id count
+    once, and rows without an id count as one document together. Each row is rebuilt on its own, by line position, so
+    repeated rows all stay; a row that loses no line passes with its own text. A text of any number of lines takes time in
+    proportion. An empty table gives no rows. The common lines are broadcast if there are at most ``broadcast_rows`` of
+    them, else joined with a shuffle.
     """
     common = cut_lineage(common_lines(docs, doc_id, text, min_documents, min_length))
     if common.count() <= broadcast_rows:
         common = F.broadcast(common)
-    a, b = fresh(docs, "__a"), fresh(docs, "__b")
+    a, b, marks = fresh_names(docs.columns, ["__a", "__b", "__marks"])
+    names = fresh_names(docs.columns, ["n_lines", "n_dropped", "kept_text"])
     key_a, key_b = row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")
-    place = docs.select(key_a.alias("a"), key_b.alias("b"), F.posexplode(lines).alias("at", "line"))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    keyed = docs.select(key_a.alias("a"), key_b.alias("b"), whole.alias("t"))  # hashed before it is exploded, not for each line
+    place = keyed.select("a", "b", F.posexplode(F.split("t", "\n")).alias("at", "line"))
     h1, h2 = row_key(line_key(F.col("line")))
     place = place.select("a", "b", "at", h1.alias("h1"), h2.alias("h2"))
     dropped = place.join(common, ["h1", "h2"], "left_semi")
-    dropped = dropped.groupBy("a", "b").agg(F.collect_set("at").alias("gone"))  # places of one document
-    dropped = dropped.select(F.col("a").alias(a), F.col("b").alias(b), F.col("gone").alias(fresh(docs, "__gone")))
-    keyed = docs.withColumns({a: key_a, b: key_b})
-    joined = keyed.join(dropped, [a, b], "left")
-    gone = F.coalesce(F.col(dropped.columns[2]), F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
+    dropped = dropped.groupBy("a", "b").agg(F.collect_set("at").alias("m"))  # places of one document
+    joined = docs.withColumns({a: key_a, b: key_b}).join(dropped.toDF(a, b, marks), [a, b], "left")
+    rebuilt = _without(whole, F.col(f"`{marks}`"))
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_dropped"),
-        F.array_join(kept, "\n").alias("kept_text"),
+        F.size(F.split(whole, "\n")).cast("long").alias(names[0]),
+        F.coalesce(F.size(F.col(f"`{marks}`")), F.lit(0)).cast("long").alias(names[1]),
+        F.when(F.col(f"`{marks}`").isNull(), whole).otherwise(rebuilt).alias(names[2]),
     )
+
+
+@F.arrow_udf(T.StringType())
+def _without(texts: pa.Array, marks: pa.Array) -> pa.Array:
+    """Texts without the lines at the marked places; NULL where nothing is marked."""
+    out = []
+    for text, places in zip(texts, marks):
+        if not places.is_valid:
+            out.append(None)
+            continue
+        lines = text.as_py().split("\n")
+        gone = set(places.as_py())
+        out.append("\n".join(line for at, line in enumerate(lines) if at not in gone))
+    return pa.array(out, pa.string())

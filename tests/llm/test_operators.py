@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html as html_lib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,8 +217,8 @@ def test_line_dedup(spark, limit):
         lines = (t or "").split("\n")
         kept = [x for x in lines if not key(x) or len(holders[key(x)]) < 10]
         expected.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    got = line_dedup.drop_common_lines(df.drop("kept_text"), broadcast_rows=limit)
-    assert by_id(got, "n_lines", "n_dropped", "kept_text") == sorted(expected, key=str)
+    got = line_dedup.drop_common_lines(df, broadcast_rows=limit)
+    assert by_id(got, "n_lines", "n_dropped", got.columns[-1]) == sorted(expected, key=str)
 
 
 def test_piece_codec(docs):
@@ -426,6 +427,58 @@ def test_empty_tables(spark, none):
     made = [
         near_dedup.near_duplicates(none), substring_dedup.remove_repeated(none), html_extract.extract(pages),
         piece_codec.digests(none, piece_model()), sharding.shard(none), secret_scan.scan(none, model),
-        decontaminate.scan(none, bench), line_dedup.drop_common_lines(none.drop("kept_text")), repetition.rate(none),
+        decontaminate.scan(none, bench), line_dedup.drop_common_lines(none), repetition.rate(none),
     ]
     assert [df.count() for df in made] == [0] * len(made)
+
+
+def test_sets_of_one_id_are_one_component(spark):
+    w, x, y = ("w " * 9, " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30)))
+    docs = spark.createDataFrame([(3, w), (7, w), (7, x), (9, y), (8, x), (None, y)], "doc_id long, text string")
+    got = by_id(near_dedup.near_duplicates(docs), "component_id", "kept")
+    assert got == sorted([(3, 3, True), (7, 3, False), (7, 3, False), (9, 9, True), (8, 3, False), (None, None, True)], key=str)
+
+
+def test_line_dedup_of_many_common_lines_is_linear(spark):
+    text = "\n".join(f"line {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(i, text + f"\nown {i}") for i in range(10)], "doc_id long, text string").repartition(5)
+    start = time.monotonic()
+    got = line_dedup.drop_common_lines(docs).select("doc_id", "n_dropped", "kept_text").collect()
+    assert sorted(map(tuple, got)) == [(i, 100_000, f"own {i}") for i in range(10)]
+    assert time.monotonic() - start < 60
+
+
+@pytest.mark.parametrize("table_bytes", [10**9, 1_500])
+def test_decontamination_over_twenty_blocks(spark, monkeypatch, table_bytes):
+    words_ = [f"q{i}" for i in range(4_000)]
+    bench = [(f"b{i}", " ".join(words_[i * 20 : i * 20 + 20])) for i in range(200)]
+    texts = [(i, " ".join(words_[i * 13 : i * 13 + 40])) for i in range(100)] * 2 + [(500, None), (501, "")]
+    docs = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in texts], "doc_id long, text string, n_hit int, spans int, contaminated string")
+    alive, most = set(), []
+    made = decontaminate._shared_block
+
+    def counted(rows, k):
+        block = made(rows, k)
+        alive.add(k)
+        most.append(len(alive))
+        destroy = block.destroy
+        block.destroy = lambda: (alive.discard(k), destroy())
+        return block
+
+    monkeypatch.setattr(decontaminate, "_shared_block", counted)
+    found = decontaminate.scan(docs, spark.createDataFrame(bench, "item_id string, text string"), tuple(docs.columns), table_bytes=table_bytes)
+    assert found.columns[5:] == ["n_words", "spans_", "items", "n_hit_", "n_items", "contaminated_"]
+    assert max(most) == 1 and (len(most) == 1 or len(most) >= 20)
+    want = []
+    for d, t in texts:
+        w = words(lower(t))
+        hit, items = set(), set()
+        for name, b in bench:
+            b = b.split()
+            for j in range(len(b) - 12):
+                for at in range(len(w) - 12):
+                    if w[at] == b[j] and w[at : at + 13] == b[j : j + 13]:
+                        hit |= set(range(at, at + 13))
+                        items.add(name)
+        want.append((d, len(w), len(hit), sorted(items)))
+    assert sorted(((r.doc_id, r.n_words, r.n_hit_, list(r["items"])) for r in found.collect()), key=str) == sorted(want, key=str)

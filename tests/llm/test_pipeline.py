@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 """The pipeline's stages on a small table, each against plain Python on the rows it got."""
 
 import collections
@@ -70,3 +71,21 @@ def test_queries_agree_with_duckdb(spark, small):
         assert sorted(got.columns) == columns
         wanted = sorted(expected.project(", ".join(columns)).fetchall(), key=str)
         assert sorted(map(tuple, got.select(*columns).collect()), key=str) == wanted
+
+
+def test_stages_take_clashing_columns_nulls_and_repeated_rows(spark, small):
+    """Extra columns with the names of results, NULLs in every column, empty and repeated rows, and no rows at all."""
+    extra = "n_dropped int, n_lines int, kept_text string, n_hit int, spans int, items int, n_items int, n_words int, contaminated boolean, score double"
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900_000, "", "en", "s", 0), (900_001, "same text", "en", "s", 9)] * 2, docs.schema)
+    docs = docs.union(odd)
+    for column in extra.split(", "):
+        name, kind = column.split()
+        docs = docs.withColumn(name, F.lit(None).cast(kind))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, small)
+        if name != "encoding":
+            assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and (name in ("quality", "contamination", "near_duplicates") or len(rows) == docs.count()), name
+        assert stage(spark, docs.where("false"), small).collect() == [], name
