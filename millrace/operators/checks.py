@@ -1,4 +1,7 @@
-"""Data-quality checks. Each returns one row: check_name, check_result (PASS / WARN: .. / FAIL: ..), observed."""
+"""Data-quality checks. Each returns one row: check_name, check_result (PASS / WARN: .. / FAIL: ..), observed.
+
+Fixed values: the names of the checks, their words PASS, WARN and FAIL, and the sentences behind them, which callers read.
+"""
 
 from __future__ import annotations
 
