@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators.answers import cap_text
+from millrace.session import cut_lineage
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks carry the code
 
 # What is not text on a page: scripts and styles with their content, comments, tags.
 NOT_TEXT = r"<(?:(?i:script|style)[^>]*>(?s:.*?)</(?i:script|style)>|!--(?s:.*?)-->|[^>]*>)"
@@ -36,7 +45,8 @@ ENTITIES = {
 }
 TOP_PAGES = 2
 SNIPPET_BEFORE, SNIPPET_WORDS = 5, 20
-_HEAD_WORDS = 4
+#: Phrases that go to every task, pages of a site searched by one task beyond that, and sites that are named in a filter.
+BROADCAST_PHRASES, PAGES_PER_TASK, _FEW_SITES = 200_000, 50_000, 1_000
 
 
 def host_of(url: Column) -> Column:
@@ -67,48 +77,87 @@ def pages_text(pages: DataFrame) -> DataFrame:
                         page_text(F.col("html")).alias("text"))
 
 
-def _run(words_column: str, at: Column, n: Column) -> Column:
-    return F.slice(words_column, at, n)
+class SitePhrases:
+    """The phrases of one site as an Aho-Corasick automaton over text whose words stand between single spaces."""
+
+    def __init__(self, phrases: Iterable[str]) -> None:
+        self.found = ahocorasick.Automaton()
+        for phrase in phrases:
+            self.found.add_word(f" {phrase} ", phrase)
+        self.found.make_automaton()
+
+    def hits(self, text: str) -> dict[str, list[int]]:
+        """Per phrase that the text holds: how often, and the word at which it starts first, counted from one."""
+        spaced, out = f" {text} ", {}
+        if not text or not len(self.found):
+            return out
+        for end, phrase in self.found.iter(spaced):
+            if phrase in out:
+                out[phrase][0] += 1
+            else:
+                out[phrase] = [1, spaced.count(" ", 0, end - len(phrase))]
+        return out
 
 
-def _phrase_hits(pages: DataFrame, phrases: DataFrame) -> DataFrame:
+_HITS = "domain string, phrase string, page_id bigint, hits bigint, at int"
+
+
+def _phrase_hits(pages: DataFrame, phrases: DataFrame, broadcast_phrases: int = BROADCAST_PHRASES, pages_per_task: int = PAGES_PER_TASK) -> DataFrame:
     """(domain, phrase, page_id) with the number of hits and the first place.
 
-    Matching is by equality throughout and never compares a page with a phrase that does not occur in it.
-    First each place of a page offers a hash of its next few words; places where no phrase of that site can
-    start drop out. Only the others are spelled out to the length of the phrases that may start there. What
-    comes back holds some texts that start like a phrase and go on otherwise; they meet no request later.
+    Each page passes through the automaton of its site once, so no page is compared with a phrase that it does not hold
+    and no place of a page is shuffled. Phrases go to every task if there are at most ``broadcast_phrases`` of them, and no
+    page moves. Beyond that pages and phrases meet by site, a site of many pages in several parts.
     """
-    length = F.size(F.split("phrase", " "))
-    heads = phrases.select(
-        "domain", length.alias("n"), F.xxhash64(F.slice(F.split("phrase", " "), 1, _HEAD_WORDS)).alias("head")
-    ).distinct()
-    # Laid out by page once: both uses below read this shuffle, and the join between them needs no other.
-    asked = pages.withColumn("domain", host_of(F.col("url")))
-    asked = asked.join(phrases.select("domain").distinct(), "domain", "left_semi")  # other sites are not read further
-    text = asked.select("page_id", "domain", page_text(F.col("html")).alias("text"))
-    text = text.repartition("page_id").select("page_id", "domain", words(F.col("text")).alias("words"))
-
-    def offered(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("words") - (size - 1))
-        places = F.transform(
-            starts, lambda i: F.struct(i.alias("at"), F.xxhash64(_run("words", i, F.lit(size))).alias("head"))
-        )
-        return F.when(F.size("words") >= size, places).otherwise(F.array().cast("array<struct<at:int,head:bigint>>"))
-
-    sizes = F.concat(*[offered(size) for size in range(1, _HEAD_WORDS + 1)])
-    places = text.select("page_id", "domain", F.inline(sizes))
-    starts = (
-        places.join(heads, ["domain", "head"])
-        .groupBy("page_id")
-        .agg(F.collect_list(F.struct("at", "n")).alias("starts"))  # within one page
-    )
-    spelled = F.transform(
-        F.filter("starts", lambda s: s["at"] + s["n"] - 1 <= F.size("words")),
-        lambda s: F.struct(s["at"].alias("at"), F.array_join(_run("words", s["at"], s["n"]), " ").alias("phrase")),
-    )
-    runs = text.join(starts, "page_id").select("page_id", "domain", F.inline(spelled))
-    return runs.groupBy("domain", "phrase", "page_id").agg(F.count("*").alias("hits"), F.min("at").alias("at"))
+    located = pages.withColumn("domain", host_of(F.col("url"))).where("domain is not null")
+    phrases = cut_lineage(phrases)
+    text = F.array_join(words(page_text(F.col("html"))), " ").alias("text")
+    if phrases.count() <= broadcast_phrases:
+        table = phrases.toArrow()
+        by_site: dict[str, list[str]] = {}
+        for domain, phrase in zip(table.column("domain").to_pylist(), table.column("phrase").to_pylist()):
+            by_site.setdefault(domain, []).append(phrase)
+        shared = pages.sparkSession.sparkContext.broadcast(by_site)
+        asked = located.where(F.col("domain").isin(list(by_site))) if len(by_site) <= _FEW_SITES else located
+        return asked.select(F.col("page_id").cast("bigint").alias("page_id"), "domain", text).mapInArrow(_over_sites(shared), _HITS)
+    sites = phrases.select("domain").distinct()
+    located = located.join(sites, "domain", "left_semi").select(F.col("page_id").cast("bigint").alias("page_id"), "domain", "html")
+    parts = located.groupBy("domain").agg(F.ceil(F.count("*") / pages_per_task).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("page_id"), F.col("parts")).cast("int")
+    rows = located.join(parts, "domain").select("page_id", "domain", text, salt.alias("salt"))
+    each = phrases.join(parts, "domain").select("domain", "phrase", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    return rows.groupBy("domain", "salt").cogroup(each.groupBy("domain", "salt")).applyInArrow(_of_site, _HITS)
+
+
+def _rows(made: list[tuple]) -> pa.Table:
+    columns = list(zip(*made)) or [()] * 5
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("domain", "phrase", "page_id", "hits", "at"), columns, kinds)})
+
+
+def _of_site(rows: pa.Table, phrases: pa.Table) -> pa.Table:
+    """The pages of a site, or of a part of it, with the phrases asked of that site."""
+    site = SitePhrases(phrases.column("phrase").to_pylist())
+    made = []
+    for page, domain, text in zip(*(rows.column(c).to_pylist() for c in ("page_id", "domain", "text"))):
+        made += [(domain, phrase, page, n, at) for phrase, (n, at) in site.hits(text).items()]
+    return _rows(made)
+
+
+def _over_sites(shared):
+    """Any pages, each with the phrases of its site; a task builds the automata of the sites it meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built: dict[str, SitePhrases] = {}
+        for batch in batches:
+            made = []
+            for page, domain, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "domain", "text"))):
+                if domain not in built:
+                    built[domain] = SitePhrases(shared.value.get(domain, ()))
+                made += [(domain, phrase, page, n, at) for phrase, (n, at) in built[domain].hits(text).items()]
+            yield from _rows(made).to_batches()
+
+    return run
 
 
 def site_search(requests: DataFrame, pages: DataFrame, top: int = TOP_PAGES) -> DataFrame:
@@ -142,6 +191,7 @@ def _found_pages(found: DataFrame, pages: DataFrame) -> DataFrame:
 
 def with_snippets(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Search results with the page address and the words around the first hit."""
+    found = cut_lineage(found)  # used twice
     text = _found_pages(found, pages).select("page_id", "url", words(page_text(F.col("html"))).alias("words"))
     start = F.greatest(F.col("at") - SNIPPET_BEFORE, F.lit(1))
     snippet = F.array_join(F.slice("words", start, F.lit(SNIPPET_WORDS)), " ")
@@ -151,6 +201,7 @@ def with_snippets(found: DataFrame, pages: DataFrame) -> DataFrame:
 def context(found: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
     """What a provider would read for a request: the text of its best pages, best first, each cut to ``limit`` if given."""
     whole = page_text(F.col("html"))
+    found = cut_lineage(found)  # used twice
     text = _found_pages(found, pages).select("page_id", (whole if limit is None else cap_text(whole, limit)).alias("text"))
     per_request = found.join(text, "page_id").groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("best")  # no more rows than the search keeps

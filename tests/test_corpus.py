@@ -1,3 +1,4 @@
+import pytest
 import random
 import re
 
@@ -83,3 +84,22 @@ def test_products_are_searched_by_name_then_code(spark):
     found = corpus.site_search(prices.search_requests(base), pages)
     got = [(r.request_id, r["rank"], r.page_id) for r in found.collect()]
     assert sorted(got) == [("S1 a.example", 1, 2), ("S1 a.example", 2, 1)]
+
+
+@pytest.mark.parametrize("limit", [corpus.BROADCAST_PHRASES, 0])
+def test_phrase_hits_equal_brute_force(spark, limit):
+    rng = random.Random(4)
+    pages = [(i, f"https://s{i % 3}.example/{i}", "<p>" + " ".join(rng.choices("abc", k=rng.randint(0, 40))) + "</p>") for i in range(60)]
+    pages += [(100, None, "<p>a b</p>"), (101, "https://s0.example/x", None), (102, "https://other.example/", "a b c")]
+    phrases = [(f"s{i}.example", p) for i in range(3) for p in ("a", "a a", "a b a", "b c", "c c c c", "a b c a b c", "z")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = corpus._phrase_hits(df, spark.createDataFrame(phrases, "domain string, phrase string"), limit, 7).collect()
+    want = []
+    for page, url, html in pages:
+        w = re.findall("[a-z]+", (html or "").replace("<p>", "").replace("</p>", ""))
+        for domain, phrase in phrases:
+            p = phrase.split()
+            at = [k + 1 for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
+            if at and url and url.split("/")[2] == domain:
+                want.append((domain, phrase, page, len(at), at[0]))
+    assert sorted(map(tuple, got)) == sorted(want)
