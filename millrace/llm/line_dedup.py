@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.rows import SPACES, fresh_names, row_key
 from millrace.session import cut_lineage
@@ -56,7 +55,7 @@ def drop_common_lines(
     common = cut_lineage(common_lines(docs, doc_id, text, min_documents, min_length))
     if common.count() <= broadcast_rows:
         common = F.broadcast(common)
-    a, b, marks = fresh_names(docs.columns, ["__a", "__b", "__marks"])
+    a, b, marks, split = fresh_names(docs.columns, ["__a", "__b", "__marks", "__lines"])
     names = fresh_names(docs.columns, ["n_lines", "n_dropped", "kept_text"])
     key_a, key_b = row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -66,25 +65,16 @@ def drop_common_lines(
     place = place.select("a", "b", "at", h1.alias("h1"), h2.alias("h2"))
     dropped = place.join(common, ["h1", "h2"], "left_semi")
     dropped = dropped.groupBy("a", "b").agg(F.collect_set("at").alias("m"))  # places of one document
-    joined = docs.withColumns({a: key_a, b: key_b}).join(dropped.toDF(a, b, marks), [a, b], "left")
-    rebuilt = _without(whole, F.col(f"`{marks}`"))
+    # The lines go through the join in the place of the text: as a column they are split once, whatever is asked of them.
+    held = [F.split(F.col(f"`{c}`"), "\n").alias(split) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.select(*held, key_a.alias(a), key_b.alias(b)).join(dropped.toDF(a, b, marks), [a, b], "left")
+    lines, gone = F.col(f"`{split}`"), F.col(f"`{marks}`")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    rebuilt = F.array_join(F.transform(places, lambda at: lines.getItem(at)), "\n")
+    whole = F.array_join(lines, "\n")
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.size(F.split(whole, "\n")).cast("long").alias(names[0]),
-        F.coalesce(F.size(F.col(f"`{marks}`")), F.lit(0)).cast("long").alias(names[1]),
-        F.when(F.col(f"`{marks}`").isNull(), whole).otherwise(rebuilt).alias(names[2]),
+        *[whole.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        F.when(lines.isNull(), F.lit(1)).otherwise(F.size(lines)).cast("long").alias(names[0]),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(names[1]),
+        F.when(gone.isNull(), F.coalesce(whole, F.lit(""))).otherwise(rebuilt).alias(names[2]),
     )
-
-
-@F.arrow_udf(T.StringType())
-def _without(texts: pa.Array, marks: pa.Array) -> pa.Array:
-    """Texts without the lines at the marked places; NULL where nothing is marked."""
-    out = []
-    for text, places in zip(texts, marks):
-        if not places.is_valid:
-            out.append(None)
-            continue
-        lines = text.as_py().split("\n")
-        gone = set(places.as_py())
-        out.append("\n".join(line for at, line in enumerate(lines) if at not in gone))
-    return pa.array(out, pa.string())
