@@ -9,6 +9,7 @@ article and stock sentences in it survive.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -55,16 +56,62 @@ _NEVER_WORD |= set(
     " share-buttons social-share social-links comment-list comments-section ad-slot ad-container ad-banner".split()
 )
 _ROOTS = {"html", "body", "article", "main"}
+_STOPS = {*_CLOSED_BY_LIKE, *_SCOPE, *_ROOTS, "div"}
 _CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "figure", "details", "center", "fieldset"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
+_MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_PLAIN = re.compile(r"[^>\"']*")
+_ZEROS, _BEYOND = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _COMMENT = re.compile(r"comments?(-\d+)?")
 
 
+class _TagEnds:
+    """Where a tag that starts at some place ends: behind the next ``>`` outside quotes, or else behind the next one at all.
+
+    Stretches from which the first kind of end was sought in vain are remembered, so all searches of a page together
+    take time in proportion to its length.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last = html, html.rfind(">")
+        self.vain: bytearray | None = None
+
+    def after(self, at: int) -> int:
+        html, vain, seen = self.html, self.vain, []
+        while not (vain and at < len(html) and vain[at]):
+            stop = _PLAIN.match(html, at).end()
+            seen.append((at, stop))
+            if stop >= len(html):
+                break
+            if html[stop] == ">":
+                return stop + 1
+            at = html.find(html[stop], stop + 1) + 1
+            if not at:
+                break
+        vain = self.vain = vain or bytearray(len(html) + 1)
+        for start, stop in seen:
+            vain[start : stop + 1] = b"\1" * (stop + 1 - start)
+        return html.index(">", seen[0][0] if seen else at) + 1
+
+
+def _marks(html: str, at: int, ends: _TagEnds) -> tuple[int, int, str | None, str | None, str]:
+    """The next mark from ``at`` on: its start and end, whether it closes, its tag (None: no element), its attributes."""
+    found = _MARK.search(html, at)
+    if found and found.start() > ends.last:  # no tag ends any more, only a comment may run on to the end of the page
+        start = html.find("<!--", found.start())
+        return (start, len(html), None, None, "") if start >= 0 else (-1, -1, None, None, "")
+    if not found:
+        return -1, -1, None, None, ""
+    if found[1]:
+        end = html.find("-->", found.end())
+        return found.start(), len(html) if end < 0 else end + 3, None, None, ""
+    if found[3] is None:
+        return found.start(), html.index(">", found.end() - 1) + 1, None, None, ""
+    end = ends.after(found.end())
+    return found.start(), end, found[2], found[3].lower(), html[found.end() : end - 1]
+
+
 def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is no article text whatever it holds, and whether it is none by its name, role or as a form."""
     if tag in _NEVER and tag != "form":
@@ -101,20 +148,18 @@ class Page:
         self.pieces: list[tuple[int, str, bool]] = []
         self._seed = xxhash.xxh32_intdigest(host)
         self._open, self._inner = [0], [[]]
+        self._near_block, self._near_stop = [0], [0]  # per open element: place of the nearest such one, itself included
+        self._count = Counter()  # open elements by tag
         self._fresh = True
-        at = 0
+        at, ends = 0, _TagEnds(html)
         while True:
-            found = _TOKEN.search(html, at)
-            if not found:
+            start, end, closing, tag, attributes = _marks(html, at, ends)
+            if start < 0:
                 break
-            self._text(html[at : found.start()])
-            at = found.end()
-            closing, tag, attributes = found[1], found[2], found[3]
-            if tag is None:
-                closing, tag, attributes = found[4], found[5], found[6]
+            self._text(html[at:start])
+            at = end
             if tag is None:
                 continue
-            tag = tag.lower()
             if closing:
                 self._end(tag)
                 continue
@@ -145,6 +190,8 @@ class Page:
 
     def _text(self, text: str) -> None:
         if text:
+            if "&#" in text:  # numbers of any length, beyond what int() reads
+                text = _BEYOND.sub("\ufffd", _ZEROS.sub("&#", text))
             text = unescape(text) if "&" in text else text
             node = self._open[-1]
             self.pieces.append((node, text, self._fresh))
@@ -158,18 +205,18 @@ class Page:
         if tag == "br":
             self.pieces.append((self._open[-1], " ", self._fresh))
             return
-        if tag in _CLOSES_P and "p" in (open_tags := [self.tags[i] for i in self._open]):
-            place = len(open_tags) - 1 - open_tags[::-1].index("p")
-            if not any(t in _BLOCK for t in open_tags[place + 1 :]):
-                self._close_to(place)
-        for like in (_CLOSED_BY_LIKE.get(tag),) if tag in _CLOSED_BY_LIKE else ():
-            for place in range(len(self._open) - 1, 0, -1):
+        if tag in _CLOSES_P and self.tags[self._open[self._near_block[-1]]] == "p":
+            self._close_to(self._near_block[-1])
+        if tag in _CLOSED_BY_LIKE:
+            place = self._near_stop[-1]
+            while place > 0:
                 name = self.tags[self._open[place]]
-                if name in like:
+                if name in _CLOSED_BY_LIKE[tag]:
                     self._close_to(place)
                     break
                 if name in _SCOPE or name in _ROOTS or name == "div":
                     break
+                place = self._near_stop[place - 1]
         if tag in _BLOCK:
             self._fresh = True
         if tag in _VOID:
@@ -184,10 +231,16 @@ class Page:
         self.hashes.append(0)
         self.sizes.append(0)
         self.holds.append(False)
+        place = len(self._open)
         self._open.append(len(self.tags) - 1)
         self._inner.append([])
+        self._near_block.append(place if tag in _BLOCK else self._near_block[-1])
+        self._near_stop.append(place if tag in _STOPS else self._near_stop[-1])
+        self._count[tag] += 1
 
     def _end(self, tag: str) -> None:
+        if not self._count[tag]:
+            return
         for place in range(len(self._open) - 1, 0, -1):
             if self.tags[self._open[place]] == tag:
                 self._close_to(place)
@@ -199,7 +252,9 @@ class Page:
 
     def _close(self) -> None:
         node, inner = self._open.pop(), self._inner.pop()
+        self._near_block.pop(), self._near_stop.pop()
         tag, parent = self.tags[node], self.parents[node]
+        self._count[tag] -= 1
         if tag in _BLOCK:
             self._fresh = True
         value = xxhash.xxh3_64_intdigest("\x1f".join([tag, *inner]), self._seed)
