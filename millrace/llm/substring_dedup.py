@@ -1,9 +1,11 @@
 """Substring dedup: every run of 35 words that also starts anywhere else loses its words.
 
-Each text gives the Rabin-Karp hash of every window of words. The hashes meet in buckets chosen by a second,
-independent hash, so one bucket holds a bounded share of all windows and a window of a million copies is spread no
-worse than its bucket. In a bucket the hashes are counted; what goes back to a text is one bit for each of its windows
-there. Flagged windows that touch or overlap merge into maximal intervals of words to remove.
+Each text gives the Rabin-Karp hash of every window of words. The hashes are counted in two steps, as an aggregation
+with a map-side part. The texts that a task reads together are counted there: of a window that occurs twice or more
+among them, one hash goes on, and its places are known to be repeated. What goes on meets in buckets chosen by a second,
+independent hash, so a window of any number of copies takes one value from each such lot, and a bucket is bounded by the
+different windows in it and the number of lots. Back to a text goes one bit for each of its windows in the bucket.
+Flagged windows that touch or overlap merge into maximal intervals of words to remove.
 """
 
 from __future__ import annotations
@@ -57,8 +59,25 @@ class WindowHashes:
         return self._rolled(codes, 0), buckets.astype(np.int32)
 
 
+def _repeats(values: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows, by hash and bucket, occur twice or more, and which one stands for all that are equal to it."""
+    order = np.argsort(values, kind="stable")
+    ranked, place = values[order], buckets[order]
+    same = (ranked[1:] == ranked[:-1]) & (place[1:] == place[:-1])
+    after, before = np.append(same, False), np.append(False, same)
+    known, first = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    known[order[after | before]] = True
+    first[order[after & ~before]] = True
+    return known, first
+
+
 def _window_rows(window: int, buckets: int):
-    """Arrow batches of (a, b, text) to rows (bucket, a, b, hashes): one row for each text and bucket it has windows in."""
+    """Arrow batches of (a, b, text) to rows (target, bucket, a, b, hashes, known), one for each text and bucket it has windows in.
+
+    ``known`` has a bit for each of the text's windows there that is repeated among the texts read with it, and is NULL
+    if none is. ``hashes`` are those of the other windows, then those that stand for all known places of a window.
+    ``target`` is the bucket; rows without hashes have nothing to be counted and go to any.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WindowHashes(window, buckets)
@@ -71,14 +90,27 @@ def _window_rows(window: int, buckets: int):
             ends = np.cumsum(sizes)
             inside = np.arange(len(values)) + window <= ends[owner[: len(values)]]
             values, group = values[inside], owner[: len(values)][inside] * np.int64(buckets) + place[inside]
+            known, first = _repeats(values, group % buckets)
             order = np.argsort(group, kind="stable")
-            values, group = values[order], group[order]
+            values, group, known, first = values[order], group[order], known[order], first[order]
             starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            offsets = np.append(starts, len(values)).astype(np.int32) * np.int32(8)
-            blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+            row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
+            some = np.add.reduceat(known, starts, dtype=np.int64) > 0
+            masks: list[bytes | None] = [None] * len(starts)
+            ends = np.append(starts[1:], len(values))
+            for i in np.flatnonzero(some).tolist():
+                masks[i] = np.packbits(known[starts[i] : ends[i]]).tobytes()
+            sent = np.concatenate([np.flatnonzero(~known), np.flatnonzero(first)])  # those that stand for others come last
+            sent = sent[np.argsort(row[sent], kind="stable")]
+            sizes = np.bincount(row[sent], minlength=len(starts))
+            offsets = (np.append(0, np.cumsum(sizes)) * 8).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values[sent])])
             key = np.array(keys, np.int64)[group[starts] // buckets]
-            columns = [pa.array((group[starts] % buckets).astype(np.int32)), pa.array(key[:, 0]), pa.array(key[:, 1]), blobs]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b", "hashes"])
+            bucket = group[starts] % buckets
+            target = np.where(sizes > 0, bucket, (key[:, 0] + bucket) % buckets).astype(np.int32)
+            columns = [pa.array(target), pa.array(bucket.astype(np.int32)), pa.array(key[:, 0]), pa.array(key[:, 1])]
+            columns += [blobs, pa.array(masks, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["target", "bucket", "a", "b", "hashes", "known"])
 
         keys: list[tuple[int, int]] = []
         parts: list[np.ndarray] = []
@@ -107,26 +139,27 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     table = pa.Table.from_batches(held).combine_chunks()
     del held
-    pieces = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-    sizes = np.array([len(p) for p in pieces])
-    bucket = table.column("bucket").to_numpy()
+    hashes = table.column("hashes").cast(pa.large_binary()).combine_chunks()
+    offsets = np.frombuffer(hashes.buffers()[1], np.int64)[hashes.offset : hashes.offset + len(hashes) + 1] // 8
+    data = hashes.buffers()[2]
+    values = np.frombuffer(data, np.uint64, count=offsets[-1]) if data is not None else np.zeros(0, np.uint64)
+    values, starts, ends = values[offsets[0] :], offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    bucket, known = table.column("bucket").to_numpy(), table.column("known")
     a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
-    values = np.concatenate(pieces)
-    del table, pieces
-    owner = np.repeat(bucket, sizes)
-    many = np.zeros(len(values), bool)
-    for one in np.unique(bucket):
-        here = np.flatnonzero(owner == one)
-        order = here[np.argsort(values[here], kind="stable")]
-        ranked = values[order]
-        same = ranked[1:] == ranked[:-1]
-        flags = np.append(same, False) | np.append(False, same)
-        many[order[flags]] = True
-    ends = np.cumsum(sizes)
-    hit = np.flatnonzero(np.add.reduceat(many.astype(np.int64), ends - sizes) > 0)
+    many, _ = _repeats(values, np.repeat(bucket, ends - starts))
+    sums = np.append(0, np.cumsum(many))
+    hit = np.flatnonzero((sums[ends] > sums[starts]) | known.is_valid().to_numpy())
     for at in range(0, len(hit), 20_000):
         some = hit[at : at + 20_000]
-        masks = [np.packbits(many[ends[i] - sizes[i] : ends[i]]).tobytes() for i in some]
+        masks = []
+        for i, mask in zip(some.tolist(), known.take(pa.array(some)).to_pylist()):
+            flags = many[starts[i] : ends[i]]
+            if mask is not None:
+                bits = np.unpackbits(np.frombuffer(mask, np.uint8)).astype(bool)
+                rest = np.flatnonzero(~bits)[: len(flags)]  # behind the text's last window there are unset bits
+                bits[rest] = flags[: len(rest)]
+                flags = bits
+            masks.append(np.packbits(flags).tobytes())
         columns = [pa.array(a[some]), pa.array(b[some]), pa.array(bucket[some]), pa.array(masks, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["a", "b", "bucket", "mask"])
 
@@ -169,8 +202,9 @@ def remove_repeated(
     total = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
     buckets = max(MIN_BUCKETS, math.ceil(total / _BYTES_PER_WORD / windows_per_bucket))
     keyed = docs.select(key_a.alias("a"), key_b.alias("b"), t.cast("binary").alias("t"))
-    rows = keyed.mapInArrow(_window_rows(window, buckets), "bucket int, a long, b long, hashes binary")
-    masks = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated, "a long, b long, bucket int, mask binary")
+    columns = "target int, bucket int, a long, b long, hashes binary, known binary"
+    rows = keyed.mapInArrow(_window_rows(window, buckets), columns)
+    masks = rows.repartitionById(buckets, F.col("target")).mapInArrow(_repeated, "a long, b long, bucket int, mask binary")
     masks = masks.groupBy("a", "b").agg(F.collect_set(F.struct("bucket", "mask")).alias("masks"))  # windows of one text
     a, b, m = fresh(docs, "__a"), fresh(docs, "__b"), fresh(docs, "__masks")
     joined = docs.withColumns({a: key_a, b: key_b}).join(masks.toDF(a, b, m), [a, b], "left")

@@ -6,6 +6,9 @@ import html as html_lib
 import re
 import time
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +180,30 @@ def test_substring_dedup(docs, size, per_bucket):
         assert all(a < b for a, b in zip(row.spans, row.spans[1:]))  # maximal: no two intervals touch
 
 
+def test_substring_dedup_sends_a_hot_window_once_a_lot(monkeypatch):
+    """A window that is a third of all: one value from each lot of texts reaches its bucket, and every place is flagged."""
+    monkeypatch.setattr(substring_dedup, "WORDS_AT_ONCE", 500)
+    texts = ["hot " * 39, "own words " + " ".join(f"a{i}" for i in range(60)) + " hot" * 50] * 20
+    texts += [" ".join(f"t{k}x{i}" for i in range(50)) for k in range(40)] + [" ".join(BASE), "x " + " ".join(BASE), "hot"]
+    texts = [f"{t} last{i}" for i, t in enumerate(texts)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array([t.encode() for t in texts])], ["a", "b", "t"])
+    hashes = substring_dedup.WindowHashes(5, 7)
+    made = list(substring_dedup._window_rows(5, 7)(iter([batch])))
+    assert len(made) > 5
+    value, place = (x[0] for x in hashes.of(hashes.words.of([b"hot"] * 5)))
+    hot = [b for m in made for r in m.to_pylist() for b in np.frombuffer(r["hashes"], np.uint64) if r["bucket"] == place and b == value]
+    assert len(hot) <= len(made)
+    masks = collections.defaultdict(list)
+    for target in range(7):
+        mine = [m.filter(pc.equal(m["target"], target)) for m in made]
+        for out in substring_dedup._repeated(iter(mine)):
+            for r in out.to_pylist():
+                masks[r["a"]].append((r["bucket"], r["mask"]))
+    want = {i: n for i, _, n, _, _ in removed(list(enumerate(texts)), 5)}
+    got = {i: int(substring_dedup._flagged(hashes, t.encode().split(), masks[i], 5).sum()) for i, t in enumerate(texts)}
+    assert got == want
+
+
 def test_decontaminate(spark, docs):
     items = [(1, " ".join(BASE[10:30])), (2, "One two"), (3, None), (4, "!?"), (5, PASSAGE.upper()), (5, "one, TWO"), (None, "x5 x6 x7")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -385,6 +412,25 @@ def test_html_names_do_not_remove_the_article():
         assert read(f"{inner}<{gone}><p>Gone</p></{gone.split()[0]}>") == "First part\nSecond part"
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<a " * 350_000, "<div>" * 100_000, "<div>" * 50_000 + "</p>" * 100_000, '<a ">"' * 170_000, "<script>" * 100_000,
+        "<p><div>" + "<b>" * 50_000 + "<hr>" * 100_000, "<li><div>" + "<span>" * 50_000 + "<li></li>" * 50_000, "<!--" * 250_000,
+    ],
+    ids=["open tags", "nested", "stray ends", "quotes", "scripts", "void blocks", "items", "comments"],
+)
+def test_html_extract_takes_time_in_proportion_to_the_page(html):
+    started = time.perf_counter()
+    html_extract.Page(html, "h").text(set())
+    assert time.perf_counter() - started < 5
+
+
+def test_html_extract_reads_numbers_of_any_length():
+    body = "&#" + "9" * 10_000 + "; &#" + "0" * 10_000 + "65; &#x42;"
+    assert html_extract.Page(f"<p>{body}</p>", "h").text(set()) == "\ufffd A B"
+
+
 def test_html_extract_on_the_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
