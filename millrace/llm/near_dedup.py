@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm.rows import WordHashes, mixed, odd_numbers, per_text, release
+from millrace.llm.rows import WordHashes, mixed, odd_numbers, per_text, release, sweep
 from millrace.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
@@ -234,6 +234,7 @@ def _candidates(members: DataFrame, full: DataFrame, rows: int, reach: int, perc
     both = found.where("part is null").union(_across(found, reach, percent))
     both = cut_lineage(both.select("a", "b", "far", "id").distinct())
     release(found)
+    sweep(both)
     return both
 
 
@@ -321,10 +322,15 @@ def connected(links: DataFrame, rounds: int = 60, broadcast_ids: int = BROADCAST
         moved = cut_lineage(met.where(F.col("old") != F.col("group")).select(F.col("id").alias("group"), F.col("group").alias("further")))
         n_moved = moved.count()
         if not n_moved:
+            release(both)
+            sweep(met)
             return met.select("id", "group")
         jump = F.broadcast(moved) if n_moved <= broadcast_ids else moved
         labels = cut_lineage(met.join(jump, "group", "left").select("id", F.least("group", "further").alias("group")))
         release(met)
+        release(moved)
+        del spread, jump
+        sweep(labels)
     raise RuntimeError(f"components are still growing after {rounds} rounds")
 
 
@@ -403,9 +409,14 @@ def _linked(docs, sets, given, doc_id, text, shingle, percent, broadcast_ids, re
     alone = members.withColumn("group", F.col("id"))
     first = _candidates(alone, full, members.count(), 1, percent).select("a", "b")
     links = cut_lineage(_confirmed(first, full, percent).union(given))
+    for done in (given, active):
+        release(done)
     groups = connected(links)
+    release(links)
     crowd = members.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
     crowd = cut_lineage(_shared_regions(crowd, "group"))
+    release(members)
+    sweep(crowd)
     n_crowd = crowd.count()
     if not n_crowd:
         return groups

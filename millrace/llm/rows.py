@@ -114,6 +114,15 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def sweep(df: DataFrame) -> None:
+    """Let Spark remove the shuffle files of tables that nothing refers to any more.
+
+    Its cleaner acts on what the driver's collector has found, which on a large heap may be half an hour later; a job of
+    many rounds would keep the shuffles of all of them on the executors' disks until then.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def row_key(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes of the given columns: the identity of a row where ids may be NULL or repeat.
 
