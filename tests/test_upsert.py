@@ -101,3 +101,20 @@ def test_a_third_of_all_keys_null_spreads_over_the_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == 34 * 120
     assert max(sizes) < 0.4 * sum(sizes)
+
+
+def test_the_source_is_read_once(spark, tmp_path):
+    many(spark, 400, 30).write.parquet(str(tmp_path / "feed"))
+    merged = merge(many(spark, 100, 0), spark.read.schema(SCHEMA).parquet(str(tmp_path / "feed")))
+    text = merged._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet", text)) == 1
+    assert merged.where("k IS NULL").count() == 120
+
+
+def test_marked_rows_without_a_key_meet_no_key(spark):
+    """Rows whose key holds a NULL are placed by another value, which may be a key that is there."""
+    keys = [(str(i), i, "old", "t") for i in range(30_000)]
+    source = [(None, i, "n", "s") for i in range(20)] + [("7", 1, "new", "s")]
+    done = merge(frame(spark, keys), frame(spark, source), strict=True)
+    assert done.count() == 30_020 and done.where("k IS NULL").count() == 20
+    assert [tuple(r) for r in done.where("b = 'new'").collect()] == [("7", 1, "new", "t")]
