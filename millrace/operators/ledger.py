@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions.answer_scan import ERROR_KEY
 from millrace.operators import enrich
-from millrace.session import cut_lineage
+from millrace.operators.numbering import written_row_number
 
 SCHEMA = "request_key string, enriched string, failed boolean, run_id string, answered_at timestamp_ntz"
 #: Requests in one task. After a failure so many at most are asked again for each task that was at work.
@@ -54,11 +54,11 @@ class Ledger:
         They are dealt to ``tasks`` tasks of equally many.
         """
         known = self.rows().where(~F.col("failed")).select("request_key")
-        new = requests.withColumn("request_key", request_key(F.col("entity"), F.col("fields"), F.col("prompt")))
-        new = cut_lineage(new.dropDuplicates(["request_key"]).join(known, "request_key", "left_anti"))
+        new = requests.distinct().withColumn("request_key", request_key(F.col("entity"), F.col("fields"), F.col("prompt")))
+        new = written_row_number(new.join(known, "request_key", "left_anti"), enrich.PLACE)
         count = new.count()
         if count:
-            dealt = enrich.even_tasks(new, tasks or -(-count // REQUESTS_PER_TASK), [F.col("request_key")])
+            dealt = enrich.even_runs(new, count, tasks or -(-count // REQUESTS_PER_TASK))
             said = dealt.select("request_key", enrich.scalar_function(factory, None)("entity", "fields", "prompt").alias("enriched"))
             failed = F.json_object_keys("enriched") == F.array(F.lit(ERROR_KEY))
             rows = said.select("request_key", "enriched", failed.alias("failed"), F.lit(run_id).alias("run_id"), F.localtimestamp().alias("answered_at"))

@@ -158,3 +158,22 @@ def test_rate_of_a_process_is_limited():
     for _ in range(5):
         provider([request] * 10)
     assert 0.19 <= time.monotonic() - start < 2
+
+
+def test_requests_are_dealt_as_they_lie(spark, tmp_path):
+    """Equal requests are asked once, in even tasks, without a sort over all of them."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators import enrich, ledger
+    from millrace.operators.numbering import written_row_number
+
+    rows = spark.range(0, 90, 1, 7).select((F.col("id") % 30).alias("id"))
+    asked = rows.select(F.to_json(F.struct("id")).alias("entity"), F.lit('["id"]').alias("fields"), F.lit(None).cast("string").alias("prompt"))
+    kept = ledger.Ledger(spark, str(tmp_path / "l"))
+    assert kept.ask(asked, enrich.restating_provider, "r", tasks=4) == 30
+    assert kept.ask(asked, enrich.restating_provider, "r", tasks=4) == 0
+    assert kept.answers().count() == 30
+    placed = written_row_number(rows, enrich.PLACE)
+    assert sorted(r[0] for r in placed.select(enrich.PLACE).collect()) == list(range(1, 91))
+    sizes = enrich.even_runs(placed, 90, 4).groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r["count"] for r in sizes) == [22, 22, 23, 23]
