@@ -108,3 +108,14 @@ def test_bloom_filter_misses_no_key():
     bloom = file_index.bloom_of(held)
     assert file_index.may_hold(bloom, held).all() and file_index.may_hold(bloom, other).mean() < 0.03
     assert not file_index.may_hold(file_index.bloom_of(held[:0]), other).any()
+
+
+def test_parts_of_one_first_key_have_ranges_of_their_own(spark, wh):
+    """Many keys share a first column; a feed is compared with the parts that its whole keys can be in."""
+    stock, fields = "inventory.warehouse_stock", schemas.curated_schema("inventory.warehouse_stock")
+    held = spark.createDataFrame([("W1", f"S{i:04d}", i, 0, None) for i in range(40)], fields)
+    wh.replace(stock, held)
+    ranges = sorted((r.low, r.high, r.rows) for r in wh.parts(stock).collect())
+    assert sum(n for _, _, n in ranges) == 40 and len(ranges) >= 4
+    assert all(high < low for (_, high, _), (low, _, _) in zip(ranges, ranges[1:]))
+    assert 1 <= len(file_index.hit_parts(held.where("sku_id = 'S0007'"), wh.parts(stock), schemas.KEYS[stock])) <= 2
