@@ -26,7 +26,7 @@ ORDERS, TOTALS, FILES = "sales.orders", "sales.order_totals", "sales.order_files
 STOCK, STOCK_TIMES = "inventory.warehouse_stock", "inventory.warehouse_stock_times"
 #: Rows of a part for all tables that streams keep: see ``Warehouse.rows_per_part``.
 PARTS = {t: 250_000 for t in (ORDERS, TOTALS, FILES, STOCK, STOCK_TIMES)}
-_FILE = "__file"
+_FILE, _CAME = "__file", "__came"
 
 
 def _run(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, str, int], None]) -> None:
@@ -136,13 +136,14 @@ def stream_orders(lines: DataFrame, wh: Warehouse, checkpoint: str) -> DataFrame
         told = F.create_map(*told) if told else F.lit(None).cast("map<string,bigint>")
         counted = wh.rows_of(FILES, came).where(told[F.col("stream")] >= F.col("batch"))
         counted = cut_lineage(counted.where(~((F.col("stream") == stream) & (F.col("batch") == batch_id))).select("file"))
-        new = batch.join(counted, F.col(_FILE) == F.col("file"), "left_anti").drop(_FILE)
+        # Names of files of one batch; a shuffle by file would leave all lines of a file to one task.
+        new = batch.join(F.broadcast(counted), F.col(_FILE) == F.col("file"), "left_anti").drop(_FILE)
         files = came.join(counted, "file", "left_anti").withColumns({"stream": F.lit(stream), "batch": F.lit(batch_id).cast("bigint")})
         wh.update(FILES, files, _newest_file, stream, batch_id)
-        totals = cut_lineage(order_totals(new))
-        cut_lineage(orders_of(totals))  # lines that disagree fail before anything is added
-        wh.update(TOTALS, totals, added_totals, stream, batch_id)
-        wh.merge_into(ORDERS, orders_of(wh.rows_of(TOTALS, totals)), stream, batch_id)
+        with wh.staged(order_totals(new)) as totals:
+            orders_of(totals).write.format("noop").mode("overwrite").save()  # lines that disagree fail before anything is added
+            wh.update(TOTALS, totals, added_totals, stream, batch_id, written=True)
+            wh.merge_into(ORDERS, orders_of(wh.rows_of(TOTALS, totals, written=True)), stream, batch_id)
 
     for name in (ORDERS, TOTALS, FILES):
         wh.create_curated(name)
@@ -168,20 +169,23 @@ def stream_stock(snapshots: DataFrame, wh: Warehouse, checkpoint: str) -> DataFr
         known = known & F.col(k).isNotNull()
 
     def merge(batch: DataFrame, stream: str, batch_id: int) -> None:
-        taken = cut_lineage(inventory.newest_snapshot(inventory.stock_columns(batch, inventory.snapshot_time()), keys))
-        changed = taken
-        if wh.applied(STOCK_TIMES).get(stream, -1) < batch_id:
-            before = wh.rows_of(STOCK_TIMES, taken)
-            after = inventory.newest_snapshot(before.unionByName(taken), keys)
-            changed = cut_lineage(after.exceptAll(before))
-            if not changed.isEmpty():
-                wh.update(STOCK_TIMES, changed, lambda old, new: inventory.newest_snapshot(old.unionByName(new), keys), stream, batch_id)
-        else:
-            changed = wh.rows_of(STOCK_TIMES, taken)
-        merged = changed.where(known).unionByName(wh.rows_of(STOCK_TIMES, taken.where(~known)))
-        merged = cut_lineage(merged.drop("snapshot_ts"))
-        if not merged.isEmpty():
-            wh.merge_into(STOCK, merged, stream, batch_id)
+        with wh.staged(inventory.newest_snapshot(inventory.stock_columns(batch, inventory.snapshot_time()), keys)) as taken:
+            if wh.applied(STOCK_TIMES).get(stream, -1) >= batch_id:
+                published(taken, wh.rows_of(STOCK_TIMES, taken, written=True), stream, batch_id)
+                return
+            old, hit = wh.stored(STOCK_TIMES, taken)
+            both = old.withColumn(_CAME, F.lit(False)).unionByName(taken.withColumn(_CAME, F.lit(True)))
+            with wh.staged(inventory.newest_snapshot(both, keys, [F.col(_CAME).asc()])) as newest:
+                changed = newest.where(_CAME).drop(_CAME)  # of equal rows the stored one is kept
+                if not changed.isEmpty():
+                    wh.put(STOCK_TIMES, newest.drop(_CAME), hit, stream, batch_id)
+                published(taken, changed, stream, batch_id)
+
+    def published(taken: DataFrame, changed: DataFrame, stream: str, batch_id: int) -> None:
+        again = wh.rows_of(STOCK_TIMES, taken.where(~known), written=True)
+        with wh.staged(changed.where(known).unionByName(again).drop("snapshot_ts")) as merged:
+            if not merged.isEmpty():
+                wh.merge_into(STOCK, merged, stream, batch_id, written=True)
 
     for name in (STOCK, STOCK_TIMES):
         wh.create_curated(name)
