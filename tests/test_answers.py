@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from millrace.functions import answer_scan
 from millrace.functions.answer_scan import message_text, read_answer, read_or_error
 from millrace.operators import answers
 
@@ -95,3 +96,39 @@ def test_cap_text(spark):
     df = spark.createDataFrame([("x" * 80000,), ("x" * 80001,), (None,)], "t string")
     got = [r[0] for r in df.select(answers.cap_text(F.col("t"))).collect()]
     assert got == ["x" * 80000, "x" * 80000 + "\n\n[OUTPUT TRUNCATED]", None]
+
+
+def _spans_by_depth(text):
+    depth, opened = 0, None
+    for i, c in enumerate(text):
+        depth += (c == "{") - (c == "}")
+        if c == "{" and depth == 1:
+            opened = i
+        if c == "}" and depth == 0 and opened is not None:
+            yield text[opened : i + 1]
+
+
+@settings(max_examples=300)
+@given(st.text(alphabet='{}"a:1, ', max_size=30))
+def test_first_object_is_that_of_the_stretches(text):
+    found = None
+    for span in _spans_by_depth(text):
+        try:
+            found = json.loads(span)
+            break
+        except json.JSONDecodeError:
+            continue
+    assert list(answer_scan.balanced_spans(text)) == list(_spans_by_depth(text))
+    assert answer_scan.first_object(text) == found
+
+
+def test_what_follows_the_first_object_is_not_looked_at(monkeypatch):
+    spans = answer_scan.balanced_spans('{"a": {}} {"b": 1}')
+    assert next(spans) == '{"a": {}}' and not any(isinstance(v, list) for v in spans.gi_frame.f_locals.values())
+
+    def refuse(text):
+        raise AssertionError("stretches looked for")
+
+    monkeypatch.setattr(answer_scan, "balanced_spans", refuse)
+    assert read_answer('found {"listed_price": 1} and {"listed_price": {', FIELDS) == {"listed_price": "1", "discount": "Not found"}
+    assert read_answer("{ nothing", FIELDS)["_raw"] == "{ nothing"

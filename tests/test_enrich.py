@@ -1,6 +1,8 @@
 import datetime as dt
 import json
+import re
 import sys
+from collections import Counter
 from decimal import Decimal as D
 
 import pytest
@@ -178,6 +180,29 @@ def test_prices(priced):
     assert {r.enriched_at for r in got} == {dt.datetime(2025, 4, 1)}
 
 
+def test_pairs_do_not_move_for_a_few_distributors(spark, monkeypatch):
+    skus = spark.createDataFrame([(f"S{i}", "n", None, "u", D(1), "ACTIVE" if i % 5 else "OFF") for i in range(40)],
+                                 "sku_id string, product_name string, brand string, upc string, msrp decimal(10,2), status string")
+    shops = spark.createDataFrame([(f"D{i}", None, f"{i}.example" if i else None, "ACTIVE") for i in range(6)] + [("D9", "twice", "1.example", "ACTIVE")],
+                                  "distributor_id string, distributor_name string, website_domain string, status string")
+    listings = spark.createDataFrame([(f"S{i % 45}", f"{i % 8}.example") for i in range(600)] + [(None, "1.example"), ("S1", None)],
+                                     "sku_id string, website_domain string")
+    got, before = {}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables beyond it
+    try:
+        for most in (7, 6):  # seven are active
+            monkeypatch.setattr(prices, "SHARED_DISTRIBUTORS", most)
+            base = prices.price_base(listings, skus, shops)
+            text = base._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"Exchange hashpartitioning\(website_domain#\d+, \d", text)) == (0 if most == 7 else 2)
+            got[most] = Counter(base.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    pairs = {(r.sku_id, r.website_domain) for r in listings.collect()}
+    on = [(s, d) for s, d in pairs if s and d and s in {f"S{i}" for i in range(40) if i % 5} and d in {f"{i}.example" for i in range(1, 6)}]
+    assert got[7] == got[6] and sum(got[7].values()) == len(on) + sum(d == "1.example" for _, d in on)
+
+
 def test_null_url_as_null(priced):
     base, answers = priced
     enriched = enrich.answered(base, answers, prices.REQUEST_KEY, prices.FIELDS)
