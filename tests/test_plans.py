@@ -1,6 +1,7 @@
 """What the physical plans must and must not hold."""
 
 import random
+import re
 from collections import defaultdict
 from decimal import Decimal as D
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans import registered
 from millrace import schemas
-from millrace.operators import corpus, crm, sales
+from millrace.operators import corpus, crm, inventory, sales
 
 PLAIN = [n for n in registered.QUERIES if not n.startswith(("stream_", "warehouse_", "full_refresh"))]
 
@@ -29,6 +30,30 @@ def test_stock_limits_rows_before_the_shuffle(spark, small):
     assert text.count("WindowGroupLimit") == 2 and text.count("Exchange hashpartitioning") == 1
 
 
+def test_stock_sorts_and_shuffles_short_keys(spark, small):
+    text = plan(registered.QUERIES["warehouse_stock"](spark, small))
+    above = text[: text.index("Exchange hashpartitioning")]
+    assert "WH-" in above and text.count("WH-") == above.count("WH-")  # keys are built of what is left
+    sorts = [line for line in text.splitlines() if re.search(r"\bSort \[", line)]
+    assert sorts and all(re.search(r"Sort \[_w\d+#", line) for line in sorts)  # the hash decides
+
+
+def test_stock_by_key_with_nulls_and_repeated_rows(spark):
+    picks, schema = random.Random(5), schemas.raw_schema("erp_warehouse_inventory")
+    rows = [(picks.choice([None, "01", "02"]), picks.choice([None, "7", "8", "007"]), picks.choice([None, "3", "x", "12"]),
+             picks.choice(["5", None]), picks.choice(["2024-01-02T00:00:00", "no", None]),
+             picks.choice(["2024-01-02 03:00:00", "2024-01-01 00:00:00", "no", None])) for _ in range(120)]
+    best = {}
+    for place, item, count, level, day, at in rows * 2:
+        day = (day or "")[:10] if day and day != "no" else ""
+        rank = (at if at and at != "no" else "", day, int(count) if count and count != "x" else -1, int(level or -1))
+        best[place, item] = max(best.get((place, item), rank), rank)
+    expected = {(place and f"WH-{place}", item and f"SKU-{item.zfill(5)}", None if n < 0 else n, None if r < 0 else r, day or None)
+                for (place, item), (_, day, n, r) in best.items()}
+    got = inventory.warehouse_stock(spark.createDataFrame(rows * 2, schema)).collect()
+    assert {(*r[:4], r[4] and str(r[4])) for r in got} == expected and len(got) == len(best)
+
+
 def test_only_needed_columns_are_read(spark, small):
     df = registered.QUERIES["daily_sales_summary"](spark, small)
     text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
