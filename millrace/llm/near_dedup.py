@@ -21,15 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm.rows import WordHashes, mixed, odd_numbers, per_text, release, sweep
+from millrace.llm.rows import WordHashes, hinted, mixed, odd_numbers, per_text, release, sweep
 from millrace.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
 TREES, DEPTH, MIN_DEPTH = 32, 8, 4
 #: Neighbours on each side with which a set is compared in each order, and bits of the parity sketch.
 NEIGHBOURS, PARITY_BITS = 256, 512
-#: Rows of an order in one task, and ids that are broadcast to find their texts again (beyond: a shuffle).
+#: Rows of an order in one task, and ids whose hashes go to every task as a bitmap to find their texts again (beyond: a
+#: shuffle of all texts).
 ROWS_PER_TASK, BROADCAST_IDS = 1_000_000, 1_000_000
+#: Labels that are broadcast, each some 70 bytes of the driver while the table of them is made (beyond: a shuffle).
+BROADCAST_LABELS = 100_000
 #: Rows that a task of an order holds at least, as a multiple of the reach, where the table is large enough.
 LEAST_REACHES = 16
 #: Exact join: sets that must hold a shingle for it to be counted as common, counts of common shingles that go to every
@@ -303,7 +306,7 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
     return both.where(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("a", "b").distinct()
 
 
-def connected(links: DataFrame, rounds: int = 60, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def connected(links: DataFrame, rounds: int = 60, broadcast_ids: int = BROADCAST_LABELS) -> DataFrame:
     """(id, group): the least id that each id of ``links`` (a, b) can reach; ids without a link are left out.
 
     Labels spread along links and jump to the label of their label, so chains take few rounds. Every round is
@@ -402,10 +405,12 @@ def _linked(docs, sets, given, doc_id, text, shingle, percent, broadcast_ids, re
     members = cut_lineage(_shared_regions(placed, "id"))
     active = cut_lineage(members.select("id").distinct())
     n_active = active.count()
-    few = F.broadcast(active) if n_active <= broadcast_ids else active
     mine = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    full = per_text(mine.join(few, "id", "left_semi"), lambda: Reader(shingle), _READ, ("id",))
+    if n_active <= broadcast_ids:  # so that few texts move for the join
+        mine = hinted(mine, "id", active, n_active, "maybe").where("maybe").drop("maybe")
+    full = per_text(mine.join(active, "id", "left_semi"), lambda: Reader(shingle), _READ, ("id",))
     full = cut_lineage(full.where("n > 0").dropDuplicates(["id", "set"]))
+    sweep(full)
     alone = members.withColumn("group", F.col("id"))
     first = _candidates(alone, full, members.count(), 1, percent).select("a", "b")
     links = cut_lineage(_confirmed(first, full, percent).union(given))

@@ -19,6 +19,9 @@ ROWS_AT_ONCE = 512
 #: The white space that parts words.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Bits of one piece of a bitmap, as Spark's bitmap functions have it, and bits for each value in a bitmap of hashes.
+PIECE_BITS, BITS_EACH = 32_768, 16
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -123,6 +126,25 @@ def sweep(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def hinted(df: DataFrame, key: str, ids: DataFrame, n: int, name: str) -> DataFrame:
+    """``df`` with a column ``name``: false where ``key`` is surely none of the ``n`` values of the one column of ``ids``.
+
+    One in sixteen of the others is true all the same, so an exact join has to follow. What meets in the driver and goes to
+    every task is a bitmap of hashes, two bytes for each value in pieces of 4 KB, where a broadcast of the values takes
+    some hundred. Rows stay where they are; a NULL key is hashed like any other.
+    """
+    pieces = max(1, -(-n * BITS_EACH // PIECE_BITS))
+    place, bits = fresh_names([*df.columns, name], ["__place", "__bits"])
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(pieces * PIECE_BITS))
+    at = ids.select(bit(F.col(f"`{ids.columns[0]}`")).alias("at"))
+    table = at.groupBy(F.shiftright("at", 15).alias(place)).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PIECE_BITS - 1))).alias(bits))
+    here = bit(F.col(f"`{key}`"))
+    byte = F.substring(F.col(bits), (F.shiftright(here, 3).bitwiseAND(F.lit(PIECE_BITS // 8 - 1)) + 1).cast("int"), F.lit(1))
+    found = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), here.bitwiseAND(F.lit(7)).cast("int")) == 1
+    met = df.withColumn(place, F.shiftright(here, 15)).join(F.broadcast(table), place, "left")
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(found, F.lit(False)).alias(name))
+
+
 def row_key(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes of the given columns: the identity of a row where ids may be NULL or repeat.
 

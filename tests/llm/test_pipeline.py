@@ -89,3 +89,46 @@ def test_stages_take_clashing_columns_nulls_and_repeated_rows(spark, small):
         rows = got.collect()
         assert rows and (name in ("quality", "contamination", "near_duplicates") or len(rows) == docs.count()), name
         assert stage(spark, docs.where("false"), small).collect() == [], name
+
+
+def broadcast_rows(plan):
+    """Rows of every table that a plan that has run broadcast."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "BroadcastExchangeExec":
+        yield plan.metrics().apply("numOutputRows").value()
+    inner = "executedPlan" if kind == "AdaptiveSparkPlanExec" else "plan" if kind.endswith("QueryStageExec") else None
+    children = [getattr(plan, inner)()] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    for child in children:
+        yield from broadcast_rows(child)
+
+
+def test_dropped_ids_do_not_meet_in_the_driver(spark):
+    """Every text four times, rows without an id beside them: the ids of the copies are no broadcast table."""
+    text = F.concat_ws(" ", *[F.concat(F.lit(w), F.col("id") % 1_000) for w in "abcdefgh"])
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit(1).alias("__maybe"))
+    docs = docs.union(spark.sql("SELECT CAST(NULL AS LONG), 'a1 b1 c1 d1 e1 f1 g1 h1', 1"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # only what is broadcast whatever its size
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        rows = kept.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == list(range(1_000)) and len(rows) == 1_001
+    sent = list(broadcast_rows(kept._jdf.queryExecution().executedPlan()))
+    assert sent and max(sent) <= 2  # pieces of a bitmap; before, 3,000 ids
+
+
+def test_hint_leaves_no_value_out(spark):
+    from millrace.llm.rows import hinted
+
+    ids = spark.range(0, 60_000, 3).toDF("x")
+    table = spark.range(60_000).withColumn("maybe_", F.lit("kept")).union(spark.sql("SELECT CAST(NULL AS LONG), 'none'"))
+    got = hinted(table, "id", ids, 20_000, "maybe")
+    assert got.columns == ["id", "maybe_", "maybe"] and got.count() == 60_001
+    surely = got.where("id % 3 = 0").groupBy("maybe").count().collect()
+    assert [tuple(r) for r in surely] == [(True, 20_000)]
+    assert got.where("id % 3 <> 0 and maybe").count() < 4_000
+    assert hinted(table, "id", ids.where("false"), 0, "maybe").where("maybe").count() == 0
+    with_null = ids.union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    assert hinted(table, "id", with_null, 20_001, "maybe").where("id is null and maybe").count() == 1
