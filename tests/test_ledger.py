@@ -177,3 +177,31 @@ def test_requests_are_dealt_as_they_lie(spark, tmp_path):
     assert sorted(r[0] for r in placed.select(enrich.PLACE).collect()) == list(range(1, 91))
     sizes = enrich.even_runs(placed, 90, 4).groupBy(F.spark_partition_id()).count().collect()
     assert sorted(r["count"] for r in sizes) == [22, 22, 23, 23]
+
+
+def held(folder):
+    """Bytes of data in a folder."""
+    return sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**", recursive=True) if os.path.isfile(f))
+
+
+def test_requests_do_not_stay_on_disk(spark, ids, tmp_path):
+    """What was written to ask is removed once the answers are there, and when a provider broke the run, too."""
+    from millrace.session import shared_dir
+
+    shared = shared_dir(spark).removeprefix("file:")
+    ledger, before = Ledger(spark, f"{tmp_path}/ledger-{uuid4().hex}"), held(shared)
+    with pytest.raises(Exception):
+        enrich_kept(ids, ["id"], ["name"], noting(str(tmp_path), breaks_on=399), ledger, "r1", tasks=20).collect()
+    assert held(shared) <= before
+    done = enrich_kept(ids, ["id", "group"], ["name"], noting(str(tmp_path)), ledger, "r2", tasks=20).select("id", "enriched")
+    assert held(shared) <= before and sorted(json.loads(r.enriched)["name"] for r in done.collect()) == sorted(f"n{i}" for i in range(400))
+
+
+def test_wide_requests_take_little_of_the_disk(spark, tmp_path):
+    """The ledger's files are small beside the keys it holds, and these are read back whole."""
+    ledger = Ledger(spark, f"{tmp_path}/ledger-{uuid4().hex}")
+    rows = spark.range(4_000).select("id")
+    done = enrich_kept(rows, ["id"], ["name"], noting(str(tmp_path)), ledger, "r", tasks=1)
+    assert done.count() == 4_000 and ledger.answers("r").count() == 4_000
+    assert held(ledger.folder) < 4_000 * 60  # a key alone has 64 digits
+    assert {len(r.request_key) for r in ledger.rows().collect()} == {64}
